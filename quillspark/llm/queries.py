@@ -15,6 +15,12 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.to_gifs(documents(spark, sf_dir)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import langid
+
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import packing
 
@@ -23,6 +29,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
+    "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
