@@ -27,9 +27,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import fingerprint
+
+    return fingerprint.edits(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
 ORACLES: dict[str, str] = {}
