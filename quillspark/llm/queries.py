@@ -15,6 +15,12 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.to_gifs(documents(spark, sf_dir)))
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import pii
+
+    return pii.detect(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import langid
 
@@ -35,6 +41,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
+    "op2_weak_supervision_pii": op2_weak_supervision_pii,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
