@@ -21,6 +21,12 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import mixing
+
+    return mixing.plan(documents(spark, sf_dir)).drop("source")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import langid
 
@@ -42,6 +48,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_weak_supervision_pii": op2_weak_supervision_pii,
+    "op6_source_mixing": op6_source_mixing,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
