@@ -21,6 +21,13 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that selection keeps, with their expected grade and tail probabilities."""
+    from quillspark.llm import quality
+
+    return quality.grade(documents(spark, sf_dir), table(spark, sf_dir, "labels")).where("selected").drop("selected")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import mixing
 
@@ -48,6 +55,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_weak_supervision_pii": op2_weak_supervision_pii,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_source_mixing": op6_source_mixing,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
