@@ -34,6 +34,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).drop("source")
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import lm
+
+    return lm.score(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import langid
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weak_supervision_pii": op2_weak_supervision_pii,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op6_source_mixing": op6_source_mixing,
+    "op7_ppm_scores": op7_ppm_scores,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
