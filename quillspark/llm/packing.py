@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize, two
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_500_000
+#: Words whose ids a worker remembers; those it meets later are encoded once a batch.
+CACHE_WORDS = 400_000
 #: Fillings that the search may look at, and kept at each largest document.
 NODES, WIDTH = 20_000, 3
 
@@ -72,13 +72,14 @@ def encode(texts: list[str], path: str | None = None, end_id: int = END_ID) -> l
     """Each whole text's ids and the end id, as little-endian unsigned 32-bit integers."""
     tok, cache = _tokenizer(path)
     split = [_words(t) for t in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
     missing = list(set().union(*split) - cache.keys())
     for i in range(0, len(missing), 4096):
         cache.update(_fresh(tok, missing[i : i + 4096]))
     last = np.array([end_id], "<u4").tobytes()
-    return [b"".join([*map(cache.__getitem__, ws), last]) for ws in split]
+    out = [b"".join([*map(cache.__getitem__, ws), last]) for ws in split]
+    for w in missing[max(0, CACHE_WORDS - len(cache) + len(missing)) :]:
+        del cache[w]
+    return out
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -88,8 +89,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
                 cols: list[list] = [[] for _ in names]
                 for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), tokenizer_path, end_id), strict=True):
                     for k in range(0, len(ids), 4 * capacity):
