@@ -21,6 +21,12 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import jaccard
+
+    return jaccard.link(documents(spark, sf_dir))
+
+
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that selection keeps, with their expected grade and tail probabilities."""
     from quillspark.llm import quality
@@ -61,6 +67,7 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_weak_supervision_pii": op2_weak_supervision_pii,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op6_source_mixing": op6_source_mixing,
     "op7_ppm_scores": op7_ppm_scores,
