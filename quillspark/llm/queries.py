@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, table
 
@@ -27,6 +28,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(documents(spark, sf_dir))
 
 
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import phrases
+
+    done = phrases.dedup(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that selection keeps, with their expected grade and tail probabilities."""
     from quillspark.llm import quality
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_weak_supervision_pii": op2_weak_supervision_pii,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_phrase_dedup": op4_phrase_dedup,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op6_source_mixing": op6_source_mixing,
     "op7_ppm_scores": op7_ppm_scores,
