@@ -262,3 +262,13 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     reps = classes.select("n", "d1", "d2", "rep").join(final, "rep")
     out = every.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with only the smallest doc_id of each component; of rows that repeat it, the first by text. Rows without a doc_id stay."""
+    stay = link(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    out = docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi").unionByName(docs.where("doc_id is null"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn("row_rank", rank).where("row_rank = 1 or doc_id is null").drop("row_rank")
+    return out

@@ -173,6 +173,24 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language the model accepts; all rows with a letter if there is no model."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                if shared.value is None:
+                    ok = np.array([bool(t and _LETTER.search(t)) for t in part.column(at).to_pylist()], bool)
+                else:
+                    ok = predict(shared.value, part.column(at))[2]
+                yield part.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
