@@ -162,7 +162,7 @@ class Frame:
 
 
 def _colours(rgb: bytes) -> np.ndarray:
-    p = np.frombuffer(rgb, np.uint8).reshape(-1, 3).astype(np.uint32)
+    p = np.frombuffer(rgb[: len(rgb) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.uint32)
     out = np.zeros(256, np.uint32)
     out[: len(p)] = np.uint32(0xFF000000) | p[:, 0] << np.uint32(16) | p[:, 1] << np.uint32(8) | p[:, 2]
     return out

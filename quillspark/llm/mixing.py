@@ -128,18 +128,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: docs' columns and `shard`, a row for every pass that takes a document, its text cut where the mix ends inside it; each shard shuffled."""
-    taken = plan(docs, shards=shards, seed=seed, **options).where("taken > 0").select(F.col("doc_id").alias("plan_id"), F.col("size").alias("plan_size"), F.struct("taken", "shards").alias("x"))
-    taken = taken.groupBy("plan_id", "plan_size").agg(F.max("x").alias("x")).select("plan_id", "plan_size", "x.taken", "x.shards")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("plan_id")) & (_size(F.col("text")) == F.col("plan_size")))
-    rows = rows.select(*(docs[c] for c in docs.columns), "plan_size", "taken", F.posexplode("shards").alias("plan_pass", "shard"))
-    words = F.least(F.col("plan_size"), F.col("taken") - F.col("plan_pass") * F.col("plan_size"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    text = F.when(words < F.col("plan_size"), part).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(words < F.col("plan_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    local = F.xxhash64(F.lit(seed + 4), "doc_id", "plan_pass")
-    salt = F.pmod(F.xxhash64(F.lit(seed + 5), "doc_id", "plan_pass"), F.lit(16))
-    rows = rows.withColumn("plan_order", local).repartition("shard", salt).sortWithinPartitions("shard", "plan_order")
-    return rows.select(*docs.columns, "shard")
+    """The mix itself: docs' columns and `mix_shard`, a row for every pass that takes a document, its text cut where the mix ends inside it; each shard shuffled."""
+    taken = plan(docs, shards=shards, seed=seed, **options).where("taken > 0").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), F.struct("taken", "shards").alias("x"))
+    taken = taken.groupBy("id", "n").agg(F.max("x").alias("x")).select("id", "n", "x.taken", "x.shards")
+    rows = docs.select(F.struct("*").alias("doc"))  # apart, so that no column of docs clashes
+    rows = rows.join(taken, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (_size(F.col("doc.text")) == F.col("n")))
+    rows = rows.select("doc", "id", "n", "taken", F.posexplode("shards").alias("pass", "mix_shard"))
+    words = F.least(F.col("n"), F.col("taken") - F.col("pass") * F.col("n"))
+    part = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    rows = rows.withColumn("cut", F.when(words < F.col("n"), part))
+    local = F.xxhash64(F.lit(seed + 4), "id", "pass")
+    salt = F.pmod(F.xxhash64(F.lit(seed + 5), "id", "pass"), F.lit(16))
+    rows = rows.withColumn("order", local).repartition("mix_shard", salt).sortWithinPartitions("mix_shard", "order")
+    new = {"text": F.coalesce("cut", "doc.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns), "mix_shard")
