@@ -67,19 +67,22 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def snippet(text: Column, tokens: Column, start: Column, end: Column, around: int = 2) -> Column:
-    """Text of the tokens that a span overlaps (the nearest one if none), and `around` more on either side."""
-    n = F.size(tokens)
-    before = F.size(F.filter(tokens, lambda t: t["end"] <= start))
-    through = F.size(F.filter(tokens, lambda t: t["start"] < end))
-    gap = lambda k: F.least(F.abs(F.element_at(tokens, k)["start"] - start), F.abs(F.element_at(tokens, k)["end"] - end))
-    left = (before >= 1) & ((before >= n) | (gap(F.greatest(before, F.lit(1))) <= gap(F.least(before + 1, n))))
-    near = F.when(left, before).otherwise(before + 1)
-    first = F.when(through > before, before + 1).otherwise(near)
-    last = F.when(through > before, through).otherwise(near)
-    a = F.element_at(tokens, F.greatest(F.lit(1), first - around))["start"]
-    b = F.element_at(tokens, F.least(n, last + around))["end"]
-    return F.when(n == 0, cut(text, start, end)).otherwise(cut(text, a, b))
+def snippet(text: Column, start: Column, end: Column, around: int = 2) -> Column:
+    """The tokens that a span overlaps and `around` more on either side. Only what is near the span is looked at."""
+    solid = f"[^{SPACE[1:-1]}]"
+    inside = cut(text, start, end)
+
+    def near(side: Column, edge: Column) -> Column:
+        """From the span outwards: the rest of its outer token, unless that edge is a space, and whole tokens."""
+        whole = F.regexp_extract(side, rf"^{solid}*(?:{SPACE}+{solid}+){{0,{around}}}", 0)
+        apart = F.regexp_extract(side, rf"^(?:{SPACE}*{solid}+){{0,{around}}}", 0)
+        return F.when(edge.rlike(SPACE), apart).otherwise(whole)
+
+    left = F.reverse(near(F.reverse(F.substring(text, F.lit(1), start)), F.substring(inside, 1, 1)))
+    right = near(F.substring(text, end + 1, F.length(text)), F.substring(inside, -1, 1))
+    core = F.when(left == "", F.regexp_replace(inside, f"^{SPACE}+", "")).otherwise(inside)
+    core = F.when(right == "", F.regexp_replace(core, f"{SPACE}+$", "")).otherwise(core)
+    return F.concat(left, core, right)
 
 
 def inside_italic(text: Column, start: Column, end: Column) -> Column:

@@ -115,12 +115,10 @@ def located(rows: DataFrame) -> DataFrame:
     tags = F.when(~F.col("text").contains("<"), F.array().cast(NONE)).when(F.col("mode") == "all", all_tags).when(F.col("mode") == "scripts", scripts).otherwise(italics)
     rows = rows.withColumn("tags", tags)
     rows = rows.withColumn("from", original(F.col("tags"), F.col("start"))).withColumn("to", original(F.col("tags"), F.col("end") - 1) + 1)
-    # the tokens near a span are enough for its context
-    tokens = matches(F.col("text"), rf"[^{SPACE[1:-1]}]+")
     return rows.select(
         "doc_id", "pos", section_name(F.col("section_key")).alias("section_name"), "checker", "method", "pattern", F.col("from").alias("start"), F.col("to").alias("end"),
         "rule_class", "rule_method", cut(F.col("text"), F.col("from"), F.col("to")).alias("matched_text"),
-        snippet(F.col("text"), tokens, F.col("from"), F.col("to")).alias("matched_snippet"), "message", "suggested_fix",
+        snippet(F.col("text"), F.col("from"), F.col("to")).alias("matched_snippet"), "message", "suggested_fix",
     )
 
 

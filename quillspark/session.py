@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
@@ -56,8 +57,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillspark/{tag}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    narrow: a small table, written as a sixteenth of the shuffle partitions' number of files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
+    if narrow:
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df's partitions on the executors' disks while a job uses them more than once. What a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
