@@ -100,7 +100,7 @@ def merge_blocks(blocks: DataFrame) -> DataFrame:
 
 def contextualized(raw: Column, source: Column, page: Column, path: Column, kind: Column, title: Column) -> Column:
     line = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{name}: "), c))
-    return F.concat_ws("\n", F.concat(F.lit("Source: "), source), F.concat(F.lit("Page: "), page.cast("string")), F.concat(F.lit("Block type: "), kind), line("Section path", F.array_join(path, " > ")), line("Table title", title), F.lit("Content:"), F.trim(raw))
+    return F.concat_ws("\n", F.concat(F.lit("Source: "), source), F.concat(F.lit("Page: "), page.cast("string")), F.concat(F.lit("Block type: "), kind), line("Section path", F.array_join(path, " > ")), line("Table title", title), F.lit("Content:"), strip(raw))
 
 
 def section_path_as_of(pages: DataFrame, paths: DataFrame) -> DataFrame:
@@ -166,9 +166,13 @@ def enumerated(page_text: Column) -> Column:
     return F.when(F.size(parts) >= 2, entries).otherwise(F.array().cast("array<struct<number:int,entry:string>>"))
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def display_text(text: Column) -> Column:
-    t = F.trim(F.coalesce(text, F.lit("")))
-    body = F.trim(F.regexp_extract(t, "(?s)^.*?Content:(.*)$", 1))
+    t = strip(F.coalesce(text, F.lit("")))
+    body = strip(F.regexp_extract(t, r"(?s)^.*?Content:(.*)\z", 1))
     return F.when(t.contains("Content:") & (body != ""), body).otherwise(t)
 
 
@@ -223,7 +227,7 @@ def chunks(records: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Dat
             ]
             yield pd.DataFrame({"key": b["key"], "pieces": pieces})
 
-    r = records.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("block_type", F.coalesce("block_type", F.lit("text"))).withColumn("body", display_text(F.col("text")))
+    r = records.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("block_type", F.coalesce("block_type", F.lit("text"))).withColumn("body", display_text(F.col("text")))
     r = r.withColumn("section_path_str", F.array_join("section_path", " > "))
     cut = r.select(F.col("doc_id").alias("key"), "body", "block_type").mapInPandas(run, "key string, pieces array<string>").select("key", F.posexplode("pieces").alias("nth", "piece"))
     c = cut.join(r, F.col("key") == F.col("doc_id")).withColumn("priority", F.coalesce("priority", F.lit(1.0)))

@@ -207,13 +207,13 @@ def attach_parents(results: DataFrame, parents: DataFrame) -> DataFrame:
 def parent_rows(text: Column, most: int = 4) -> Column:
     """The first lines of a table's content that name a page."""
     content = F.when(text.contains("Content:"), F.regexp_extract(text, "(?s)^.*?Content:(.*)$", 1)).otherwise(text)
-    return F.slice(F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x.startswith("Page ")), 1, most)
+    return F.slice(F.filter(F.transform(F.split(content, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.startswith("Page ")), 1, most)
 
 
 def scaffold(results: DataFrame) -> DataFrame:
     """(query_id, scaffold): the four best pieces of evidence as lines."""
     section = F.coalesce(F.nullif("section_title", F.lit("")), F.nullif("table_title", F.lit("")), F.lit("Unknown section"))
-    body = F.replace(F.trim(F.element_at(F.split("text", "Content:"), -1)), F.lit("\n"), F.lit(" "))
+    body = F.replace(F.regexp_replace(F.element_at(F.split("text", "Content:"), -1), r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
     line = F.concat(F.lit("- Section: "), section, F.lit(" | Source: "), F.coalesce("source_file", F.lit("")), F.lit(" | Page: "), F.coalesce(F.col("page").cast("string"), F.lit("None")), F.lit(" | Evidence: "), F.left(body, F.lit(260)))
     rows = results.where("result <= 4").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("result", line.alias("line")))), lambda x: x["line"]).alias("lines"))
     head = F.array(F.lit("Answer scaffold"), F.lit("---------------"), F.lit("Most relevant retrieved reference evidence:"))

@@ -141,7 +141,10 @@ def findings(sections: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     def of_rule(r: Column) -> Column:
         return F.transform(matches(of_mode(r["mode"]), r["regex"]), lambda m: F.struct(r["rule"].alias("rule"), r["mode"].alias("mode"), r["message"].alias("message"), r["fix"].alias("fix"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("match")))
 
-    rows = s.select("*", F.explode(F.flatten(F.transform(catalogue, of_rule))).alias("f")).select(*s.columns, "f.*")
+    # fixed patterns are compiled once; only rules that occur at all are evaluated further
+    occurs = F.array(*(F.col(f"clean_{r.mode}").rlike(r.regex) for r in rules))
+    some = F.filter(F.zip_with(catalogue, occurs, lambda r, hit: F.struct(r.alias("r"), hit.alias("hit"))), lambda x: x["hit"])
+    rows = s.select("*", F.explode(F.flatten(F.transform(some, lambda x: of_rule(x["r"])))).alias("f")).select(*s.columns, "f.*")
     text, t = Text(F.col("section_key"), F.col("text")), of_mode(F.col("mode"))
     m = {"start": F.col("start"), "end": F.col("end"), "text": F.col("match"), "fix": F.col("fix")}
 
