@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import materialize, ship, shared_dir
+from quillspark.session import hold, materialize, ship, shared_dir
 
-__all__ = ["documents", "materialize", "ship", "shared_dir", "table", "two"]
+__all__ = ["documents", "hold", "materialize", "ship", "shared_dir", "table", "two"]
+
+
+#: Rows of an Arrow batch: whole texts travel in them, so Spark's default of 10,000 makes each of many megabytes.
+BATCH_ROWS = 2048
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get(_ROWS) == "10000":  # unless the session chose a size
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,7 +16,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     # each edge from the larger to the smaller end
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", narrow=True)
     before = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         to_low = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = materialize(to_low.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = materialize(to_low.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if now == before:
             break

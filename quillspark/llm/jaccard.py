@@ -8,7 +8,7 @@ many near copies share lists: the first pairs neighbours only and finds componen
 the second takes every pair of groups that passes the size and position filters
 unless both lie in one component already. Member pairs then pass a histogram bound
 and are verified on their whole sets. A pair that is left out lies in one component,
-so no component and no link between components is lost.
+so no component is lost.
 
 Null text, or text without words, has no shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle. Rows that share a
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, two
+from quillspark.llm.common import hold, materialize, two
 from quillspark.llm.fingerprint import shingles
 from quillspark.llm.graph import components
 from quillspark.llm.words import Words, buffers, chunks, mix
 
 SHINGLE, PERCENT = 3, 90
 #: The sketch has 2 ** SKETCH_BITS counters whatever the corpus; PARTS rows carry it.
-SKETCH_BITS, PARTS = 22, 64
+SKETCH_BITS, PARTS = 21, 64
 BUCKETS = 128
 
 
@@ -128,7 +128,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Batches of rows sorted by key, cut where a key ends."""
     held: dict[str, np.ndarray] | None = None
     for b in batches:
-        cols = {n: b.column(n).to_numpy() for n in b.schema.names}
+        cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
         if held is not None:
             cols = {n: np.concatenate([held[n], cols[n]]) for n in cols}
         key = cols["key"]
@@ -145,24 +145,60 @@ def _need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
+def _room(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that meet first at these places of their prefixes can still be similar enough."""
+    return 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= _need(n[i], n[j], percent)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray, of: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(of[k], j) for all j from lo[k] to hi[k], in pieces."""
+    size = np.maximum(hi - lo, 0)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    s = 0
+    while s < len(of):
+        e = max(s + 1, int(np.searchsorted(edges, edges[s] + most, "right")) - 1)
+        n = size[s:e]
+        yield np.repeat(of[s:e], n), np.arange(int(n.sum())) - np.repeat(edges[s:e] - edges[s], n) + np.repeat(lo[s:e], n)
+        s = e
+
+
+#: Lists up to this long are searched for rows that no other row can be linked with.
+SEARCHED = 4096
+
+
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """kind 1: pairs (g, h) of groups that follow each other in a list; kind 0: the rows of lists with more than one group."""
+    """kind 1: pairs (g, h) of groups that follow each other in a list; kind 0: the rows of lists that may be linked with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches):
-            key, n, g = c["key"], c["n"], c["g"]
+            key, n, g, pos = c["key"], c["n"], c["g"], c["pos"]
             same = key[1:] == key[:-1]
-            many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            next_ = np.flatnonzero(same & (n[:-1] * 100 >= percent * n[1:]))
-            pair = np.unique(np.stack([np.minimum(g[next_], g[next_ + 1]), np.maximum(g[next_], g[next_ + 1])]), axis=1) if len(next_) else np.zeros((2, 0), np.int64)
-            m = int(many.sum())
+            i = np.flatnonzero(same & (n[:-1] * 100 >= percent * n[1:]))
+            i = i[_room(n, pos, i, i + 1, percent)]
+            pair = np.unique(np.stack([np.minimum(g[i], g[i + 1]), np.maximum(g[i], g[i + 1])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+            at = np.cumsum(np.concatenate([[True], ~same])) - 1
+            length = np.bincount(at)[at]
+            live = length > SEARCHED
+            few = np.flatnonzero((length > 1) & ~live)
+            big = np.int64(1) << 40
+            hi = np.searchsorted(at * big + n, at[few] * big + n[few] * 100 // percent, "right")
+            for i, j in _spread(few + 1, hi, few):
+                ok = _room(n, pos, i, j, percent)
+                live[i[ok]] = live[j[ok]] = True
+            m = int(live.sum())
             zero = np.zeros(pair.shape[1], np.int64)
-            cols = [np.concatenate(x) for x in ((np.zeros(m, np.int64), zero + 1), (key[many], zero), (c["pos"][many], zero), (n[many], zero), (g[many], pair[0]), (np.zeros(m, np.int64), pair[1]))]
+            cols = [np.concatenate(x) for x in ((np.zeros(m, np.int64), zero + 1), (key[live], zero), (pos[live], zero), (n[live], zero), (g[live], pair[0]), (np.zeros(m, np.int64), pair[1]))]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["kind", "key", "pos", "n", "g", "h"])
 
     return rows.mapInArrow(run, "kind long, key long, pos long, n long, g long, h long")
 
 
+def _bounds(x: np.ndarray) -> np.ndarray:
+    """A matrix of bucket counts; a missing one bounds nothing."""
+    none = np.full(BUCKETS, 0xFFFF, "<u2").tobytes()
+    return np.frombuffer(b"".join(none if v is None or v != v else bytes(v) for v in x), "<u2").reshape(-1, BUCKETS)
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (g, h) of groups in one list that pass the filters and don't lie in one component (comp; -1: a group with several)."""
 
@@ -180,53 +216,53 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             major = np.full(int(at[-1]) + 1, -2, np.int64)
             major[a[new][best][last]] = np.where(times[best][last] > 0, k[new][best][last], -2)
             minor = np.flatnonzero(comp != major[at])
+            if not len(minor):
+                continue
             big = np.int64(1) << 40
             spot = at * big + n
             lo = np.searchsorted(spot, at[minor] * big + -(-percent * n[minor] // 100), "left")
             hi = np.searchsorted(spot, at[minor] * big + n[minor] * 100 // percent, "right")
-            size = hi - lo
-            edges = np.concatenate([[0], np.cumsum(size)])
-            s = 0
-            while s < len(minor):
-                e = max(s + 1, int(np.searchsorted(edges, edges[s] + 1_000_000, "right")) - 1)
-                i = np.repeat(minor[s:e], size[s:e])
-                j = np.arange(len(i)) - np.repeat(edges[s:e] - edges[s], size[s:e]) + np.repeat(lo[s:e], size[s:e])
+            bound = _bounds(c["bound"])
+            for i, j in _spread(lo, hi, minor):
                 ok = (g[i] != g[j]) & ((comp[i] != comp[j]) | (comp[i] < 0))
                 i, j = i[ok], j[ok]
-                ok = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= _need(n[i], n[j], percent)
+                ok = _room(n, pos, i, j, percent)
                 i, j = i[ok], j[ok]
-                if len(i):
-                    pair = np.unique(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["g", "h"])
-                s = e
+                for s in range(0, len(i), 1 << 15):
+                    x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+                    ok = np.minimum(bound[x], bound[y]).sum(1, dtype=np.int64) >= _need(n[x], n[y], percent)
+                    x, y = x[ok], y[ok]
+                    if len(x):
+                        pair = np.unique(np.stack([np.minimum(g[x], g[y]), np.maximum(g[x], g[y])]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["g", "h"])
 
     return rows.mapInArrow(run, "g long, h long").distinct()
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level, size: int, percent: int) -> DataFrame:
+#: Documents whose ids may be sent to every executor (8 bytes each); more are joined by a shuffle of the texts.
+SENT_IDS = 2_000_000
+
+
+def verify(pairs: DataFrame, every: DataFrame, docs: DataFrame, level, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
 
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-        out = np.ones(len(x), bool)
-        need = _need(nx.to_numpy(np.int64), ny.to_numpy(np.int64), percent)
-        known = np.flatnonzero((x.notna() & y.notna()).to_numpy())
-        for i in range(0, len(known), 4096):
-            k = known[i : i + 4096]
-            u, v = (np.frombuffer(b"".join(map(bytes, s.iloc[k])), "<u2").reshape(len(k), -1) for s in (x, y))
-            out[k] = np.minimum(u, v).sum(1, dtype=np.int64) >= need[k]
-        return pd.Series(out)
-
-    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bound").alias("ba"))
-    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("bb"))
-    left = pairs.join(a, "a").join(b, "b").where("100 * na >= nb * {0} and 100 * nb >= na * {0}".format(percent)).where(possible("ba", "bb", "na", "nb"))
-    left = materialize(left.select("a", "b", "na", "nb"), "pairs")
+        least = np.minimum(_bounds(x.to_numpy()), _bounds(y.to_numpy())).sum(1, dtype=np.int64)
+        return pd.Series(least >= _need(nx.to_numpy(np.int64), ny.to_numpy(np.int64), percent))
+
+    a = every.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("ba"))
+    b = every.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("bb"))
+    left = pairs.join(a, "a").join(b, "b").where(f"100 * na >= nb * {percent} and 100 * nb >= na * {percent}").where(possible("ba", "bb", "na", "nb"))
+    left = materialize(left.select("a", "b", "na", "nb"), "pairs", narrow=True)
     live = left.select(F.col("a").alias("rep")).union(left.select(F.col("b").alias("rep"))).distinct()
-    text = docs.join(live, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    items = materialize(sets(text.select("doc_id", "text"), level, size, percent, True), "sets")
+    live = F.broadcast(live) if 2 * left.count() <= SENT_IDS else live.hint("merge")
+    text = docs.join(live, F.col("doc_id") == F.col("rep"), "left_semi")
+    items = hold(sets(text.select("doc_id", "text"), level, size, percent, True))
     both = left.join(items.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
-    return both.withColumn("common", common).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+    union = F.size("ia") + F.size("ib") - F.col("common")
+    return both.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -234,32 +270,36 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     docs = two(docs)
     level = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))
     every = materialize(sets(docs, level, size, percent, False), "shingles")
-    classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "gid", "head", "bound")).alias("x"))
-    classes = materialize(classes.select("n", "d1", "d2", F.col("x.doc_id").alias("rep"), "x.gid", "x.head", "x.bound").where("rep is not null"), "classes")
-    groups = classes.groupBy("n", "gid").agg(F.min(F.struct("rep", "head")).alias("x")).select("n", F.col("x.rep").alias("g"), F.col("x.head").alias("head"))
-    member = classes.select("rep", "n", "gid").withColumn("g", F.min("rep").over(Window.partitionBy("n", "gid")))
-    member = materialize(member.select("rep", "g"), "members")
-    rows = groups.select("n", "g", F.posexplode("head").alias("pos", "key")).repartition("key").sortWithinPartitions("key", "n", "g")
-    found = materialize(neighbours(rows.select("key", F.col("pos").cast("long").alias("pos"), "n", "g"), percent), "lists")
-
-    inside = member.withColumn("b", F.lead("rep").over(Window.partitionBy("g").orderBy("rep"))).where("b is not null").select(F.col("rep").alias("a"), "b")
+    classes = every.where("n > 0 and doc_id is not null").groupBy("n", "gid", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    by_group = Window.partitionBy("n", "gid")
+    member = classes.select("n", "gid", "d1", "d2", "rep", F.min("rep").over(by_group).alias("g"), F.count("*").over(by_group).alias("members"))
+    member = materialize(member, "members", narrow=True)
+    groups = every.join(member.where("rep = g").select(F.col("g").alias("doc_id"), "n", "gid", "d1", "d2"), ["doc_id", "n", "gid", "d1", "d2"])
+    groups = groups.dropDuplicates(["doc_id", "n", "gid", "d1", "d2"]).select("n", F.col("doc_id").alias("g"), "head")
+    # in an order of its own in each list, so that neighbours differ from list to list
+    rows = groups.select("n", "g", F.posexplode("head").alias("pos", "key")).select("key", F.col("pos").cast("long").alias("pos"), "n", "g")
+    rows = rows.repartition("key").sortWithinPartitions("key", "n", F.xxhash64("g", "key"))
+    found = hold(neighbours(rows, percent))
+    lists = found.where("kind = 0").select("key", "pos", "n", "g")
+
+    inside = member.where("members > 1").withColumn("b", F.lead("rep").over(Window.partitionBy("g").orderBy("rep"))).where("b is not null").select(F.col("rep").alias("a"), "b")
     first = found.where("kind = 1").select(F.col("g").alias("a"), F.col("h").alias("b")).union(inside).distinct()
-    links = materialize(verify(first, classes, docs, level, size, percent), "links")
-    comp = materialize(components(links), "components")
-
-    placed = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "g", F.coalesce("component", "rep").alias("comp")), "placed")
-    of_group = placed.groupBy("g").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(F.lit(-1)).alias("comp"))
-    lists = found.where("kind = 0").select("key", "pos", "n", "g").join(of_group, "g").repartition("key").sortWithinPartitions("key", "n", "g")
-    pairs = across(lists.select("key", "pos", "n", "g", "comp"), percent)
+    comp = components(verify(first, every, docs, level, size, percent))
+
+    placed = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "g", "members", F.coalesce("component", "rep").alias("comp")), "placed", narrow=True)
+    of_group = placed.groupBy("g").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(F.lit(-1)).alias("comp"), F.count("*").alias("members"))
+    meets = lists.select("g").distinct()
+    known = meets.join(of_group, "g").join(every.select(F.col("doc_id").alias("g"), "bound").where("bound is not null"), "g", "left").dropDuplicates(["g"]).select("g", "comp", F.when(F.col("members") == 1, F.col("bound")).alias("bound"))
+    lists = lists.join(known, "g").repartition("key").sortWithinPartitions("key", "n", "g")
+    pairs = across(lists.select("key", "pos", "n", "g", "comp", "bound"), percent)
     pairs = pairs.union(of_group.where("comp = -1").select("g", F.col("g").alias("h")))
     a = placed.select(F.col("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
     b = placed.select(F.col("g").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    second = pairs.join(a, "g").join(b, "h").where("ca != cb and (g != h or a < b)").select("a", "b", "ca", "cb")
-    second = materialize(second, "second")
-    more = verify(second.select("a", "b"), classes, docs, level, size, percent).join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = materialize(components(more), "components")
+    second = materialize(pairs.join(a, "g").join(b, "h").where("ca != cb and (g != h or a < b)").select("a", "b", "ca", "cb"), "second", narrow=True)
+    more = verify(second.select("a", "b"), every, docs, level, size, percent).join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(more)
     final = placed.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component"))
-    reps = classes.select("n", "d1", "d2", "rep").join(final, "rep")
+    reps = member.select("n", "d1", "d2", "rep").join(final, "rep").select("n", "d1", "d2", "component")
     out = every.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
