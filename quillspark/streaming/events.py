@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def read(spark: SparkSession, folder: str, schema: str, name: str = "*.parquet") -> DataFrame:
+def read(spark: SparkSession, folder: str, schema: str | StructType, name: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
