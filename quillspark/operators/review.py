@@ -9,13 +9,15 @@ species and higher taxa for the sections after it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as lex
 from quillspark.functions.spans import NONE, SPACE, B, E, clean, cut, inside_italic, matches, original, plain, snippet
-from quillspark.operators.rules import ROUTES, Rule, Text
+from quillspark.functions.phrases import any_of
+from quillspark.operators.rules import ROUTES, Rule, Text, needles
 
 STYLE = "(?i)</?(?:i|em|b|strong|sup|sub)>"
 FINDING = "struct<checker:int,method:int,pattern:int,start:int,end:int,mode:string,rule_class:string,rule_method:string,message:string,suggested_fix:string>"
@@ -141,8 +143,16 @@ def findings(sections: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     def of_rule(r: Column) -> Column:
         return F.transform(matches(of_mode(r["mode"]), r["regex"]), lambda m: F.struct(r["rule"].alias("rule"), r["mode"].alias("mode"), r["message"].alias("message"), r["fix"].alias("fix"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("match")))
 
-    # fixed patterns are compiled once; only rules that occur at all are evaluated further
-    occurs = F.array(*(F.col(f"clean_{r.mode}").rlike(r.regex) for r in rules))
+    # most rules don't occur in a text: plain searches in its folded form (as patterns ignore case) tell that sooner than patterns
+    s = s.withColumns({f"fold_{m}": F.lower(F.upper(F.translate(F.col(f"clean_{m}"), "İ", "i"))) for m in modes})
+
+    def may_occur(r: Rule) -> Column:
+        some, digit = needles(r)
+        tests = [any_of([F.col(f"fold_{r.mode}").contains(x) for x in some])] if some else []
+        tests += [F.col(f"clean_{r.mode}").rlike(r"\p{Nd}")] if digit else []
+        return reduce(lambda a, b: a & b, tests) if tests else F.col(f"clean_{r.mode}").rlike(r.regex)
+
+    occurs = F.array(*map(may_occur, rules))
     some = F.filter(F.zip_with(catalogue, occurs, lambda r, hit: F.struct(r.alias("r"), hit.alias("hit"))), lambda x: x["hit"])
     rows = s.select("*", F.explode(F.flatten(F.transform(some, lambda x: of_rule(x["r"])))).alias("f")).select(*s.columns, "f.*")
     text, t = Text(F.col("section_key"), F.col("text")), of_mode(F.col("mode"))

@@ -445,6 +445,39 @@ BIBLIOGRAPHY: tuple[Rule, ...] = (
 )
 TABLE: tuple[Rule, ...] = (et_al(0, 0),)
 
+
+
+def needles(rule: Rule) -> tuple[tuple[str, ...], bool]:
+    """(texts of which each match holds one, in lower case; whether it holds a digit): cheap to look for before the pattern is. Neither: look for the pattern."""
+    fix = rule.fix.lower() if isinstance(rule.fix, str) else ""
+    k = rule.pattern
+    by_name = {
+        "check_abbreviation_formats": lambda: (("etc", "litt", "comm", "obs", "prof")[k],),
+        "check_latin_terms_without_period": lambda: (lex.LATIN_TERMS[k].split()[-1],),
+        "check_title_abbreviations": lambda: (f"{fix}.",),
+        "check_century_format": lambda: ("century",),
+        "check_eoo_aoo_capitalization": lambda: (fix.split()[-1],),
+        "check_country_names": lambda: (list(lex.COUNTRY_CORRECTIONS)[k],),
+        "check_the_iucn": lambda: ("iucn",),
+        "check_CE_abbreviation": lambda: ("ce",),
+        "check_category_full_name_capitalization": lambda: (fix.split()[-1],),
+        "check_category_abbreviation_capitalization": lambda: (fix,),
+        "check_threatened_case": lambda: ("threatened",),
+        "check_for_example_commas": lambda: ("for example",),
+        "check_colon_spacing": lambda: (":",),
+        "check_semicolon_spacing": lambda: (";",),
+        "check_species_abbreviations": lambda: ("sp",),
+        "check_text": lambda: tuple((lex.UK_SPELLING, lex.IZE_SPELLING)[k]),
+        "check_ampersand_usage": lambda: ("&",),
+        "check_area_units": lambda: (("sq", "km2", "m2", "cm2", "mm2")[k],),
+        "check_degree_text": lambda: ("degree",),
+        "check_degree_symbol_spacing": lambda: ("°",),
+        "check_percentage": lambda: ("cent",),
+    }
+    digits = ("check_ordinal_dates", "check_decade_format", "check_small_numbers", "check_large_numbers", "check_sentence_start", "check_very_large_numbers", "check_range_dashes", "check_citation_comma", "check_percentage_symbol_spacing")
+    return (by_name[rule.name]() if rule.name in by_name else ()), rule.name in digits
+
+
 ROUTES = {"body": BODY, "bibliography": BIBLIOGRAPHY, "table": TABLE}
 
 

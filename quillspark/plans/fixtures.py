@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.session import spread
+
 #: (doc_id, pos, section_key, text)
 SECTIONS = (
     (-1, 0, "Tree > Taxonomy [paragraph 1]", "PLANTAE - TRACHEOPHYTA - LILIOPSIDA - ASPARAGALES - AMARYLLIDACEAE - Chlidanthus - boliviensis"),
@@ -43,7 +45,7 @@ def frame(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each as one section, and the fixture's sections."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "0 AS pos", "concat('Document ', doc_id, ' [paragraph 1]') AS section_key", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).selectExpr("doc_id", "0 AS pos", "concat('Document ', doc_id, ' [paragraph 1]') AS section_key", "text")
     return docs.unionByName(frame(spark, SECTIONS, "doc_id long, pos int, section_key string, text string"))
 
 

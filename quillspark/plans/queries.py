@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicons as lex
 from quillspark.operators import draft, evaluation, records, retrieval, review, rules, tasks, thresholds
 from quillspark.plans import fixtures as fx
-from quillspark.session import ship
+from quillspark.session import ship, spread
 from quillspark.sources import html, tree
 from quillspark.streaming import events as stream
 
@@ -144,17 +144,17 @@ def review_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("html_blocks")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.blocks(_table(spark, sf_dir, "pages")).select("doc_id", "h1", "h2", "node", "block_pos", "type", "text")
+    return html.blocks(spread(_table(spark, sf_dir, "pages").select("page_id", "html"))).select("doc_id", "h1", "h2", "node", "block_pos", "type", "text")
 
 
 @register("html_sections")
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.sections(html.blocks(_table(spark, sf_dir, "pages")), html_fallback=True)
+    return tree.sections(html.blocks(spread(_table(spark, sf_dir, "pages").select("page_id", "html"))), html_fallback=True)
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as layout blocks, ten a page."""
-    lines = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return lines.select("source_file", (F.floor(F.col("i") / 10) + 1).cast("int").alias("page"), "text", F.array(F.lit(0.0), (F.col("i") % 10).cast("double")).alias("bbox"), F.lit(10.0).alias("font_size"), F.lit(False).alias("is_bold"), F.lit(10.0).alias("body_font"))
 
 
@@ -185,7 +185,7 @@ def record_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: one in five a table, one in five a table row."""
     kind = F.when(F.col("doc_id") % 5 == 1, "table").when(F.col("doc_id") % 5 == 2, "table_row").otherwise("text")
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     return d.select(
         F.format_string("r%08d", "doc_id").alias("doc_id"), F.col("source").alias("source_file"), (F.col("doc_id") % 7).cast("int").alias("page"), kind.alias("block_type"),
         F.concat(F.lit("Source: x\nContent:\n"), F.col("text")).alias("text"), F.col("text").alias("raw_text"), F.col("lang").alias("section_title"), F.array("source", "lang").alias("section_path"),
@@ -343,7 +343,7 @@ _BIGRAMS = "SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(list_tra
     SELECT doc_id, round(CASE WHEN have > 0 THEN same / have ELSE 0 END, 9) AS "precision", round(CASE WHEN want > 0 THEN same / want ELSE 0 END, 9) AS recall FROM s""",
 )
 def eval_bigram_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = evaluation.overlap(d.select("doc_id", "text"), d.select("doc_id", F.substring("text", 1, 500).alias("text")))
     return out.select("doc_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 

@@ -73,3 +73,9 @@ def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
 def hold(df: DataFrame) -> DataFrame:
     """Keep df's partitions on the executors' disks while a job uses them more than once. What a lost executor held is computed again."""
     return df.persist(StorageLevel.DISK_ONLY)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores if a table comes in fewer partitions than there are; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
