@@ -22,9 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.train(docs))
 
 
+#: Near copies share 80 % of their five-word shingles.
+SHINGLE, PERCENT = 5, 80
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near copies."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

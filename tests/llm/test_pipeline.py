@@ -27,6 +27,23 @@ def test_stages(spark, tables):
     assert pieces and all(p["offset"] + p["length"] <= 4096 for p in pieces)
 
 
+def test_near_copies_like_brute_force(spark, edge, edge_rows):
+    low = {c: c + 32 for c in range(65, 91)}
+    sets = {}
+    for i, t, *_ in edge_rows:
+        if i is not None:
+            w = (t or "").translate(low).replace("\x1c", "?").split()
+            sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    comp = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low_, high = sorted((comp[a], comp[b]))
+                comp = {i: low_ if c == high else c for i, c in comp.items()}
+    got = [r["doc_id"] for r in cp.near_copies(spark, edge, "").collect() if r["doc_id"] is not None]
+    assert sorted(got) == sorted(set(comp.values()))
+
+
 def test_empty(spark, empty_tables):
     assert cp.run(spark, empty_tables).count() == 0
 
