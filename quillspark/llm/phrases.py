@@ -4,13 +4,14 @@ A phrase is 13 words in a row. It is confirmed as recurring where a document wit
 smaller doc_id also has it. For that each phrase is sent, packed by batch, to the
 bucket of its minimizer (the least hash of its five-word runs, which neighbouring
 phrases share): 64 bits of minimizer and 32 of the phrase, with document and place.
-The confirmed phrases of each shard of documents are then compiled into Aho-Corasick
-automata over word codes, and every document of the shard is streamed through its
-automaton to locate all occurrences; those that the document was confirmed for are
-removed, the words of overlapping phrases once.
+The confirmed phrases of each shard of documents, neighbouring ones joined to passages,
+are then compiled into Aho-Corasick automata over word codes, and every document of the
+shard is streamed through its automaton to locate all occurrences; those whose phrases
+were all confirmed for the document are removed, words of overlapping ones once.
 
 Null text counts as empty. doc_id names a document: rows that repeat it are copies
-of it and make no phrase recur by themselves; a null doc_id comes after all others.
+of it and make no phrase recur by themselves; documents without one come after all
+others, in an order by their text.
 Empty tables give empty results; extra columns are ignored.
 """
 
@@ -30,8 +31,8 @@ PHRASE, ANCHOR = 13, 5
 #: Phrases of one minimizer that are packed together: bits of a mask.
 RUN = 16
 LAST = (1 << 63) - 1
-#: Documents of one automaton.
-SHARD = 512
+#: Documents of one automaton, and phrases of one of its patterns at most.
+SHARD, PART = 512, 20
 
 
 def _minimizers(h: np.ndarray, at: np.ndarray, phrase: int, anchor: int) -> np.ndarray:
@@ -155,23 +156,39 @@ def locate(words: list[list[bytes]], marks: list[np.ndarray], phrase: int) -> li
     coded = ["".join(map(code.__getitem__, ws)) for ws in words]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for text, places in zip(coded, marks, strict=True):
-        for p in places.tolist():
-            automaton.add_word(text[p : p + phrase])
+        for p, q in zip(*_passages(places), strict=True):
+            automaton.add_word(text[p : q + phrase])
     automaton.make_automaton()
     out = []
     for text, places in zip(coded, marks, strict=True):
-        starts = np.fromiter((end - phrase + 1 for end, _ in automaton.iter(text)), np.int64)
-        own = starts[np.isin(starts, places)]  # a phrase whose first document is this one stays
+        found = np.array(list(automaton.iter(text)) if len(automaton) else [], np.int64).reshape(-1, 2)
+        first, phrases = found[:, 0] - found[:, 1] + 1, found[:, 1] - phrase + 1
+        known = np.zeros(len(text) + 1, np.int64)
+        known[places + 1] = 1
+        known = np.cumsum(known)
+        own = known[first + phrases] - known[first] == phrases  # all its phrases were confirmed here: their first document is another
         edge = np.zeros(len(text) + 1, np.int64)
-        np.add.at(edge, own, 1)
-        np.add.at(edge, own + phrase, -1)
+        np.add.at(edge, first[own], 1)
+        np.add.at(edge, first[own] + found[own, 1], -1)
         out.append(np.cumsum(edge[:-1]) > 0)
     return out
 
 
+def _passages(places: np.ndarray) -> tuple[list[int], list[int]]:
+    """First and last places of runs of neighbouring phrases, in parts of PART phrases: short enough that few end at one word, long enough that an automaton has few nodes."""
+    if not len(places):
+        return [], []
+    new = np.concatenate([[True], np.diff(places) > 1])
+    begin = np.flatnonzero(new)
+    nth = np.arange(len(places)) - begin[np.cumsum(new) - 1]
+    at = np.flatnonzero(nth % PART == 0)
+    return places[at].tolist(), places[np.append(at[1:], len(places)) - 1].tolist()
+
+
 def dedup(docs: DataFrame, phrase: int = PHRASE, anchor: int = ANCHOR, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words of every document, joined by one space."""
-    docs = two(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "doc_id")
+    unnamed = F.lit(LAST) - F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    docs = two(docs).select(F.coalesce("doc_id", unnamed).alias("doc"), "text", "doc_id")
     found = confirmed(docs.select("doc", "text"), phrase, anchor).groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
     rows = docs.join(found, "doc", "left").select("doc_id", "text", F.col("found.pos").alias("pos"), F.col("found.mask").alias("mask"))
 
@@ -188,7 +205,8 @@ def dedup(docs: DataFrame, phrase: int = PHRASE, anchor: int = ANCHOR, shard: in
                     marks = []
                     for k in repeats:
                         p, hit = np.array(pos[k], np.int64), (np.array(mask[k], np.int64)[:, None] >> bits & 1).astype(bool)
-                        marks.append(np.unique((p[:, None] + bits)[hit]))
+                        at = np.unique((p[:, None] + bits)[hit])
+                        marks.append(at[at + phrase <= len(words[k])])
                     for k, gone in zip(repeats, locate([words[k] for k in repeats], marks, phrase), strict=True):
                         removed[k] = int(gone.sum())
                         kept[k] = b" ".join([x for x, g in zip(words[k], gone.tolist(), strict=True) if not g])
