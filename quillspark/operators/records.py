@@ -170,6 +170,34 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+# Titles and columns of the supporting information tables.
+SUPPORT_TITLES = {
+    "Table 1": "Table 1: Required supporting information for all assessments",
+    "Table 2": "Table 2: Required supporting information under specific conditions",
+    "Table 3": "Table 3: Recommended supporting information",
+}
+SUPPORT_COLUMNS = {
+    "Table 1": "Required Information | Purpose | Guidance | Notes",
+    "Table 2": "Required Information | Specific Condition | Purpose | Guidance | Notes",
+    "Table 3": "Recommended Supporting Information | Specific Condition | Purpose | Guidance | Notes",
+}
+
+
+def supporting_rows(pages: DataFrame) -> DataFrame:
+    """Records of supporting information tables whose layout was lost, from page texts (source_file, page, text): the table that a page names holds until another is named; its numbered entries become rows under a made-up parent."""
+    so_far = Window.partitionBy("source_file").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = pages.withColumn("table_name", F.last(supporting_table(F.col("text")), ignorenulls=True).over(so_far)).where("table_name is not null")
+    e = p.select("source_file", "page", "table_name", F.posexplode(enumerated(F.col("text"))).alias("i", "e")).select("source_file", "page", "table_name", "i", "e.number", "e.entry")
+    e = e.withColumn("row_id", F.row_number().over(Window.partitionBy("source_file", "table_name").orderBy("page", "i")))
+    of = lambda table: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col("table_name"))
+    line = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" | Entry "), F.col("number").cast("string"), F.lit(": "), F.col("entry"))
+    whole = e.groupBy("source_file", "table_name").agg(F.min("page").alias("page"), F.transform(F.array_sort(F.collect_list(F.struct("row_id", line.alias("x")))), lambda s: s["x"]).alias("lines"))
+    whole = whole.select("source_file", "page", "table_name", F.lit(None).cast("int").alias("row_id"), F.lit(None).cast("int").alias("number"), F.lit("table").alias("block_type"), F.lit(1.1).alias("priority"), F.array_join(F.concat(F.array(of(SUPPORT_TITLES), F.concat(F.lit("Schema: "), of(SUPPORT_COLUMNS))), "lines"), "\n").alias("raw_text"))
+    rows = e.select("source_file", "page", "table_name", "row_id", "number", F.lit("table_row").alias("block_type"), F.lit(1.55).alias("priority"), F.concat(F.lit("Entry "), F.col("number").cast("string"), F.lit(": "), F.col("entry")).alias("raw_text"))
+    out = whole.unionByName(rows).withColumn("table_id", F.lower(F.replace(F.col("table_name"), F.lit(" "), F.lit("_")))).withColumn("table_title", of(SUPPORT_TITLES))
+    return out.withColumn("metadata", F.struct(F.lit(True).alias("fallback"), "table_name", of(SUPPORT_COLUMNS).alias("schema"), F.col("number").alias("entry_number"))).drop("number", "table_name")
+
+
 def display_text(text: Column) -> Column:
     t = strip(F.coalesce(text, F.lit("")))
     body = strip(F.regexp_extract(t, r"(?s)^.*?Content:(.*)\z", 1))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as lex
-from quillspark.operators import draft, evaluation, records, retrieval, review, rules, tasks, thresholds
+from quillspark.operators import answers, draft, evaluation, records, retrieval, review, rules, tasks, thresholds
 from quillspark.plans import fixtures as fx
 from quillspark.session import ship, spread
-from quillspark.sources import html, tree
+from quillspark.sources import files, html, tree
 from quillspark.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,6 +303,20 @@ def threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.frame(spark, fx.QUESTIONS, "query_id int, text string").select("query_id", thresholds.answer(F.col("text")).alias("answer"))
 
 
+@register("answer_prompts")
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus, asked = _corpus(spark, sf_dir), fx.frame(spark, fx.QUESTIONS, "query_id int, text string")
+    s = fx.frame(spark, fx.SECTIONS, "doc_id long, pos int, section_key string, text string").where("doc_id = -1")
+    hits = draft.retrieve(asked.withColumn("doc_id", F.lit(-1).cast("long")), draft.store(s))
+    return answers.prompts(asked, retrieval.answer(asked, corpus, records.parents(_records(spark, sf_dir))), hits)
+
+
+@register("feedback_rows")
+def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.sections(spark, sf_dir)
+    return files.feedback_rows(review.grouped(review.clean_up(review.review(s)), s))
+
+
 @register("draft_topk")
 def draft_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.frame(spark, fx.SECTIONS, "doc_id long, pos int, section_key string, text string")

@@ -6,8 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import draft, evaluation, records, retrieval, tasks, thresholds
-from quillspark.sources import docx, html, tree
+from quillspark.operators import answers, draft, evaluation, records, retrieval, tasks, thresholds
+from quillspark.sources import docx, files, html, tree
 from quillspark.streaming import events
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -187,3 +187,30 @@ def test_streams(spark, tmp_path):
     done = events.review_each(s, lambda b: b.groupBy("event_type").count(), f"{tmp_path}/out", f"{tmp_path}/check")
     done.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").first()["count"] == 10
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "p1").mkdir()
+    (tmp_path / "p1" / "r.jsonl").write_text('{"doc_id": "a", "text": "x", "section_path": ["A", "B"], "priority": null}\n\n{"text": "y"}\n{"text": " "}\n')
+    rows = {r["text"]: r for r in files.read_records(spark, f"{tmp_path}/*/r.jsonl").collect()}
+    assert set(rows) == {"x", "y"} and rows["y"]["doc_id"].startswith("p1::line::") and rows["y"]["priority"] == 1.0 and rows["x"]["section_path"] == ["A", "B"]
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "r1.md").write_text("---\nscope: full_document\nseverity: 'high'\ncategory: c\n---\nBody here\n")
+    assert tuple(files.read_rules(spark, f"{tmp_path}/rules").first()) == ("r1", "full_document", "high", "c", "Body here")
+    (tmp_path / "rules" / "r2.md").write_text("---\nscope: x\n---\nB")
+    with pytest.raises(Exception, match="missing front matter"):
+        files.read_rules(spark, f"{tmp_path}/rules").collect()
+
+
+def test_supporting_rows_and_prompts(spark):
+    entry = "Required supporting information {} 1. first entry that is long enough 2. second entry that is long enough"
+    pages = spark.createDataFrame([("r.pdf", 1, entry.format("Table 1")), ("r.pdf", 2, "3. third entry goes on here too 4. fourth entry goes on as well"), ("r.pdf", 3, entry.format("Table 2"))], "source_file string, page int, text string")
+    rows = records.supporting_rows(pages).orderBy("table_id", "row_id").collect()
+    assert [(r["table_id"], r["row_id"], r["page"]) for r in rows] == [("table_1", None, 1), ("table_1", 1, 1), ("table_1", 2, 1), ("table_1", 3, 2), ("table_1", 4, 2), ("table_2", None, 3), ("table_2", 1, 3), ("table_2", 2, 3)]
+    assert rows[0]["raw_text"].split("\n")[2] == "Page 1 | Entry 1: 1. first entry that is long enough" and rows[3]["metadata"]["entry_number"] == 3
+    schema = "query_id int, result int, source_file string, page int, block_type string, section_title string, table_title string, text string, parent_text string"
+    found = spark.createDataFrame([(1, 1, "s", 2, "table", "t", "Table 1: x", "Content:\nPage 1 a", None), (1, 2, "s", 3, "table_row", "t", "Table 2: y", "row two", "Content:\nPage 9 z"), (2, 1, "s", 1, "text", "t", None, "plain", None)], schema)
+    asked = spark.createDataFrame([(1, "what extra supporting info is required?"), (2, "EOO threshold?"), (3, "nothing")], "query_id int, text string")
+    p = {r["query_id"]: r["prompt"] for r in answers.prompts(asked, found).collect()}
+    assert p[1].index(answers.FOR_SOME + "\n- row two") < p[1].index(answers.FOR_ALL + "\n- Page 1 a") and "  Parent context: Content:" in p[1]
+    assert thresholds.EOO in p[2] and "| Evidence: plain" in p[2] and "No reference scaffold available." in p[3] and "No draft has been uploaded" in p[3]
