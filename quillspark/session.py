@@ -60,12 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    narrow: a small table, written as a sixteenth of the shuffle partitions' number of files.
+    narrow: a small table, written as few files, a 32nd of the shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
     if narrow:
-        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
