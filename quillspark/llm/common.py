@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.session import hold, materialize, ship, shared_dir
 
-__all__ = ["documents", "hold", "materialize", "ship", "shared_dir", "table", "two"]
+__all__ = ["documents", "hold", "materialize", "ship", "shared_dir", "table", "tidy", "two"]
 
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's default of 10,000 makes each of many megabytes.
@@ -29,3 +35,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only doc_id and text (null: empty), so that no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at a partition's end gives freed memory back to the system: idle workers otherwise keep what their largest task took."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import two
+from quillspark.llm.common import tidy, two
 from quillspark.llm.words import Words, buffers, chunks, mix, windows
 
 PERMUTATIONS, SHINGLE, SEED = 64, 5, 20
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, k: int = PERMUTATIONS, size: int = SHINGLE) ->
             lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, k, dtype=np.int32), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "signature"])
 
-    return two(docs).mapInArrow(run, "doc_id long, signature array<long>")
+    return two(docs).mapInArrow(tidy(run), "doc_id long, signature array<long>")
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
@@ -155,4 +155,4 @@ def edits(docs: DataFrame, k: int = PERMUTATIONS, size: int = SHINGLE) -> DataFr
                 held = tuple(c[-1:] for c in cols)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _neighbours(two(docs)).select("doc_id", "text", "part", "ghost").mapInArrow(run, schema)
+    return _neighbours(two(docs)).select("doc_id", "text", "part", "ghost").mapInArrow(tidy(run), schema)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import tidy
 from quillspark.llm.words import buffers, chunks
 
 BUCKET_BITS, DIM = 16, 16
@@ -170,7 +171,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(ok)], [*part.schema.names, "lang_pred", "score", "accepted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double, accepted boolean"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -188,7 +189,7 @@ def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFr
                     ok = predict(shared.value, part.column(at))[2]
                 yield part.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out() -> F.Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import materialize, tidy
 from quillspark.llm.words import _LOWER, Words, buffers, chunks
 
 ORDER, STOP = 5, 0xFF
@@ -224,7 +224,7 @@ def counts(train: DataFrame) -> DataFrame:
                 yield out(0, np.array([END_KEY], np.int64), np.array([j - i]))
                 yield out(1, *np.unique(np.concatenate(bytes_), return_counts=True))
 
-    return train.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(tidy(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -294,7 +294,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("rid").slice(i, j - i), b.column("doc_id").slice(i, j - i), *map(pa.array, cols), *lists], names)
 
     schema = "rid long, doc_id long, n_tokens long, hot long, hot_sum double, score double, n_bytes long, cold array<long>, times array<long>"
-    scored = materialize(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "lm-scored")
+    scored = materialize(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(tidy(run), schema), "lm-scored")
     cold = scored.select("rid", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("rid", F.col("x.cold").alias("key"), F.col("x.times").alias("times"))
     joined = cold.join(words, "key", "left")
     value = F.when(F.col("n").isNull(), least).otherwise(F.log10((F.col("n") + SMOOTH) / F.lit(total + SMOOTH * (distinct + 1))))

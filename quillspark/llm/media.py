@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import gif
-from quillspark.llm.common import two
+from quillspark.llm.common import tidy, two
 
 UNIT = 64
 
@@ -44,7 +44,7 @@ def to_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hei
                     ["id", "n_bytes", "media"],
                 )
 
-    return two(docs, id_col, text_col).mapInArrow(run, "id long, n_bytes long, media binary")
+    return two(docs, id_col, text_col).mapInArrow(tidy(run), "id long, n_bytes long, media binary")
 
 
 def decode_gifs(media: DataFrame, id_col: str = "id", media_col: str = "media", bins: int = 4) -> DataFrame:
@@ -66,7 +66,7 @@ def decode_gifs(media: DataFrame, id_col: str = "id", media_col: str = "media",
                 ]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, FRAMES)
+    return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(tidy(run), FRAMES)
 
 
 def digest(media: DataFrame) -> DataFrame:
@@ -86,4 +86,4 @@ def digest(media: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in DIGEST.split(", ")]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return media.select("id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return media.select("id", "n_bytes", "media").mapInArrow(tidy(run), DIGEST)

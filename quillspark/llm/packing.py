@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, two
+from quillspark.llm.common import materialize, tidy, two
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
 #: Words whose ids a worker remembers; those it meets later are encoded once a batch.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Fillings that the search may look at, and kept at each largest document.
 NODES, WIDTH = 20_000, 3
 
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return two(docs).mapInArrow(run, schema)
+    return two(docs).mapInArrow(tidy(run), schema)
 
 
 def fillings(count: np.ndarray, room: int, width: int = WIDTH, nodes: int = 400) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -284,4 +284,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)

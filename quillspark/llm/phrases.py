@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import two
+from quillspark.llm.common import tidy, two
 from quillspark.llm.words import Words, buffers, chunks, mix, windows
 
 PHRASE, ANCHOR = 13, 5
@@ -88,7 +88,7 @@ def packed(docs: DataFrame, buckets: int, phrase: int, anchor: int) -> DataFrame
                 cols = [pa.array(has), pa.array(np.full(len(has), base if small else 0)), blob(m, cut), blob(doc, cut), blob(pos, cut), blob(n, cut), blob(w, wcut)]
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "base", *names[1:]])
 
-    return docs.mapInArrow(run, "bucket int, base long, m binary, doc binary, pos binary, n binary, w binary")
+    return docs.mapInArrow(tidy(run), "bucket int, base long, m binary, doc binary, pos binary, n binary, w binary")
 
 
 def recurring(m: np.ndarray, doc: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def confirmed(docs: DataFrame, phrase: int = PHRASE, anchor: int = ANCHOR) -> Da
             yield bucket(held)
 
     rows = packed(docs, buckets, phrase, anchor).repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "doc long, pos int, mask int")
+    return rows.mapInArrow(tidy(run), "doc long, pos int, mask int")
 
 
 def locate(words: list[list[bytes]], marks: list[np.ndarray], phrase: int) -> list[np.ndarray]:
@@ -213,4 +213,4 @@ def dedup(docs: DataFrame, phrase: int = PHRASE, anchor: int = ANCHOR, shard: in
                 cols = [part.column(0), pa.array([len(ws) for ws in words], pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, two
+from quillspark.llm.common import materialize, tidy, two
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "name")
 
@@ -266,7 +266,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     votes.append([c.votes for c in more])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, ints), pa.array(extra, ints), pa.array(votes, pa.list_(pa.string()))], ["doc_id", "base", "extra", "votes"])
 
-    return two(docs).mapInArrow(run, "doc_id long, base array<int>, extra array<int>, votes array<string>")
+    return two(docs).mapInArrow(tidy(run), "doc_id long, base array<int>, extra array<int>, votes array<string>")
 
 
 def train(scanned: DataFrame) -> Model:
@@ -301,7 +301,7 @@ def detect(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return found.select("doc_id", "base", "extra").mapInArrow(run, schema)
+    return found.select("doc_id", "base", "extra").mapInArrow(tidy(run), schema)
 
 
 def mask(text: str, model: Model) -> str:
@@ -333,4 +333,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 cols = [pa.array(texts, part.column(k).type) if k == at else c for k, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
