@@ -4,7 +4,10 @@ The trie holds contexts of up to ORDER bytes, counted over all training document
 Escape is method C (distinct / (total + distinct)); a lower level's symbols that the
 higher one has seen are excluded, and its rest is scaled up to one. A text's score is the
 log10 probability of its bytes and its end, A-Z in lower case; bits_per_byte is its
-code length. `adaptive_bits` codes one text with a model that learns as it goes.
+code length. Every (context, symbol) pair that occurs is kept, in distributed tables: the
+levels are built by joins, each key that occurs in a document gets its log10 probability,
+and the most frequent keys are sent to the workers as a cache; all others are joined.
+`adaptive_bits` codes one text with a model that learns as it goes.
 
 Documents train unless crc32(doc_id as text) mod 10 is 0 (a null doc_id trains).
 Null text counts as empty: its only token is the end. Repeated rows count as often
@@ -19,7 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,8 @@ from quillspark.llm.common import materialize, tidy
 from quillspark.llm.words import _LOWER, Words, buffers, chunks
 
 ORDER, STOP = 5, 0xFF
-#: Most (context, symbol) pairs of a level of the trie, and most words, that are sent to the workers.
-PAIRS, HOT_WORDS = 1 << 20, 1 << 19
+#: Most (context, symbol) keys and most words that are sent to the workers; the others are joined, with the same result.
+HOT_KEYS, HOT_WORDS = 1 << 21, 1 << 19
 #: Key of the end token, which no word can hash to but by chance of 2 ** -64.
 END_KEY = 0x0E4D0E4D0E4D0E4D
 SMOOTH = 0.1
@@ -80,7 +85,7 @@ class Table:
             return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, found)."""
+        """(values, found); 0 where not found."""
         at = self._home(key)
         there = self.key[at]
         found = there == key
@@ -93,6 +98,7 @@ class Table:
             found[todo[hit]] = True
             value[todo[hit]] = self.value[at[todo[hit]]]
             todo = todo[~hit & (there >= 0)]
+        value[~found] = 0.0
         return value, found
 
 
@@ -203,28 +209,33 @@ def held_out() -> Column:
 _BATCH = 1 << 23
 
 
-def counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n) over all texts: 0 words and the end, 1 symbols with the ORDER bytes before them."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n, m) of (held, text): 0 words and the end, 1 symbols with the ORDER bytes before them; n counts training texts, m (for symbols) all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
-        for b in batches:
-            raw, offsets = buffers(b.column(0))
-            for i, j in chunks(offsets, _BATCH):
-                words, bytes_ = [], []
-                for k, m in chunks(offsets[i : j + 1]):
-                    part, at = raw[offsets[i + k] : offsets[i + m]], offsets[i + k : i + m + 1] - offsets[i + k]
-                    words.append(Words(part, at, lower=True).hash)
-                    text, where, _ = padded(part, at)
-                    bytes_.append(grams(text)[where - ORDER])
-                key, n = np.unique(np.concatenate(words), return_counts=True)
-                yield out(0, key.view(np.int64), n)
-                yield out(0, np.array([END_KEY], np.int64), np.array([j - i]))
-                yield out(1, *np.unique(np.concatenate(bytes_), return_counts=True))
-
-    return train.mapInArrow(tidy(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        def out(kind: int, key: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (key, n, m))], ["kind", "key", "n", "m"])
+
+        for batch in batches:
+            for held in (False, True):
+                b = batch.filter(pc.equal(batch.column(0), held))
+                raw, offsets = buffers(b.column(1))
+                for i, j in chunks(offsets, _BATCH):
+                    words, bytes_ = [], []
+                    for k, m in chunks(offsets[i : j + 1]):
+                        part, at = raw[offsets[i + k] : offsets[i + m]], offsets[i + k : i + m + 1] - offsets[i + k]
+                        if not held:
+                            words.append(Words(part, at, lower=True).hash)
+                        text, where, _ = padded(part, at)
+                        bytes_.append(grams(text)[where - ORDER])
+                    key, n = np.unique(np.concatenate(bytes_), return_counts=True)
+                    yield out(1, key, n * (not held), n)
+                    if not held:
+                        key, n = np.unique(np.concatenate(words), return_counts=True)
+                        yield out(0, key.view(np.int64), n, n)
+                        yield out(0, np.array([END_KEY], np.int64), np.array([j - i]), np.array([j - i]))
+
+    return docs.mapInArrow(tidy(run), "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -232,47 +243,104 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [got.column(k).to_numpy() for k in range(len(names))]
 
 
-def train_trie(top: DataFrame, most: int = PAIRS) -> Trie:
-    """From the counts of the highest order; a lower order's counts are its sums. A level holds its most frequent pairs, at most `most`; what it lacks escapes to the level below."""
-    levels = {}
-    for order in range(2, ORDER + 1):
-        mask = (1 << 8 * (order + 1)) - 1
-        level = top.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        key, n = _columns(hottest(level, most if order > 2 else 1 << 24), "key", "n")
-        keep = np.argsort(key)
-        levels[order] = key[keep], n[keep]
-    return build(levels)
+def _low(name: str, order: int) -> Column:
+    """The last `order` bytes and the symbol of a key."""
+    return F.col(name).bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def values(keys: DataFrame) -> DataFrame:
+    """(key, m, value) of every (key, n, m): log10 probability of a key's symbol after its ORDER bytes, from the counts n of all keys.
+
+    A level's contexts hold the values of all their symbols; a level is built from the one below by a join on
+    the shorter context. No table is bounded but those of up to two bytes, which are complete.
+    """
+    spark = keys.sparkSession
+    seen = keys.where("n > 0")
+    key, n = _columns(seen.groupBy(_low("key", 2).alias("key")).agg(F.sum("n").alias("n")), "key", "n")
+    keep = np.argsort(key)
+    base = spark.sparkContext.broadcast(build({2: (key[keep], n[keep])}))
 
+    @F.pandas_udf("double")
+    def short(k: pd.Series) -> pd.Series:
+        return pd.Series(base.value.log10(k.to_numpy(np.int64), 2))
 
-def hottest(words: DataFrame, most: int = HOT_WORDS) -> DataFrame:
+    levels: dict[int, DataFrame] = {}
+    for order in range(3, ORDER + 1):
+        pairs = seen.groupBy(_low("key", order).alias("key")).agg(F.sum("n").alias("n"))
+        if order == 3:
+            pairs = pairs.withColumn("below", short(_low("key", 2)))
+        else:
+            lower = levels[order - 1].select(F.explode("symbols").alias("x")).select(F.col("x.key").alias("lower"), F.col("x.value").alias("below"))
+            pairs = pairs.join(lower, _low("key", order - 1) == F.col("lower"))
+        of = pairs.groupBy(F.shiftright("key", 8).alias("ctx")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("distinct"), (1 - F.sum(F.pow(F.lit(10.0), F.col("below")))).alias("rest"), F.collect_list(F.struct("key", "n")).alias("pairs")
+        )
+        left = F.col("rest") > 1e-6
+        full = F.col("total") + F.when(left, F.col("distinct")).otherwise(0)
+        escape = F.when(left, F.log10(F.col("distinct") / F.col("full") / F.col("rest"))).otherwise(-30.0)
+        symbols = F.transform("pairs", lambda p: F.struct(p["key"].alias("key"), F.log10(p["n"] / F.col("full")).alias("value")))
+        levels[order] = materialize(of.withColumn("full", full).select("ctx", escape.alias("escape"), symbols.alias("symbols")), f"lm-order{order}")
+
+    # keys that no training text has: at each order, the value of the symbol or the escape
+    new = keys.where("n = 0").select("key", "m", F.lit(0.0).alias("value"), F.lit(False).alias("done"))
+    for order in range(ORDER, 2, -1):
+        new = new.withColumn("ctx", F.shiftright(_low("key", order), 8)).join(levels[order], "ctx", "left")
+        mine = _low("key", order)
+        hit = F.filter("symbols", lambda x: x["key"] == mine)
+        found = F.coalesce(F.size(hit) > 0, F.lit(False))
+        more = F.when(F.col("done"), 0.0).when(found, F.get(hit, F.lit(0))["value"]).otherwise(F.coalesce("escape", F.lit(0.0)))
+        new = new.select("key", "m", (F.col("value") + more).alias("value"), (F.col("done") | found).alias("done"))
+    new = new.withColumn("short", short(_low("key", 2)))
+    new = new.select("key", "m", (F.col("value") + F.when(F.col("done"), 0.0).otherwise(F.col("short"))).alias("value"))
+    top = levels[ORDER].select(F.explode("symbols").alias("x")).select("x.key", "x.value")
+    return seen.select("key", "m").join(top, "key").union(new)
+
+
+def hottest(words: DataFrame, most: int = HOT_WORDS, n: str = "n") -> DataFrame:
     """The words from that count on which lets at most `most` through; by counts of counts, so nothing is sorted."""
-    level = F.floor(F.log2("n") * 16).cast("int")
+    level = F.floor(F.log2(n) * 16).cast("int")
     by = sorted(((r["level"], r["count"]) for r in words.groupBy(level.alias("level")).count().collect()), reverse=True)
     cut, sum_ = None, 0
-    for value, n in by:
-        if sum_ + n > most:
+    for value, count in by:
+        if sum_ + count > most:
             break
-        cut, sum_ = value, sum_ + n
+        cut, sum_ = value, sum_ + count
     return words.where(level >= cut) if cut is not None else words.where(F.lit(False))
 
 
-def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
+def _lists(row: np.ndarray, key: np.ndarray, rows: int) -> list[pa.ListArray]:
+    """(distinct keys, how often) of each row as lists."""
+    order = np.lexsort((key, row))
+    r, k = row[order], key[order]
+    new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])) if len(r) else np.zeros(0, np.int64)
+    cut = np.searchsorted(r[new], np.arange(rows + 1)).astype(np.int32)
+    times = np.diff(np.append(new, len(r)))
+    return [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int64))) for x in (k[new], times)]
+
+
+def score(docs: DataFrame, hot_words: int = HOT_WORDS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    found = materialize(counts(rows.where(~held_out()).select("text")), "lm-counts")
+    found = materialize(counts(rows.select(held_out().alias("held"), "text")), "lm-counts")
     words = found.where("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     least = math.log10(SMOOTH / (total + SMOOTH * (distinct + 1)))
-    trie = train_trie(found.where("kind = 1").select("key", "n")) if total else None
+    keys = found.where("kind = 1").select("key", "n", "m")
+    if total:
+        valued = materialize(values(keys), "lm-values")
+        top, worth = _columns(hottest(valued, hot_keys, "m"), "key", "value")
+        cache = Table(top, worth)
+    else:  # no training text: every byte costs eight bits
+        valued, cache = keys.select("key", "m", F.lit(0.0).alias("value")), None
     key, n = _columns(hottest(words, hot_words), "key", "n")
     order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((trie, key[order], np.log10((n[order] + SMOOTH) / (total + SMOOTH * (distinct + 1)))))
-    names = ["rid", "doc_id", "n_tokens", "hot", "hot_sum", "score", "n_bytes", "cold", "times"]
+    shared = spark.sparkContext.broadcast((cache, key[order], np.log10((n[order] + SMOOTH) / (total + SMOOTH * (distinct + 1)))))
+    names = ["rid", "doc_id", "n_tokens", "hot", "hot_sum", "hot_score", "n_bytes", "cold", "times", "cold_keys", "key_times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, key, value = shared.value
+        cache, key, value = shared.value
         for b in batches:
             raw, offsets = buffers(b.column("text"))
             for i, j in chunks(offsets):
@@ -284,23 +352,36 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
                 hit = key[place] == mine if len(key) else np.zeros(len(mine), bool)
                 hot = np.bincount(row[hit], minlength=j - i)
                 hot_sum = np.bincount(row[hit], value[place[hit]], j - i) if len(key) else np.zeros(j - i)
-                order = np.lexsort((mine[~hit], row[~hit]))
-                r, c = row[~hit][order], mine[~hit][order]
-                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])) if len(r) else np.zeros(0, np.int64)
-                cut = np.searchsorted(r[new], np.arange(j - i + 1)).astype(np.int32)
-                times = np.diff(np.append(new, len(r)))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (c[new], times.astype(np.int64))]
-                cols = (w.count() + 1, hot, hot_sum, log_probability(trie, part, at), np.diff(at))
-                yield pa.RecordBatch.from_arrays([b.column("rid").slice(i, j - i), b.column("doc_id").slice(i, j - i), *map(pa.array, cols), *lists], names)
-
-    schema = "rid long, doc_id long, n_tokens long, hot long, hot_sum double, score double, n_bytes long, cold array<long>, times array<long>"
+                cold = _lists(row[~hit], mine[~hit], j - i)
+                text, where, size = padded(part, at)
+                if cache is None:
+                    hot_score, cold_keys = -math.log10(256) * size, _lists(np.zeros(0, np.int64), np.zeros(0, np.int64), j - i)
+                else:
+                    gram = grams(text)[where - ORDER]
+                    worth, there = cache.get(gram)
+                    hot_score = np.add.reduceat(np.where(there, worth, 0.0), np.cumsum(size) - size)
+                    cold_keys = _lists(np.repeat(np.arange(j - i), size)[~there], gram[~there], j - i)
+                cols = (w.count() + 1, hot, hot_sum, hot_score, np.diff(at))
+                yield pa.RecordBatch.from_arrays([b.column("rid").slice(i, j - i), b.column("doc_id").slice(i, j - i), *map(pa.array, cols), *cold, *cold_keys], names)
+
+    schema = "rid long, doc_id long, n_tokens long, hot long, hot_sum double, hot_score double, n_bytes long, cold array<long>, times array<long>, cold_keys array<long>, key_times array<long>"
     scored = materialize(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(tidy(run), schema), "lm-scored")
-    cold = scored.select("rid", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("rid", F.col("x.cold").alias("key"), F.col("x.times").alias("times"))
-    joined = cold.join(words, "key", "left")
-    value = F.when(F.col("n").isNull(), least).otherwise(F.log10((F.col("n") + SMOOTH) / F.lit(total + SMOOTH * (distinct + 1))))
-    rest = joined.groupBy("rid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * value).alias("cold_sum"))
+
+    def listed(kind: int, keys: str, times: str) -> DataFrame:
+        return scored.select("rid", F.explode(F.arrays_zip(keys, times)).alias("x")).select("rid", F.lit(kind).alias("kind"), F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+
+    worth = F.log10((F.col("n") + SMOOTH) / F.lit(total + SMOOTH * (distinct + 1)))
+    known = words.select(F.lit(0).alias("kind"), "key", worth.alias("value")).union(valued.select(F.lit(1).alias("kind"), "key", "value"))
+    joined = listed(0, "cold", "times").union(listed(1, "cold_keys", "key_times")).join(known, ["kind", "key"], "left")
+    word = F.col("kind") == 0
+    rest = joined.groupBy("rid").agg(
+        F.sum(F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(word, F.col("times") * F.coalesce("value", F.lit(least))).otherwise(0.0)).alias("cold_sum"),
+        F.sum(F.when(~word, F.col("times") * F.col("value")).otherwise(0.0)).alias("cold_score"),
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("cold", "times").join(rest, "rid", "left").select(
+    scored = scored.drop("cold", "times", "cold_keys", "key_times").join(rest, "rid", "left").withColumn("score", F.col("hot_score") + zero("cold_score"))
+    return scored.select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",
