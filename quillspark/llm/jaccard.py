@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import hold, materialize, two
-from quillspark.llm.fingerprint import shingles
+from quillspark.llm.fingerprint import bands_of, shingles, signatures
 from quillspark.llm.graph import components
 from quillspark.llm.words import Words, buffers, chunks, mix
 
@@ -87,8 +87,8 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def sets(docs: DataFrame, level, size: int, percent: int, whole: bool) -> DataFrame:
-    """Of every document: n, the set's digest and prefix (or, whole: the set itself)."""
+def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bool = False) -> DataFrame:
+    """Of every document: n, the set's digest and prefix, or (bands) the bands of its signature (or, whole: the set itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,9 +107,14 @@ def sets(docs: DataFrame, level, size: int, percent: int, whole: bool) -> DataFr
                     if len(full):
                         d[full] = np.add.reduceat(mix(key ^ np.uint64(salt)), first[full])
                     digests.append(pa.array(d.view(np.int64)))
-                p = prefix_size(n, percent)
-                at = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p) + np.repeat(first[:-1], p)
-                head = key[at]
+                if bands:
+                    every = bands_of(signatures(b.column(1).slice(i, j - i), size=size))
+                    p = np.where(n > 0, every.shape[1], 0)
+                    head = every[full].ravel()
+                else:
+                    p = prefix_size(n, percent)
+                    at = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p) + np.repeat(first[:-1], p)
+                    head = key[at]
                 group = np.zeros(len(n), np.uint64)
                 cut = np.concatenate([[0], np.cumsum(p)])
                 if len(full):
@@ -265,11 +270,14 @@ def verify(pairs: DataFrame, every: DataFrame, docs: DataFrame, level, size: int
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: links join sets with 100 * intersection >= percent * union."""
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: links join sets with 100 * intersection >= percent * union.
+
+    bands: lists are those of equal bands of MinHash signatures instead of prefix shingles; links are verified alike.
+    """
     docs = two(docs)
-    level = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))
-    every = materialize(sets(docs, level, size, percent, False), "shingles")
+    level = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << SKETCH_BITS, np.uint8) if bands else sketch(docs, size))
+    every = materialize(sets(docs, level, size, percent, False, bands), "shingles")
     classes = every.where("n > 0 and doc_id is not null").groupBy("n", "gid", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     by_group = Window.partitionBy("n", "gid")
     member = classes.select("n", "gid", "d1", "d2", "rep", F.min("rep").over(by_group).alias("g"), F.count("*").over(by_group).alias("members"))
@@ -277,7 +285,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     groups = every.join(member.where("rep = g").select(F.col("g").alias("doc_id"), "n", "gid", "d1", "d2"), ["doc_id", "n", "gid", "d1", "d2"])
     groups = groups.dropDuplicates(["doc_id", "n", "gid", "d1", "d2"]).select("n", F.col("doc_id").alias("g"), "head")
     # in an order of its own in each list, so that neighbours differ from list to list
-    rows = groups.select("n", "g", F.posexplode("head").alias("pos", "key")).select("key", F.col("pos").cast("long").alias("pos"), "n", "g")
+    rows = groups.select("n", "g", F.posexplode("head").alias("pos", "key")).select("key", (F.lit(0) if bands else F.col("pos")).cast("long").alias("pos"), "n", "g")
     rows = rows.repartition("key").sortWithinPartitions("key", "n", F.xxhash64("g", "key"))
     found = hold(neighbours(rows, percent))
     lists = found.where("kind = 0").select("key", "pos", "n", "g")

@@ -1,12 +1,13 @@
 """Operators do the whole job: nothing is lost where tables of bounded size end."""
 
 import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from quillspark.llm import lm
+from quillspark.llm import fingerprint, lm
 from quillspark.llm.words import buffers
 
 
@@ -27,3 +28,32 @@ def test_op7_keeps_every_pair(spark, edge, edge_rows):
         assert [i for i, _ in got] == [i for i, _ in want]
         bad = [(i, g, w) for (i, g), (_, w) in zip(got, want, strict=True) if not math.isclose(g, w, rel_tol=1e-4)]
         assert not bad, (hot, bad)
+
+
+def shingle_sets(rows, size):
+    """(doc_id, set) of every row with a doc_id."""
+    out = []
+    for i, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        if i is not None:
+            out.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}))
+    return out
+
+
+def near(a, b, percent):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_op10_finds_near_copies_everywhere(spark, edge, edge_rows):
+    """Classes are those of all pairs of the corpus, not only of neighbours in doc_id order."""
+    sets = shingle_sets(edge_rows, 5)
+    comp = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and near(a, b, 80) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {k: low if c == high else c for k, c in comp.items()}
+    assert any(j - i > 1 for j, i in comp.items()) and comp[155] == 3
+    got = fingerprint.edits(edge).where("doc_id is not null").collect()
+    assert len(got) == len(sets)
+    assert {r["doc_id"]: r["near_id"] for r in got} == comp
