@@ -88,7 +88,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     from quillspark.llm.jaccard import link  # which needs this module's shingles
 
-    found = link(docs, SHINGLE, PERCENT, bands=True).where("component_id < doc_id")
+    found = link(docs, SHINGLE, PERCENT, bands=True, count=False).where("component_id < doc_id")
     return materialize(found.groupBy(F.col("doc_id").alias("near_of")).agg(F.min("component_id").alias("near_id")), "near", narrow=True)
 
 

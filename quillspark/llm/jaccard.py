@@ -8,7 +8,9 @@ many near copies share lists: the first pairs neighbours only and finds componen
 the second takes every pair of groups that passes the size and position filters
 unless both lie in one component already. Member pairs then pass a histogram bound
 and are verified on their whole sets. A pair that is left out lies in one component,
-so no component is lost.
+so no component is lost. Every link lies in a component, so all links are then found
+inside of them: whole sets meet block by block, a large component in many blocks, and
+`links` gives each pair of linked sets and `link` their number for every document.
 
 Null text, or text without words, has no shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle. Rows that share a
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import hold, materialize, two
+from quillspark.llm.common import hold, materialize, tidy, two
 from quillspark.llm.fingerprint import bands_of, shingles, signatures
 from quillspark.llm.graph import components
 from quillspark.llm.words import Words, buffers, chunks, mix
@@ -97,9 +99,6 @@ def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bo
                 key, first = keyed(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), level.value, size)
                 n = np.diff(first)
                 ids = b.column(0).slice(i, j - i)
-                if whole:
-                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(first.astype(np.int32), pa.array(key.view(np.int64)))], ["rep", "items"])
-                    continue
                 full = np.flatnonzero(n)
                 digests = []
                 for salt in (0, 0x5851F42D4C957F2D):
@@ -107,6 +106,9 @@ def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bo
                     if len(full):
                         d[full] = np.add.reduceat(mix(key ^ np.uint64(salt)), first[full])
                     digests.append(pa.array(d.view(np.int64)))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(first.astype(np.int32), pa.array(key.view(np.int64))), *digests], ["rep", "items", "d1", "d2"])
+                    continue
                 if bands:
                     every = bands_of(signatures(b.column(1).slice(i, j - i), size=size))
                     p = np.where(n > 0, every.shape[1], 0)
@@ -125,7 +127,7 @@ def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bo
                 lists = pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(head.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), *digests, pa.array(group.view(np.int64)), lists, bounds], ["doc_id", "n", "d1", "d2", "gid", "head", "bound"])
 
-    schema = "rep long, items array<long>" if whole else "doc_id long, n long, d1 long, d2 long, gid long, head array<long>, bound binary"
+    schema = "rep long, items array<long>, d1 long, d2 long" if whole else "doc_id long, n long, d1 long, d2 long, gid long, head array<long>, bound binary"
     return docs.mapInArrow(run, schema)
 
 
@@ -270,17 +272,95 @@ def verify(pairs: DataFrame, every: DataFrame, docs: DataFrame, level, size: int
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: links join sets with 100 * intersection >= percent * union.
+#: Shingles and sets of a block: two blocks meet in a task.
+BLOCK_ITEMS, BLOCK_SETS = 1 << 18, 1 << 10
+
+
+def _overlaps(items: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """How many items each two of the rows share; an item occurs once in a row."""
+    _, of, times = np.unique(items, return_inverse=True, return_counts=True)
+    shared = times > 1  # an item of one row is in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[of]
+    of, owner = place[of[keep]], owner[keep]
+    order = np.argsort(of, kind="stable")
+    of, owner = of[order], owner[order]
+    out = np.zeros((rows, rows), np.float32)
+    width = max(64, min(4096, (1 << 22) // max(rows, 1)))
+    for lo in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(of, [lo, lo + width])
+        part = np.zeros((rows, width), np.float32)
+        part[owner[i:j], of[i:j] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def links(linked: DataFrame, docs: DataFrame, level, size: int, percent: int) -> DataFrame:
+    """(n, d1, d2, rep, other, other_d1, other_d2, times) both ways of every two linked classes, from linked: (n, d1, d2, rep, weight, comp) of all classes in components of several. times: documents of the other."""
+    spark = docs.sparkSession
+    wide = linked.groupBy("comp").agg(F.sum("n").alias("items"), F.count("*").alias("sets"))
+    wide = wide.select("comp", F.greatest(F.ceil(F.col("items") / BLOCK_ITEMS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("d1", "d2"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = linked.join(F.broadcast(wide), "comp", "left").select("n", "d1", "d2", "rep", "weight", "comp", F.coalesce("blocks", F.lit(1)).alias("blocks"), block.alias("block"))
+    dealt = materialize(dealt, "linked", narrow=True)
+    live = dealt.select(F.col("rep").alias("doc_id")).distinct()
+    live = F.broadcast(live) if dealt.count() <= SENT_IDS else live.hint("merge")
+    whole = sets(docs.join(live, "doc_id", "left_semi").select("doc_id", "text"), level, size, percent, True)
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
+    rows = dealt.join(whole, ["rep", "d1", "d2"]).select("comp", F.explode(meets).alias("at"), "block", "rep", "n", "d1", "d2", "weight", "items")
+    rows = rows.select("comp", "at.x", "at.y", "block", "rep", "n", "d1", "d2", "weight", "items")
+    names = ["n", "d1", "d2", "rep", "other", "other_d1", "other_d2", "times"]
+
+    def pairs(cols: dict[str, np.ndarray], items: list[np.ndarray]) -> pa.RecordBatch | None:
+        _, one = np.unique(np.stack([cols["d1"], cols["d2"], cols["n"]]), axis=1, return_index=True)  # a version of a document may be repeated
+        cols, items = {k: c[one] for k, c in cols.items()}, [items[k] for k in one]
+        if len(one) < 2:
+            return None
+        n = cols["n"]
+        common = _overlaps(np.concatenate(items), np.repeat(np.arange(len(one)), [len(x) for x in items]), len(one)).astype(np.int64)
+        ok = common * 100 >= percent * (n[:, None] + n[None, :] - common)
+        np.fill_diagonal(ok, False)
+        if cols["x"][0] != cols["y"][0]:  # pairs inside a block are found where it meets itself
+            ok &= cols["block"][:, None] != cols["block"][None, :]
+        i, j = np.nonzero(ok)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (n[i], cols["d1"][i], cols["d2"][i], cols["rep"][i], cols["rep"][j], cols["d1"][j], cols["d2"][j], cols["weight"][j])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: dict[str, np.ndarray] = {}
+        items: list[np.ndarray] = []
+        for b in batches:
+            more = {k: b.column(k).to_numpy().astype(np.int64) for k in b.schema.names if k != "items"}
+            at, flat = b.column("items").offsets.to_numpy(), b.column("items").values.to_numpy()
+            cols = {k: np.concatenate([cols[k], v]) for k, v in more.items()} if cols else more
+            items += [flat[at[k] : at[k + 1]].copy() for k in range(b.num_rows)]
+            key = np.stack([cols["comp"], cols["x"], cols["y"]])
+            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1])
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if (out := pairs({k: c[i:j] for k, c in cols.items()}, items[i:j])) is not None:
+                    yield out
+            cols, items = {k: c[cut[-1] :] for k, c in cols.items()}, items[cut[-1] :]
+        if items and (out := pairs(cols, items)) is not None:
+            yield out
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    return rows.mapInArrow(tidy(run), "n long, d1 long, d2 long, rep long, other long, other_d1 long, other_d2 long, times long")
+
+
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bool = False, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document: links join sets with 100 * intersection >= percent * union.
+
+    n_links: how many other documents (rows with a doc_id) it is linked with, equal sets among them; null without a doc_id.
+    Where only components are wanted, count=False leaves it out: links inside a component need no verification then.
 
     bands: lists are those of equal bands of MinHash signatures instead of prefix shingles; links are verified alike.
     """
     docs = two(docs)
     level = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << SKETCH_BITS, np.uint8) if bands else sketch(docs, size))
     every = materialize(sets(docs, level, size, percent, False, bands), "shingles")
-    classes = every.where("n > 0 and doc_id is not null").groupBy("n", "gid", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = every.where("n > 0 and doc_id is not null").groupBy("n", "gid", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     by_group = Window.partitionBy("n", "gid")
-    member = classes.select("n", "gid", "d1", "d2", "rep", F.min("rep").over(by_group).alias("g"), F.count("*").over(by_group).alias("members"))
+    member = classes.select("n", "gid", "d1", "d2", "rep", "weight", F.min("rep").over(by_group).alias("g"), F.count("*").over(by_group).alias("members"))
     member = materialize(member, "members", narrow=True)
     groups = every.join(member.where("rep = g").select(F.col("g").alias("doc_id"), "n", "gid", "d1", "d2"), ["doc_id", "n", "gid", "d1", "d2"])
     groups = groups.dropDuplicates(["doc_id", "n", "gid", "d1", "d2"]).select("n", F.col("doc_id").alias("g"), "head")
@@ -307,14 +387,24 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bo
     more = verify(second.select("a", "b"), every, docs, level, size, percent).join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(more)
     final = placed.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component"))
-    reps = member.select("n", "d1", "d2", "rep").join(final, "rep").select("n", "d1", "d2", "component")
-    out = every.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    reps = member.select("n", "d1", "d2", "rep", "weight").join(final.distinct(), "rep").select("n", "d1", "d2", "rep", "weight", "component")
+    rows = every.select("doc_id", "n", "d1", "d2")
+    if not count:
+        out = rows.join(reps.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    reps = materialize(reps, "reps", narrow=True)
+    several = reps.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1").select("component")
+    linked = reps.join(several, "component", "left_semi").withColumnRenamed("component", "comp")
+    more = links(linked, docs, level, size, percent).groupBy("n", "d1", "d2").agg(F.sum("times").alias("times"))
+    reps = reps.join(more, ["n", "d1", "d2"], "left").select("n", "d1", "d2", "component", (F.col("weight") - 1 + F.coalesce("times", F.lit(0))).alias("n_links"))
+    out = rows.join(reps, ["n", "d1", "d2"], "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with only the smallest doc_id of each component; of rows that repeat it, the first by text. Rows without a doc_id stay."""
-    stay = link(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    stay = link(docs, size, percent, count=False).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
     out = docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi").unionByName(docs.where("doc_id is null"))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

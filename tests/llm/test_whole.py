@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from quillspark.llm import fingerprint, lm
+from quillspark.llm import fingerprint, jaccard, lm
 from quillspark.llm.words import buffers
 
 
@@ -57,3 +57,14 @@ def test_op10_finds_near_copies_everywhere(spark, edge, edge_rows):
     got = fingerprint.edits(edge).where("doc_id is not null").collect()
     assert len(got) == len(sets)
     assert {r["doc_id"]: r["near_id"] for r in got} == comp
+
+
+def test_op3_counts_every_link(spark, edge, edge_rows, monkeypatch):
+    """Links inside a component count too, however many blocks its sets are dealt to."""
+    sets = shingle_sets(edge_rows, 3)
+    want = sorted((i, sum(near(a, b, 90) for _, b in sets) - bool(a)) for i, a in sets)
+    assert max(n for _, n in want) > 5
+    for most in (jaccard.BLOCK_SETS, 4):
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", most)
+        got = jaccard.link(edge).where("doc_id is not null").collect()
+        assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
