@@ -206,6 +206,12 @@ def _bounds(x: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(none if v is None or v != v else bytes(v) for v in x), "<u2").reshape(-1, BUCKETS)
 
 
+def _enough(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether sets with these bucket counts can share as many items as they need; always, if a count is missing."""
+    missing = (x[:, 0] == 0xFFFF) | (y[:, 0] == 0xFFFF)
+    return missing | (np.minimum(x, y).sum(1, dtype=np.int64) >= need)
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (g, h) of groups in one list that pass the filters and don't lie in one component (comp; -1: a group with several)."""
 
@@ -237,7 +243,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
                 i, j = i[ok], j[ok]
                 for s in range(0, len(i), 1 << 15):
                     x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-                    ok = np.minimum(bound[x], bound[y]).sum(1, dtype=np.int64) >= _need(n[x], n[y], percent)
+                    ok = _enough(bound[x], bound[y], _need(n[x], n[y], percent))
                     x, y = x[ok], y[ok]
                     if len(x):
                         pair = np.unique(np.stack([np.minimum(g[x], g[y]), np.maximum(g[x], g[y])]), axis=1)
@@ -255,8 +261,7 @@ def verify(pairs: DataFrame, every: DataFrame, docs: DataFrame, level, size: int
 
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-        least = np.minimum(_bounds(x.to_numpy()), _bounds(y.to_numpy())).sum(1, dtype=np.int64)
-        return pd.Series(least >= _need(nx.to_numpy(np.int64), ny.to_numpy(np.int64), percent))
+        return pd.Series(_enough(_bounds(x.to_numpy()), _bounds(y.to_numpy()), _need(nx.to_numpy(np.int64), ny.to_numpy(np.int64), percent)))
 
     a = every.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("ba"))
     b = every.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("bb"))

@@ -68,3 +68,10 @@ def test_op3_counts_every_link(spark, edge, edge_rows, monkeypatch):
         monkeypatch.setattr(jaccard, "BLOCK_SETS", most)
         got = jaccard.link(edge).where("doc_id is not null").collect()
         assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
+
+
+def test_op3_missing_histogram_bounds_nothing():
+    some = np.full(jaccard.BUCKETS, 70, "<u2").tobytes()
+    x, y = jaccard._bounds(np.array([None, some, some], object)), jaccard._bounds(np.array([None, None, some], object))
+    need = jaccard._need(np.full(3, 10_000_000), np.full(3, 10_000_000), 90)
+    assert jaccard._enough(x, y, need).tolist() == [True, True, False]
