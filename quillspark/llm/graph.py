@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of (a, b): component is the smallest id that can be reached.
 
     Minima are aggregated before they meet the edges, so a node with very many
@@ -18,13 +18,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges", narrow=True)
     before = None
-    for _ in range(rounds):
+    while True:  # every round that changes something brings nodes nearer to their least one, so this ends
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         to_low = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = materialize(to_low.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
+        last, e = e, materialize(to_low.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if now == before:
             break

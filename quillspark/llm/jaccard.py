@@ -1,21 +1,24 @@
-"""N-gram Jaccard join: a grouped prefix join over word shingles, exact.
+"""N-gram Jaccard join: a grouped prefix join over word shingles.
 
 Shingles are ordered by a fixed-size count sketch of the corpus (rare ones first)
 and then by hash; any order gives the same links, a good one few candidates. Equal
 sets become one class, classes with equal size and equal prefix one group, and only
-groups meet in the lists of their prefix shingles. Two passes keep that linear where
-many near copies share lists: the first pairs neighbours only and finds components;
-the second takes every pair of groups that passes the size and position filters
-unless both lie in one component already. Member pairs then pass a histogram bound
-and are verified on their whole sets. A pair that is left out lies in one component,
-so no component is lost. Every link lies in a component, so all links are then found
-inside of them: whole sets meet block by block, a large component in many blocks, and
-`links` gives each pair of linked sets and `link` their number for every document.
-
-Null text, or text without words, has no shingles and is linked with nothing; with
-fewer words than a shingle the whole sequence is the one shingle. Rows that share a
-doc_id are versions of one document and share its component. Empty tables give empty
-results; extra columns are ignored.
+groups meet in the lists of their prefix shingles, where pairs are filtered by size,
+place and two histograms (128 buckets; for long sets also one that grows with the
+set), all upper bounds of the overlap. The bounds of a group are the maxima of its
+members', so a pair of groups stays if any two members could be linked.
+
+Two passes keep that linear where many near copies share lists: the first tests two
+neighbours of each group and joins what passes to clusters; the second takes every
+pair of groups that passes the bounds unless both lie in one cluster already. So every
+link lies inside a cluster. There groups are expanded: whole texts meet block by block,
+a large cluster in many blocks, every two sets of a cluster are compared, and verified
+links give the components and the number of links of every document.
+
+Sets are of 56-bit hashes of whole shingles. Null text, or text without words, has no
+shingles and is linked with nothing; with fewer words than a shingle the whole sequence
+is the one shingle. Rows with words that share a doc_id are versions of one document and
+share its component. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import hold, materialize, tidy, two
+from quillspark.llm.common import discard, hold, materialize, squeezed, tidy, two, unsqueezed
 from quillspark.llm.fingerprint import bands_of, shingles, signatures
 from quillspark.llm.graph import components
 from quillspark.llm.words import Words, buffers, chunks, mix
@@ -37,6 +40,8 @@ SHINGLE, PERCENT = 3, 90
 #: The sketch has 2 ** SKETCH_BITS counters whatever the corpus; PARTS rows carry it.
 SKETCH_BITS, PARTS = 21, 64
 BUCKETS = 128
+#: Sets of more shingles also have a histogram with a bucket for every two to four of them.
+LONG = 512
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
@@ -89,8 +94,28 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
-def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bool = False) -> DataFrame:
-    """Of every document: n, the set's digest and prefix, or (bands) the bands of its signature (or, whole: the set itself)."""
+def digests(key: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums of each row's set."""
+    out, full = [], np.flatnonzero(np.diff(first))
+    for salt in (0, 0x5851F42D4C957F2D):
+        d = np.zeros(len(first) - 1, np.uint64)
+        if len(full):
+            d[full] = np.add.reduceat(mix(key ^ np.uint64(salt)), first[full])
+        out.append(d.view(np.int64))
+    return out
+
+
+def _wide(key: np.ndarray) -> bytes | None:
+    """Bucket counts of a long set, 2 ** k buckets; none for others, and where a count leaves a byte."""
+    if len(key) <= LONG:
+        return None
+    span = 1 << (len(key) - 1).bit_length() - 2
+    count = np.bincount((key & np.uint64(span - 1)).astype(np.int64), minlength=span)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None
+
+
+def sets(docs: DataFrame, level, size: int, percent: int, bands: bool = False) -> DataFrame:
+    """Of every document: n, the set's digest, prefix (or, bands, the bands of its signature) and histograms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,17 +123,7 @@ def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bo
             for i, j in chunks(offsets):
                 key, first = keyed(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), level.value, size)
                 n = np.diff(first)
-                ids = b.column(0).slice(i, j - i)
                 full = np.flatnonzero(n)
-                digests = []
-                for salt in (0, 0x5851F42D4C957F2D):
-                    d = np.zeros(len(n), np.uint64)
-                    if len(full):
-                        d[full] = np.add.reduceat(mix(key ^ np.uint64(salt)), first[full])
-                    digests.append(pa.array(d.view(np.int64)))
-                if whole:
-                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(first.astype(np.int32), pa.array(key.view(np.int64))), *digests], ["rep", "items", "d1", "d2"])
-                    continue
                 if bands:
                     every = bands_of(signatures(b.column(1).slice(i, j - i), size=size))
                     p = np.where(n > 0, every.shape[1], 0)
@@ -124,11 +139,12 @@ def sets(docs: DataFrame, level, size: int, percent: int, whole: bool, bands: bo
                 owner = np.repeat(np.arange(len(n)), n)
                 bound = np.bincount(owner * BUCKETS + (key & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS)
                 bounds = pa.array([x.astype("<u2").tobytes() if x.max() < 0xFFFF else None for x in bound], pa.binary())
+                wide = pa.array([_wide(key[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 lists = pa.ListArray.from_arrays(cut.astype(np.int32), pa.array(head.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *digests, pa.array(group.view(np.int64)), lists, bounds], ["doc_id", "n", "d1", "d2", "gid", "head", "bound"])
+                cols = [b.column(0).slice(i, j - i), pa.array(n), *map(pa.array, digests(key, first)), pa.array(group.view(np.int64)), lists, bounds, wide]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "gid", "head", "bound", "wide"])
 
-    schema = "rep long, items array<long>, d1 long, d2 long" if whole else "doc_id long, n long, d1 long, d2 long, gid long, head array<long>, bound binary"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, gid long, head array<long>, bound binary, wide binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -213,21 +229,21 @@ def _enough(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
 
 
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h) of groups in one list that pass the filters and don't lie in one component (comp; -1: a group with several)."""
+    """Pairs (g, h) of groups in one list that pass the filters and don't lie in one cluster (comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches):
             key, n, pos, g, comp = (c[x] for x in ("key", "n", "pos", "g", "comp"))
             at = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-            # everything but a list's most frequent component meets all others of the list
+            # everything but a list's most frequent cluster meets all others of the list
             order = np.lexsort((comp, at))
             a, k = at[order], comp[order]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])]))
-            times = np.where(k[new] < 0, 0, np.diff(np.append(new, len(a))))
+            times = np.diff(np.append(new, len(a)))
             best = np.lexsort((times, a[new]))
             last = np.concatenate([a[new][best][1:] != a[new][best][:-1], [True]])
-            major = np.full(int(at[-1]) + 1, -2, np.int64)
-            major[a[new][best][last]] = np.where(times[best][last] > 0, k[new][best][last], -2)
+            major = np.zeros(int(at[-1]) + 1, np.int64)
+            major[a[new][best][last]] = k[new][best][last]
             minor = np.flatnonzero(comp != major[at])
             if not len(minor):
                 continue
@@ -237,7 +253,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             hi = np.searchsorted(spot, at[minor] * big + n[minor] * 100 // percent, "right")
             bound = _bounds(c["bound"])
             for i, j in _spread(lo, hi, minor):
-                ok = (g[i] != g[j]) & ((comp[i] != comp[j]) | (comp[i] < 0))
+                ok = comp[i] != comp[j]
                 i, j = i[ok], j[ok]
                 ok = _room(n, pos, i, j, percent)
                 i, j = i[ok], j[ok]
@@ -252,33 +268,79 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "g long, h long").distinct()
 
 
-#: Documents whose ids may be sent to every executor (8 bytes each); more are joined by a shuffle of the texts.
+#: Rows of ids that may be sent to every executor; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
 
-def verify(pairs: DataFrame, every: DataFrame, docs: DataFrame, level, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
+
+
+def _fold(x: np.ndarray, span: int) -> np.ndarray:
+    return x.reshape(-1, span).sum(0, dtype=np.uint16)
+
+
+def _fits(wx: bytes | None, wy: bytes | None, need: int) -> bool:
+    """Whether the histograms of two long sets allow so large an overlap; the finer one is folded. A missing one bounds nothing."""
+    if wx is None or wy is None:
+        return True
+    x, y = np.frombuffer(wx, np.uint8), np.frombuffer(wy, np.uint8)
+    span = min(len(x), len(y))
+    return int(np.minimum(_fold(x, span), _fold(y, span)).sum(dtype=np.int64)) >= need
+
+
+def histograms(live: DataFrame, every: DataFrame, member: DataFrame) -> DataFrame:
+    """(g, n, bound, wide) of the groups in live (g): the maxima of the members' histograms."""
+
+    def most(parts: list[bytes | None], kind: str) -> bytes | None:
+        return None if any(x is None for x in parts) else np.max([np.frombuffer(x, kind) for x in parts], axis=0).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = n = None
+        held: tuple[list, list] = ([], [])
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != g and g is not None:
+                    yield out(g, n, held)
+                    held = ([], [])
+                g, n = row[:2]
+                held[0].append(row[2])
+                held[1].append(row[3])
+                if len(held[0]) > 1024:
+                    held = ([most(held[0], "<u2")], [most(held[1], "u1")])
+        if g is not None:
+            yield out(g, n, held)
+
+    def out(g: int, n: int, held: tuple[list, list]) -> pa.RecordBatch:
+        cols = [pa.array([g]), pa.array([n]), pa.array([most(held[0], "<u2")], pa.binary()), pa.array([most(held[1], "u1")], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["g", "n", "bound", "wide"])
+
+    schema = "g long, n long, bound binary, wide binary"
+    several = member.where("g != row").select("g").distinct()
+    one = every.join(_small(live.join(several, "g", "left_anti").select(F.col("g").alias("row"))), "row", "left_semi").select(F.col("row").alias("g"), "n", "bound", "wide")
+    many = every.join(_small(member.join(several, "g", "left_semi").select("row", "g")), "row").select("g", "n", "bound", "wide")
+    # once before the shuffle, so that a group of very many members sends a row per task
+    many = many.sortWithinPartitions("g").mapInArrow(run, schema).repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
+    return one.union(many)
+
+
+def possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (g, h) of groups whose histograms allow a link."""
 
     @F.pandas_udf("boolean")
-    def possible(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-        return pd.Series(_enough(_bounds(x.to_numpy()), _bounds(y.to_numpy()), _need(nx.to_numpy(np.int64), ny.to_numpy(np.int64), percent)))
-
-    a = every.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bound").alias("ba"))
-    b = every.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("bb"))
-    left = pairs.join(a, "a").join(b, "b").where(f"100 * na >= nb * {percent} and 100 * nb >= na * {percent}").where(possible("ba", "bb", "na", "nb"))
-    left = materialize(left.select("a", "b", "na", "nb"), "pairs", narrow=True)
-    live = left.select(F.col("a").alias("rep")).union(left.select(F.col("b").alias("rep"))).distinct()
-    live = F.broadcast(live) if 2 * left.count() <= SENT_IDS else live.hint("merge")
-    text = docs.join(live, F.col("doc_id") == F.col("rep"), "left_semi")
-    items = hold(sets(text.select("doc_id", "text"), level, size, percent, True))
-    both = left.join(items.select(F.col("rep").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("rep").alias("b"), F.col("items").alias("ib")), "b")
-    common = F.size(F.array_intersect("ia", "ib")).cast("long")
-    union = F.size("ia") + F.size("ib") - F.col("common")
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
+    def ok(nx: pd.Series, x: pd.Series, wx: pd.Series, ny: pd.Series, y: pd.Series, wy: pd.Series) -> pd.Series:
+        need = _need(nx.to_numpy(np.int64), ny.to_numpy(np.int64), percent)
+        good = _enough(_bounds(x.to_numpy()), _bounds(y.to_numpy()), need)
+        return pd.Series([bool(k) and _fits(a, b, m) for k, a, b, m in zip(good, wx, wy, need, strict=True)])
+
+    a = known.select("g", F.col("n").alias("na"), F.col("bound").alias("ba"), F.col("wide").alias("wa"))
+    b = known.select(F.col("g").alias("h"), F.col("n").alias("nb"), F.col("bound").alias("bb"), F.col("wide").alias("wb"))
+    both = pairs.join(a, "g").join(b, "h").where(f"100 * na >= nb * {percent} and 100 * nb >= na * {percent}")
+    return both.where(ok("na", "ba", "wa", "nb", "bb", "wb")).select("g", "h")
 
 
 #: Shingles and sets of a block: two blocks meet in a task.
-BLOCK_ITEMS, BLOCK_SETS = 1 << 18, 1 << 10
+BLOCK_ITEMS, BLOCK_SETS = 1 << 19, 1 << 10
 
 
 def _overlaps(items: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
@@ -300,118 +362,162 @@ def _overlaps(items: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _roots(ok: np.ndarray) -> np.ndarray:
+    """The first row that each row reaches by links."""
+    root = np.arange(len(ok))
+    while True:
+        low = np.minimum(root, np.where(ok, root[None, :], len(ok)).min(1))
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            return root
+        root = low
+
+
+#: Classes that may be sent to every executor with what is known of them (some 70 bytes each).
+SENT_CLASSES = 1 << 18
+
+
 def links(linked: DataFrame, docs: DataFrame, level, size: int, percent: int) -> DataFrame:
-    """(n, d1, d2, rep, other, other_d1, other_d2, times) both ways of every two linked classes, from linked: (n, d1, d2, rep, weight, comp) of all classes in components of several. times: documents of the other."""
+    """(n, d1, d2, rep, root, times) from linked: (n, d1, d2, rep, weight, comp), the classes of clusters of several.
+
+    A row for each task in which a class is linked with another: times documents, and root, the rep of a class that it
+    reaches there. Together these rows join just what links join.
+    """
     spark = docs.sparkSession
     wide = linked.groupBy("comp").agg(F.sum("n").alias("items"), F.count("*").alias("sets"))
     wide = wide.select("comp", F.greatest(F.ceil(F.col("items") / BLOCK_ITEMS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks")).where("blocks > 1")
     block = F.pmod(F.xxhash64("d1", "d2"), F.coalesce("blocks", F.lit(1))).cast("int")
-    dealt = linked.join(F.broadcast(wide), "comp", "left").select("n", "d1", "d2", "rep", "weight", "comp", F.coalesce("blocks", F.lit(1)).alias("blocks"), block.alias("block"))
+    dealt = linked.join(wide, "comp", "left").select("n", "d1", "d2", "rep", "weight", "comp", F.coalesce("blocks", F.lit(1)).alias("blocks"), block.alias("block"))
     dealt = materialize(dealt, "linked", narrow=True)
-    live = dealt.select(F.col("rep").alias("doc_id")).distinct()
-    live = F.broadcast(live) if dealt.count() <= SENT_IDS else live.hint("merge")
-    whole = sets(docs.join(live, "doc_id", "left_semi").select("doc_id", "text"), level, size, percent, True)
+    few = dealt.count() <= SENT_CLASSES
+    live = F.broadcast(dealt) if few else dealt.hint("merge")
+    text = docs.withColumnRenamed("doc_id", "rep").join(live, "rep")
+    text = squeezed(text.select("n", "d1", "d2", "rep", "weight", "comp", "blocks", "block", "text"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
-    rows = dealt.join(whole, ["rep", "d1", "d2"]).select("comp", F.explode(meets).alias("at"), "block", "rep", "n", "d1", "d2", "weight", "items")
-    rows = rows.select("comp", "at.x", "at.y", "block", "rep", "n", "d1", "d2", "weight", "items")
-    names = ["n", "d1", "d2", "rep", "other", "other_d1", "other_d2", "times"]
-
-    def pairs(cols: dict[str, np.ndarray], items: list[np.ndarray]) -> pa.RecordBatch | None:
-        _, one = np.unique(np.stack([cols["d1"], cols["d2"], cols["n"]]), axis=1, return_index=True)  # a version of a document may be repeated
-        cols, items = {k: c[one] for k, c in cols.items()}, [items[k] for k in one]
+    rows = text.select("comp", F.explode(meets).alias("at"), "block", "rep", "n", "d1", "d2", "weight", "text")
+    rows = rows.select("comp", "at.x", "at.y", "block", "rep", "n", "d1", "d2", "weight", "text")
+
+    def items_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw, offsets = buffers(pa.array(unsqueezed(texts), pa.large_binary()).cast(pa.large_string()))
+        keys, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for i, j in chunks(offsets):
+            key, first = keyed(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True), level.value, size)
+            keys.append(key)
+            ends.append(first[1:] + ends[-1][-1])
+        return np.concatenate(keys), np.concatenate(ends)
+
+    def compare(cols: dict[str, np.ndarray], texts: list[bytes]) -> pa.RecordBatch | None:
+        key, first = items_of(texts)
+        n, d1, d2 = (cols[k] for k in ("n", "d1", "d2"))
+        own1, own2 = digests(key, first)
+        own = np.flatnonzero((own1 == d1) & (own2 == d2) & (np.diff(first) == n))  # a document may have versions in other classes
+        _, one = np.unique(np.stack([d1[own], d2[own], n[own]]), axis=1, return_index=True)  # and a version may be repeated
+        one = own[one]
         if len(one) < 2:
             return None
+        cols = {k: c[one] for k, c in cols.items()}
         n = cols["n"]
-        common = _overlaps(np.concatenate(items), np.repeat(np.arange(len(one)), [len(x) for x in items]), len(one)).astype(np.int64)
+        items = np.concatenate([key[first[k] : first[k + 1]] for k in one])
+        common = _overlaps(items, np.repeat(np.arange(len(one)), n), len(one)).astype(np.int64)
         ok = common * 100 >= percent * (n[:, None] + n[None, :] - common)
         np.fill_diagonal(ok, False)
         if cols["x"][0] != cols["y"][0]:  # pairs inside a block are found where it meets itself
             ok &= cols["block"][:, None] != cols["block"][None, :]
-        i, j = np.nonzero(ok)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (n[i], cols["d1"][i], cols["d2"][i], cols["rep"][i], cols["rep"][j], cols["d1"][j], cols["d2"][j], cols["weight"][j])], names)
+        at = np.flatnonzero(ok.any(1))
+        root, times = cols["rep"][_roots(ok)], ok @ cols["weight"]
+        out = [pa.array(c[at]) for c in (n, cols["d1"], cols["d2"], cols["rep"], root, times)]
+        return pa.RecordBatch.from_arrays(out, ["n", "d1", "d2", "rep", "root", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: dict[str, np.ndarray] = {}
-        items: list[np.ndarray] = []
+        texts: list[bytes] = []
         for b in batches:
-            more = {k: b.column(k).to_numpy().astype(np.int64) for k in b.schema.names if k != "items"}
-            at, flat = b.column("items").offsets.to_numpy(), b.column("items").values.to_numpy()
+            more = {k: b.column(k).to_numpy().astype(np.int64) for k in b.schema.names if k != "text"}
             cols = {k: np.concatenate([cols[k], v]) for k, v in more.items()} if cols else more
-            items += [flat[at[k] : at[k + 1]].copy() for k in range(b.num_rows)]
+            texts += b.column("text").to_pylist()
             key = np.stack([cols["comp"], cols["x"], cols["y"]])
             cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1])
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if (out := pairs({k: c[i:j] for k, c in cols.items()}, items[i:j])) is not None:
+                if (out := compare({k: c[i:j] for k, c in cols.items()}, texts[i:j])) is not None:
                     yield out
-            cols, items = {k: c[cut[-1] :] for k, c in cols.items()}, items[cut[-1] :]
-        if items and (out := pairs(cols, items)) is not None:
+            cols, texts = {k: c[cut[-1] :] for k, c in cols.items()}, texts[cut[-1] :]
+        if texts and (out := compare(cols, texts)) is not None:
             yield out
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    return rows.mapInArrow(tidy(run), "n long, d1 long, d2 long, rep long, other long, other_d1 long, other_d2 long, times long")
+    return rows.mapInArrow(tidy(run), "n long, d1 long, d2 long, rep long, root long, times long")
+
+
+def clusters(every: DataFrame, member: DataFrame, percent: int, bands: bool) -> DataFrame:
+    """(g, comp) of groups that may be linked with others: no link joins groups of two clusters."""
+    groups = every.join(_small(member.where("row = g").select("row")), "row", "left_semi")
+    # in an order of its own in each list, so that neighbours differ from list to list
+    rows = groups.select("n", F.col("row").alias("g"), F.posexplode("head").alias("pos", "key")).select("key", (F.lit(0) if bands else F.col("pos")).cast("long").alias("pos"), "n", "g")
+    rows = rows.repartition("key").sortWithinPartitions("key", "n", F.xxhash64("g", "key"))
+    found = hold(neighbours(rows, percent))
+    lists = found.where("kind = 0").select("key", "pos", "n", "g")
+    known = materialize(histograms(lists.select("g").distinct(), every, member), "histograms")
+    beside = found.where("kind = 1").select("g", "h")
+    beside = beside.union(beside.select(F.col("h").alias("g"), F.col("g").alias("h"))).groupBy("g")
+    beside = beside.agg(F.array(*(F.min_by("h", F.xxhash64(F.lit(s), "g", "h")) for s in (1, 2))).alias("h")).select("g", F.explode("h").alias("h"))
+    beside = beside.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
+    comp = components(possible(beside, known, percent).select(F.col("g").alias("a"), F.col("h").alias("b")))
+    comp = materialize(known.select("g").join(comp.withColumnRenamed("id", "g"), "g", "left").select("g", F.coalesce("component", "g").alias("comp")), "clusters", narrow=True)
+    rows = lists.join(known.select("g", "bound").join(comp, "g"), "g").repartition("key").sortWithinPartitions("key", "n", "g")
+    pairs = possible(across(rows.select("key", "pos", "n", "g", "comp", "bound"), percent), known, percent)
+    of = lambda c, to: comp.select(F.col("g").alias(c), F.col("comp").alias(to))
+    more = components(pairs.join(of("g", "a"), "g").join(of("h", "b"), "h").select("a", "b"))
+    out = materialize(comp.join(more.withColumnRenamed("id", "comp"), "comp", "left").select("g", F.coalesce("component", "comp").alias("comp")), "clusters", narrow=True)
+    found.unpersist()
+    discard(known, comp)
+    return out
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bool = False, count: bool = True) -> DataFrame:
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document: links join sets with 100 * intersection >= percent * union.
 
     n_links: how many other documents (rows with a doc_id) it is linked with, equal sets among them; null without a doc_id.
-    Where only components are wanted, count=False leaves it out: links inside a component need no verification then.
 
     bands: lists are those of equal bands of MinHash signatures instead of prefix shingles; links are verified alike.
     """
     docs = two(docs)
     level = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << SKETCH_BITS, np.uint8) if bands else sketch(docs, size))
-    every = materialize(sets(docs, level, size, percent, False, bands), "shingles")
-    classes = every.where("n > 0 and doc_id is not null").groupBy("n", "gid", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    by_group = Window.partitionBy("n", "gid")
-    member = classes.select("n", "gid", "d1", "d2", "rep", "weight", F.min("rep").over(by_group).alias("g"), F.count("*").over(by_group).alias("members"))
-    member = materialize(member, "members", narrow=True)
-    groups = every.join(member.where("rep = g").select(F.col("g").alias("doc_id"), "n", "gid", "d1", "d2"), ["doc_id", "n", "gid", "d1", "d2"])
-    groups = groups.dropDuplicates(["doc_id", "n", "gid", "d1", "d2"]).select("n", F.col("doc_id").alias("g"), "head")
-    # in an order of its own in each list, so that neighbours differ from list to list
-    rows = groups.select("n", "g", F.posexplode("head").alias("pos", "key")).select("key", (F.lit(0) if bands else F.col("pos")).cast("long").alias("pos"), "n", "g")
-    rows = rows.repartition("key").sortWithinPartitions("key", "n", F.xxhash64("g", "key"))
-    found = hold(neighbours(rows, percent))
-    lists = found.where("kind = 0").select("key", "pos", "n", "g")
-
-    inside = member.where("members > 1").withColumn("b", F.lead("rep").over(Window.partitionBy("g").orderBy("rep"))).where("b is not null").select(F.col("rep").alias("a"), "b")
-    first = found.where("kind = 1").select(F.col("g").alias("a"), F.col("h").alias("b")).union(inside).distinct()
-    comp = components(verify(first, every, docs, level, size, percent))
-
-    placed = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "g", "members", F.coalesce("component", "rep").alias("comp")), "placed", narrow=True)
-    of_group = placed.groupBy("g").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(F.lit(-1)).alias("comp"), F.count("*").alias("members"))
-    meets = lists.select("g").distinct()
-    known = meets.join(of_group, "g").join(every.select(F.col("doc_id").alias("g"), "bound").where("bound is not null"), "g", "left").dropDuplicates(["g"]).select("g", "comp", F.when(F.col("members") == 1, F.col("bound")).alias("bound"))
-    lists = lists.join(known, "g").repartition("key").sortWithinPartitions("key", "n", "g")
-    pairs = across(lists.select("key", "pos", "n", "g", "comp", "bound"), percent)
-    pairs = pairs.union(of_group.where("comp = -1").select("g", F.col("g").alias("h")))
-    a = placed.select(F.col("g"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    b = placed.select(F.col("g").alias("h"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    second = materialize(pairs.join(a, "g").join(b, "h").where("ca != cb and (g != h or a < b)").select("a", "b", "ca", "cb"), "second", narrow=True)
-    more = verify(second.select("a", "b"), every, docs, level, size, percent).join(second, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = components(more)
-    final = placed.join(joined.withColumnRenamed("id", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component"))
-    reps = member.select("n", "d1", "d2", "rep", "weight").join(final.distinct(), "rep").select("n", "d1", "d2", "rep", "weight", "component")
-    rows = every.select("doc_id", "n", "d1", "d2")
-    if not count:
-        out = rows.join(reps.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    reps = materialize(reps, "reps", narrow=True)
-    several = reps.groupBy("component").agg(F.count("*").alias("classes")).where("classes > 1").select("component")
-    linked = reps.join(several, "component", "left_semi").withColumnRenamed("component", "comp")
-    more = links(linked, docs, level, size, percent).groupBy("n", "d1", "d2").agg(F.sum("times").alias("times"))
-    reps = reps.join(more, ["n", "d1", "d2"], "left").select("n", "d1", "d2", "component", (F.col("weight") - 1 + F.coalesce("times", F.lit(0))).alias("n_links"))
-    out = rows.join(reps, ["n", "d1", "d2"], "left")
+    every = materialize(sets(docs, level, size, percent, bands).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    named = every.where("n > 0 and doc_id is not null").select("doc_id", "row", "n", "gid", "d1", "d2")
+    classes = named.groupBy("n", "gid", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("weight"))
+    classes = materialize(classes.select("n", "gid", "d1", "d2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "weight"), "classes", narrow=True)
+    several = classes.groupBy("n", "gid").agg(F.min("row").alias("g"), F.count("*").alias("members")).where("members > 1").select("n", "gid", "g")
+    member = materialize(classes.join(several, ["n", "gid"], "left").withColumn("g", F.coalesce("g", "row")), "members", narrow=True)
+    cluster = clusters(every, member, percent, bands)
+    # a group of several is a cluster even where it meets no other
+    placed = member.join(cluster, "g", "left").select("n", "d1", "d2", "rep", "weight", F.coalesce("comp", "g").alias("comp"))
+    placed = materialize(placed, "placed", narrow=True)
+    many = placed.groupBy("comp").agg(F.count("*").alias("classes")).where("classes > 1").select("comp")
+    found = materialize(links(placed.join(many, "comp", "left_semi"), docs, level, size, percent), "links", narrow=True)
+
+    key = F.struct("n", "d1", "d2")
+    versions = named.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low != high").select("doc_id")
+    versions = named.join(versions, "doc_id", "left_semi").select("doc_id", "n", "d1", "d2").join(placed.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(versions.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    comp = components(edges)
+    times = found.groupBy("n", "d1", "d2").agg(F.sum("times").alias("times"))
+    reps = placed.select("n", "d1", "d2", "rep", "weight").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(times, ["n", "d1", "d2"], "left")
+    reps = reps.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.col("weight") - 1 + F.coalesce("times", F.lit(0))).alias("n_links"))
+    out = every.select("doc_id", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left")
     n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), n_links.alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with only the smallest doc_id of each component; of rows that repeat it, the first by text. Rows without a doc_id stay."""
-    stay = link(docs, size, percent, count=False).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    out = docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi").unionByName(docs.where("doc_id is null"))
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("row_rank", rank).where("row_rank = 1 or doc_id is null").drop("row_rank")
-    return out
+    go = materialize(link(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("goes")).distinct(), "goes", narrow=True)
+    out = docs.join(_small(go), F.col("doc_id") == F.col("goes"), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("repeated")).count().where("count > 1").select("repeated")
+    twice = materialize(twice, "repeated", narrow=True)
+    if not twice.limit(1).count():
+        return out
+    here = F.col("doc_id") == F.col("repeated")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    first = out.join(_small(twice), here, "left_semi").withColumn("row_rank", rank).where("row_rank = 1").drop("row_rank")
+    return out.join(_small(twice), here, "left_anti").unionByName(first)

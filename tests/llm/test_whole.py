@@ -70,6 +70,38 @@ def test_op3_counts_every_link(spark, edge, edge_rows, monkeypatch):
         assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
 
 
+def test_op3_versions_share_a_component(spark):
+    """Rows that repeat a doc_id are versions of one document, also where they lie in different components."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (5, a), (5, b), (6, c), (7, c), (7, None), (None, a)]
+    got = {(r["doc_id"], r["n_shingles"]): r for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["component_id"] for k, r in got.items() if k[1]} == {(1, 38): 1, (2, 38): 1, (5, 38): 1, (6, 38): 6, (7, 38): 6, (None, 38): None}
+    assert got[7, 0]["component_id"] == 7
+    assert got[6, 38]["n_links"] == 1 and got[7, 0]["n_links"] == 0
+
+
+def test_op3_groups_with_equal_prefix_meet(spark):
+    """Members of one group, which share prefix and size, are linked with each other and with other groups by their whole sets only."""
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate((0, 1, 2, 60, 61, 117, 118, 119))]
+    rows += [(50 + i, " ".join([*base[: 100 - i], *(f"y{i}-{k}" for k in range(20 + i))])) for i in range(6)]
+    for size, percent in ((3, 90), (5, 80)):
+        sets = shingle_sets(rows, size)
+        want = sorted((i, sum(near(a, b, percent) for _, b in sets) - 1) for i, a in sets)
+        got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), size, percent).collect()
+        assert sorted((r["doc_id"], r["n_links"]) for r in got) == want
+
+
+def test_op3_long_histograms_are_bounds():
+    rng = np.random.default_rng(1)
+    for n, m in ((600, 700), (1000, 1100), (3000, 2500)):
+        both = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
+        x, y = (np.concatenate([both, rng.integers(0, 1 << 62, k - 500, dtype=np.uint64)]) for k in (n, m))
+        assert jaccard._fits(jaccard._wide(x), jaccard._wide(y), 500)
+        assert not jaccard._fits(jaccard._wide(x), jaccard._wide(y), min(n, m))
+    assert jaccard._wide(x[:100]) is None and jaccard._fits(None, jaccard._wide(x), 10**9)
+
+
 def test_op3_missing_histogram_bounds_nothing():
     some = np.full(jaccard.BUCKETS, 70, "<u2").tobytes()
     x, y = jaccard._bounds(np.array([None, some, some], object)), jaccard._bounds(np.array([None, None, some], object))
