@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.session import hold, materialize, ship, shared_dir
 
-__all__ = ["discard", "documents", "hold", "materialize", "ship", "shared_dir", "squeezed", "table", "tidy", "two", "unsqueezed"]
+__all__ = ["discard", "documents", "hold", "materialize", "ship", "shared_dir", "small", "squeezed", "table", "tidy", "two", "unsqueezed"]
 
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's default of 10,000 makes each of many megabytes.
@@ -48,6 +48,15 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of ids that may be sent to every executor; more are joined by a shuffle.
+SENT_IDS = 2_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few enough (their rows are counted), else to be joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
+
+
 def squeezed(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with its text column as zstd-compressed UTF-8: a shuffle of whole texts takes a third less than Spark's own compression."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, hold, materialize, squeezed, tidy, two, unsqueezed
+from quillspark.llm.common import discard, hold, materialize, small, squeezed, tidy, two, unsqueezed
 from quillspark.llm.fingerprint import bands_of, shingles, signatures
 from quillspark.llm.graph import components
 from quillspark.llm.words import Words, buffers, chunks, mix
@@ -268,14 +268,6 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "g long, h long").distinct()
 
 
-#: Rows of ids that may be sent to every executor; more are joined by a shuffle.
-SENT_IDS = 2_000_000
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
-
-
 def _fold(x: np.ndarray, span: int) -> np.ndarray:
     return x.reshape(-1, span).sum(0, dtype=np.uint16)
 
@@ -317,8 +309,8 @@ def histograms(live: DataFrame, every: DataFrame, member: DataFrame) -> DataFram
 
     schema = "g long, n long, bound binary, wide binary"
     several = member.where("g != row").select("g").distinct()
-    one = every.join(_small(live.join(several, "g", "left_anti").select(F.col("g").alias("row"))), "row", "left_semi").select(F.col("row").alias("g"), "n", "bound", "wide")
-    many = every.join(_small(member.join(several, "g", "left_semi").select("row", "g")), "row").select("g", "n", "bound", "wide")
+    one = every.join(small(live.join(several, "g", "left_anti").select(F.col("g").alias("row"))), "row", "left_semi").select(F.col("row").alias("g"), "n", "bound", "wide")
+    many = every.join(small(member.join(several, "g", "left_semi").select("row", "g")), "row").select("g", "n", "bound", "wide")
     # once before the shuffle, so that a group of very many members sends a row per task
     many = many.sortWithinPartitions("g").mapInArrow(run, schema).repartition("g").sortWithinPartitions("g").mapInArrow(run, schema)
     return one.union(many)
@@ -451,7 +443,7 @@ def links(linked: DataFrame, docs: DataFrame, level, size: int, percent: int) ->
 
 def clusters(every: DataFrame, member: DataFrame, percent: int, bands: bool) -> DataFrame:
     """(g, comp) of groups that may be linked with others: no link joins groups of two clusters."""
-    groups = every.join(_small(member.where("row = g").select("row")), "row", "left_semi")
+    groups = every.join(small(member.where("row = g").select("row")), "row", "left_semi")
     # in an order of its own in each list, so that neighbours differ from list to list
     rows = groups.select("n", F.col("row").alias("g"), F.posexplode("head").alias("pos", "key")).select("key", (F.lit(0) if bands else F.col("pos")).cast("long").alias("pos"), "n", "g")
     rows = rows.repartition("key").sortWithinPartitions("key", "n", F.xxhash64("g", "key"))
@@ -512,12 +504,12 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: bo
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with only the smallest doc_id of each component; of rows that repeat it, the first by text. Rows without a doc_id stay."""
     go = materialize(link(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("goes")).distinct(), "goes", narrow=True)
-    out = docs.join(_small(go), F.col("doc_id") == F.col("goes"), "left_anti")
+    out = docs.join(small(go), F.col("doc_id") == F.col("goes"), "left_anti")
     twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("repeated")).count().where("count > 1").select("repeated")
     twice = materialize(twice, "repeated", narrow=True)
     if not twice.limit(1).count():
         return out
     here = F.col("doc_id") == F.col("repeated")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = out.join(_small(twice), here, "left_semi").withColumn("row_rank", rank).where("row_rank = 1").drop("row_rank")
-    return out.join(_small(twice), here, "left_anti").unionByName(first)
+    first = out.join(small(twice), here, "left_semi").withColumn("row_rank", rank).where("row_rank = 1").drop("row_rank")
+    return out.join(small(twice), here, "left_anti").unionByName(first)

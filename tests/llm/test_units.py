@@ -185,10 +185,16 @@ def test_ordinal_fit_separates():
     assert expected[g == 0].mean() < 0.5 < expected[g == 1].mean() < 1.5 < expected[g == 2].mean()
 
 
-def test_phrases_recurring_and_located():
-    text = [f"w{k}".encode() for k in range(30)]
-    out = phrases.locate([text, text[5:25] + [b"z"]], [np.array([], np.int64), np.arange(8)], 13)
-    assert not out[0].any() and out[1].tolist() == [True] * 20 + [False]
+def test_automata_decide():
+    """Only hits of passages of smaller documents cover words, in however many automata they are."""
+    text = [f"w{k}".encode() for k in range(40)]
+    found = [(b" ".join(text[a:b]), source) for a, b, source in ((0, 13, 7), (5, 25, 3), (5, 25, 2), (30, 40, 1))]
+    for most in (1, 40, 1000):
+        for doc, want in ((2, {*range(30, 40)}), (3, {*range(5, 25), *range(30, 40)}), (9, {*range(25), *range(30, 40)})):
+            edge = np.zeros(len(text) + 1, np.int64)
+            for tree in phrases.automata(found, most):
+                tree.cover(text, doc, edge)
+            assert set(np.flatnonzero(np.cumsum(edge[:-1]) > 0).tolist()) == want
 
 
 def test_fingerprint_estimates_jaccard():

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from quillspark.llm import fingerprint, jaccard, lm
+from quillspark.llm import fingerprint, jaccard, lm, phrases
 from quillspark.llm.words import buffers
 
 
@@ -107,3 +107,39 @@ def test_op3_missing_histogram_bounds_nothing():
     x, y = jaccard._bounds(np.array([None, some, some], object)), jaccard._bounds(np.array([None, None, some], object))
     need = jaccard._need(np.full(3, 10_000_000), np.full(3, 10_000_000), 90)
     assert jaccard._enough(x, y, need).tolist() == [True, True, False]
+
+
+def brute_dedup(rows, phrase=13):
+    first, out = {}, []
+    key = lambda i: math.inf if i is None else i
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for (i, _), w in zip(rows, words, strict=True):
+        for k in range(len(w) - phrase + 1):
+            first[tuple(w[k : k + phrase])] = min(first.get(tuple(w[k : k + phrase]), math.inf), key(i))
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = {k + m for k in range(len(w) - phrase + 1) if first[tuple(w[k : k + phrase])] < key(i) for m in range(phrase)}
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def test_op4_versions_of_a_document(spark):
+    """Rows that repeat a doc_id have results of their own: what recurs in one leaves the other alone."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b + " " + a), (6, c + " " + b), (9, c), (9, None), (3, "")]
+    got = phrases.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_dedup(rows)
+
+
+def test_op4_shards_and_shifted_passages(spark):
+    """Passages that overlap, repeat and begin anywhere, few words so that phrases recur by chance, many shards and automata."""
+    rng = np.random.default_rng(11)
+    base = [f"v{k}" for k in rng.integers(0, 400, 600)]
+    rows = []
+    for i in rng.permutation(90).tolist():
+        parts = [base[a : a + n] for a, n in zip(rng.integers(0, 560, 4).tolist(), rng.integers(5, 60, 4).tolist(), strict=True)]
+        rows.append((i, " ".join(w for p in parts for w in [*p, *(f"u{k}" for k in rng.integers(0, 50, int(rng.integers(0, 9))))])))
+    rows += [(100, " ".join(["x"] * 500)), (101, " ".join(["x"] * 40)), (102, " ".join(["x", "y"] * 40)), (103, " ".join(["y", "x"] * 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for shards, most in ((None, phrases.AUTOMATON), (1, 50), (64, 1000)):
+        got = phrases.dedup(docs, shards=shards, most=most).collect()
+        assert sorted(map(tuple, got), key=str) == brute_dedup(rows)
