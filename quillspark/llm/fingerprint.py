@@ -5,8 +5,12 @@ a text without words has the fingerprint of no shingle. Every permutation is a
 universal hash (odd multiplier, offset, upper 32 of 64 bits), so equal texts have
 equal fingerprints and the share of equal values estimates the Jaccard index.
 
+Near copies are found in the whole corpus: texts that agree in a band of their
+signatures meet in a Spark join, and their links are verified on whole shingle sets.
+
 Null text counts as empty; repeated rows each get a row; an empty table gives an
-empty one; extra columns are ignored.
+empty one; extra columns are ignored. The next document of one whose doc_id other
+rows share may be one of these; documents without one come last.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, tidy, two
+from quillspark.llm.common import materialize, small, squeezed, tidy, two, unsqueezed
 from quillspark.llm.words import Words, buffers, chunks, mix, windows
 
 PERMUTATIONS, SHINGLE, SEED = 64, 5, 20
@@ -92,10 +96,6 @@ def classes(docs: DataFrame) -> DataFrame:
     return materialize(found.groupBy(F.col("doc_id").alias("near_of")).agg(F.min("component_id").alias("near_id")), "near", narrow=True)
 
 
-#: Documents whose class may be sent to every executor (16 bytes each); more are joined by a shuffle.
-SENT_CLASSES = 2_000_000
-
-
 def as_hex(sig: np.ndarray) -> list[str]:
     raw = sig.astype(">u4").tobytes().hex()
     n = sig.shape[1] * 8
@@ -115,32 +115,39 @@ def fingerprints(docs: DataFrame, k: int = PERMUTATIONS, size: int = SHINGLE) ->
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, text, part, ghost: range parts of doc_id. Each part also holds, as a ghost, the document that follows its last in descending order."""
+    """doc_id, text (squeezed), part, ghost: range parts of doc_id. Each part also holds, as a ghost, the document that follows its last in descending order.
+
+    Rows that share a doc_id are in an order by a hash of their text, and so are those without one, which come last and have parts of their own by that hash.
+    """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    got = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20_000)).head()[0] or []
-    cuts = np.unique(np.array([c for c in got if c is not None], np.int64))
+    got, rows, named = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20_000), F.count("*"), F.count("doc_id")).head()
+    cuts = np.unique(np.array([c for c in got or [] if c is not None], np.int64))
+    unnamed = max(1, -(-(rows - named) * n // max(1, rows)))  # parts of documents without an id
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
+    def part(ids: pd.Series, h: pd.Series) -> pd.Series:
         null = ids.isna().to_numpy()
-        return pd.Series(np.where(null, -1, np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), "right")).astype(np.int32))
-
-    ids = docs.select("doc_id", part("doc_id").alias("part"))
-    tops = sorted((r["part"], r["top"]) for r in ids.groupBy("part").agg(F.max("doc_id").alias("top")).collect())  # a row per part
-    follows: dict[int | None, list[int]] = {}
-    for (p, _), (_, top) in zip(tops, [tops[-1], *tops[:-1]], strict=True) if tops else []:
-        follows.setdefault(top, []).append(p)
-    rows = [(k, v) for k, v in follows.items()] or [(None, [])]
-    ghosts = F.broadcast(spark.createDataFrame(rows, "ghost_id long, into array<int>"))
-    placed = docs.withColumn("part", part("doc_id")).join(ghosts, F.col("doc_id").eqNullSafe(F.col("ghost_id")), "left")
+        nth = ((h.to_numpy(np.int64) >> 32) + (1 << 31)) * unnamed >> 32
+        return pd.Series(np.where(null, -1 - nth, np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), "right")).astype(np.int32))
+
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    ids = hashed.select("doc_id", "h", part("doc_id", "h").alias("part"))
+    tops = sorted((r["part"], tuple(r["top"])) for r in ids.groupBy("part").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("top")).collect())  # a row per part
+    follows: dict[tuple, list[int]] = {}
+    for (p, _), (_, (top, h)) in zip(tops, [tops[-1], *tops[:-1]], strict=True) if tops else []:
+        follows.setdefault((top, ~h), []).append(p)
+    rows = [(*k, v) for k, v in follows.items()] or [(None, None, [])]
+    ghosts = F.broadcast(spark.createDataFrame(rows, "ghost_id long, ghost_h long, into array<int>"))
+    placed = hashed.withColumn("part", part("doc_id", "h")).join(ghosts, (F.col("h") == F.col("ghost_h")) & F.col("doc_id").eqNullSafe(F.col("ghost_id")), "left")
     own = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("ghost")))
     also = F.transform(F.coalesce("into", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(1).alias("ghost")))
+    dealt = squeezed(placed.select("doc_id", "h", "text", F.concat(own, also).alias("at")))
     return (
-        placed.select("doc_id", "text", F.explode(F.concat(own, also)).alias("at"))
-        .select("doc_id", "text", "at.part", "at.ghost")
-        .repartition(n, "part")
-        .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+        dealt.select("doc_id", "h", "text", F.explode("at").alias("at"))
+        .select("doc_id", "h", "text", "at.part", "at.ghost")
+        .repartitionByRange(n, "part")
+        .sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
     )
 
 
@@ -175,13 +182,14 @@ def edits(docs: DataFrame, k: int = PERMUTATIONS, size: int = SHINGLE) -> DataFr
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                cols = tuple(h + c.to_pylist() for h, c in zip(held, part.columns, strict=True))
+                more = part.column(0).to_pylist(), [t.decode() for t in unsqueezed(part.column(1).to_pylist())], part.column(2).to_pylist(), part.column(3).to_pylist()
+                cols = tuple(h + c for h, c in zip(held, more, strict=True))
                 if out := rows(*cols):
                     yield out
                 held = tuple(c[-1:] for c in cols)
 
+    near = classes(docs)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = _neighbours(two(docs)).select("doc_id", "text", "part", "ghost").mapInArrow(tidy(run), schema)
-    near = classes(docs)
-    near = F.broadcast(near) if near.count() <= SENT_CLASSES else near
+    near = small(near)
     return out.join(near, F.col("doc_id") == F.col("near_of"), "left").select(*names, F.coalesce("near_id", "doc_id").alias("near_id"))

@@ -7,7 +7,8 @@ rejection threshold are set on a part of that sample kept apart.
 
 Null text, or text without a letter, is `und` with score 0 and rejected. Rows
 without a language teach nothing; without any labelled row all rows are `und`.
-Ties go to the first language in order. Repeated rows get equal answers.
+Ties go to the first language in order. Repeated rows get equal answers. An empty
+table gives an empty one; extra columns are ignored (`keep` keeps them).
 """
 
 from __future__ import annotations
@@ -27,13 +28,22 @@ from quillspark.llm.words import buffers, chunks
 BUCKET_BITS, DIM = 16, 16
 #: Labelled rows that the model may be fitted on, over all languages together.
 SAMPLE_ROWS, LEAST_PER_LANG = 3000, 30
+#: Characters of such a row that are learned from; predictions read whole texts.
+SAMPLE_CHARS = 200_000
 #: Share of correct, kept-apart rows that rejection may cost.
 REJECT_SHARE = 0.001
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of a text that are scored at once.
+SPAN = 1 << 20
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[i for i in range(128) if not chr(i).isalpha()]] = 0x20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (of a Unicode category L; digits, fractions and letter numbers are none)."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 def subwords(raw: np.ndarray, bits: int = BUCKET_BITS) -> list[np.ndarray]:
     """Bucket of the 3-gram and of the 4-gram that begin at each byte."""
     b = _CLASS[raw].astype(np.uint32)
@@ -85,7 +95,7 @@ def _crops(texts: list[str], langs: list[int], rng: np.random.Generator) -> tupl
 def fit(texts: list[str], langs: list[str], bits: int = BUCKET_BITS, dim: int = DIM, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> Model:
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    usable = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+    usable = [i for i, t in enumerate(texts) if has_letter(t)]
     y0 = [names.index(langs[i]) for i in usable]
     apart = rng.random(len(usable)) < 0.2 if len(usable) >= 50 else np.zeros(len(usable), bool)
     part = lambda keep: _crops([texts[usable[i]] for i in np.flatnonzero(keep)], [y0[i] for i in np.flatnonzero(keep)], rng)
@@ -126,18 +136,24 @@ def fit(texts: list[str], langs: list[str], bits: int = BUCKET_BITS, dim: int =
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, accepted) of each text, every byte of which counts."""
     strings = [t or "" for t in texts.to_pylist()]
-    known = np.array([bool(_LETTER.search(t)) for t in strings], bool)
+    known = np.array([has_letter(t) for t in strings], bool)
     raw, offsets = buffers(pa.array([f"  {t.lower()}  " for t in strings], pa.large_string()))
     score, best = np.zeros(len(strings)), np.zeros(len(strings), np.int64)
+    bits = int(np.log2(len(model.weight)))
     for i, j in chunks(offsets):
         at = offsets[i : j + 1] - offsets[i]
-        n, total = np.diff(at), 0
-        for k, b in zip((3, 4), subwords(raw[offsets[i] : offsets[j]], BUCKET_BITS if len(model.weight) == 1 << BUCKET_BITS else int(np.log2(len(model.weight)))), strict=True):
-            w = np.zeros((int(at[-1]), model.weight.shape[1]), np.float32)
-            w[: len(b)] = model.weight[b]
-            for back in range(1, k):  # those that reach into the next text
-                w[at[1:] - back] = 0
-            total = total + np.add.reduceat(w, at[:-1], dtype=np.float64)
+        n, total = np.diff(at), np.zeros((j - i, model.weight.shape[1]))
+        for s in range(0, int(at[-1]), SPAN):  # one text may be long
+            e = min(s + SPAN, int(at[-1]))
+            row = np.searchsorted(at, [s, e - 1], "right") - 1
+            cut = np.maximum(at[row[0] : row[1] + 1], s) - s
+            for k, b in zip((3, 4), subwords(raw[offsets[i] + s : offsets[i] + min(e + 3, int(at[-1]))], bits), strict=True):
+                w = np.zeros((e - s, model.weight.shape[1]), np.float32)
+                w[: len(b)] = model.weight[b[: e - s]]
+                stop = at[row[0] + 1 : row[1] + 2] - s
+                for back in range(1, k):  # those that reach into the next text
+                    w[(stop - back)[(stop >= back) & (stop - back < e - s)]] = 0
+                total[row[0] : row[1] + 1] += np.add.reduceat(w, cut, dtype=np.float64)
         p = _softmax((total / (2 * n - 5)[:, None] + model.bias) / model.temperature)
         best[i:j], score[i:j] = p.argmax(1), p.max(1)
     score = np.where(known, score, 0.0)
@@ -145,13 +161,22 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nd
     return langs, score, known & (score >= model.threshold)
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """A bounded sample of (text, lang), spread evenly over the languages, the same at every run."""
-    ids = labelled.select("doc_id", "lang").where("lang is not null and doc_id is not null")
-    n = max(1, ids.select("lang").distinct().count())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= max(LEAST_PER_LANG, rows // n)).select("doc_id").limit(max(rows, LEAST_PER_LANG * n))
-    got = labelled.where("lang is not null").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", "lang", "doc_id").collect()
+def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
+    """A bounded sample of (text, lang), spread evenly over the languages, the same at every run: `rows` rows of up to `chars` characters.
+
+    Each language's rows are those of least hash; counts give a limit that leaves few more than wanted, so only these are ranked.
+    """
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where("lang is not null and doc_id is not null")
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
+        return [], []
+    most = max(LEAST_PER_LANG, rows // len(counts))
+    limit = {lang: min(1.0, (most + 4 * most**0.5) / n) for lang, n in counts.items()}
+    limits = labelled.sparkSession.createDataFrame([(k, int(v * (1 << 40))) for k, v in limit.items()], "of string, below long")
+    near = ids.join(F.broadcast(limits), F.col("lang") == F.col("of")).where(F.shiftrightunsigned("h", 24) < F.col("below"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= most)
+    chosen = near.select("doc_id").distinct()
+    got = labelled.where("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, chars).alias("text"), "lang", "doc_id").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))
     return [r["text"] or "" for r in got], [r["lang"] for r in got]
 
@@ -184,7 +209,7 @@ def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFr
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 if shared.value is None:
-                    ok = np.array([bool(t and _LETTER.search(t)) for t in part.column(at).to_pylist()], bool)
+                    ok = np.array([bool(t) and has_letter(t) for t in part.column(at).to_pylist()], bool)
                 else:
                     ok = predict(shared.value, part.column(at))[2]
                 yield part.filter(pa.array(ok))
@@ -199,7 +224,7 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of documents that are not held out; None if none of them has a language."""
     texts, langs = sample(docs.select("doc_id", "text", "lang").where(~held_out()), rows)
-    return fit(texts, langs) if any(_LETTER.search(t) for t in texts) else None
+    return fit(texts, langs) if any(has_letter(t) for t in texts) else None
 
 
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -93,9 +93,11 @@ def split_tree(units: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, shards): the words the mix takes of each document, and the output shard of each pass that takes it."""
+    """(doc_id, source, size, source_size, target, taken, shards, text_hash): the words the mix takes of each row, and the output shard of each pass that takes it."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"), F.pmod(key, F.lit(blocks)).cast("int").alias("block")), "sizes")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(key)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"), F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.xxhash64("text").alias("text_hash"))
+    sized = materialize(sized, "sizes")
     by_block = materialize(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")  # blocks rows a source at most
     goal = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     quota = F.round("target").cast("long")
@@ -114,31 +116,41 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     blocks_plan = materialize(laid.join(dealt, ["index", "block"], "left").select("source", "block", "words", "passes", "left", F.transform("to", lambda x: x["shard"]).alias("shards")), "plan")
 
     d = sized.alias("d").join(blocks_plan.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-    d = d.select("d.doc_id", "d.source", "d.size", "d.block", "b.words", "b.passes", "b.left", "b.shards")
+    d = d.select("d.doc_id", "d.source", "d.size", "d.block", "d.text_hash", "b.words", "b.passes", "b.left", "b.shards")
     inside = (F.col("left") > 0) & (F.col("left") < F.col("words"))  # the one block of a source in which the last pass ends
-    shuffle = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shuffle = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id", "text_hash"), "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = d.where(inside).withColumn("before", F.sum("size").over(shuffle) - F.col("size"))
     cut = cut.withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))).drop("before")
     whole = d.where(~inside).withColumn("last", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0)))
     d = whole.unionByName(cut).withColumn("taken", F.col("passes") * F.col("size") + F.col("last"))
     kept = F.when(F.col("taken") > 0, F.slice("shards", F.lit(1), F.col("passes") + (F.col("last") > 0).cast("int"))).otherwise(F.array().cast("array<int>"))
     return d.join(goal.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), kept.alias("shards")
+        "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), kept.alias("shards"), "text_hash"
     )
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: docs' columns and `mix_shard`, a row for every pass that takes a document, its text cut where the mix ends inside it; each shard shuffled."""
-    taken = plan(docs, shards=shards, seed=seed, **options).where("taken > 0").select(F.col("doc_id").alias("id"), F.col("size").alias("n"), F.struct("taken", "shards").alias("x"))
-    taken = taken.groupBy("id", "n").agg(F.max("x").alias("x")).select("id", "n", "x.taken", "x.shards")
+    """The mix itself: docs' columns and `mix_shard`, a row for every pass that takes a document, its text cut where the mix ends inside it; each shard shuffled.
+
+    Rows that share doc_id, source and text are told apart by their number among these; each gets a plan of its own.
+    """
+    same = ["id", "s", "h"]
+    taken = plan(docs, shards=shards, seed=seed, **options).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("text_hash").alias("h"), F.struct("taken", "shards").alias("x"))
+    taken = taken.groupBy(*same).agg(F.array_sort(F.collect_list("x")).alias("plans"))  # as many as a row is repeated
     rows = docs.select(F.struct("*").alias("doc"))  # apart, so that no column of docs clashes
-    rows = rows.join(taken, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (_size(F.col("doc.text")) == F.col("n")))
-    rows = rows.select("doc", "id", "n", "taken", F.posexplode("shards").alias("pass", "mix_shard"))
+    rows = rows.withColumn("h", F.xxhash64("doc.text"))
+    repeated = rows.groupBy(F.col("doc.doc_id").alias("id"), F.col("doc.source").alias("s"), "h").count().where("count > 1").limit(1).count()
+    nth = F.row_number().over(Window.partitionBy("doc.doc_id", "doc.source", "h").orderBy(F.lit(0))) if repeated else F.lit(1)
+    rows = rows.withColumn("nth", nth).alias("r").join(taken.alias("t"), F.col("r.doc.doc_id").eqNullSafe(F.col("t.id")) & F.col("r.doc.source").eqNullSafe(F.col("t.s")) & (F.col("r.h") == F.col("t.h")))
+    rows = rows.where("nth <= size(plans)").select("doc", "id", F.col("r.h").alias("h"), "nth", F.element_at("plans", F.col("nth")).alias("x"))
+    rows = rows.select("doc", "id", "h", "nth", _size(F.col("doc.text")).alias("n"), "x.taken", "x.shards")
+    rows = rows.select("doc", "id", "h", "nth", "n", "taken", F.posexplode("shards").alias("pass", "mix_shard"))
     words = F.least(F.col("n"), F.col("taken") - F.col("pass") * F.col("n"))
     part = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
     rows = rows.withColumn("cut", F.when(words < F.col("n"), part))
-    local = F.xxhash64(F.lit(seed + 4), "id", "pass")
-    salt = F.pmod(F.xxhash64(F.lit(seed + 5), "id", "pass"), F.lit(16))
+    local = F.xxhash64(F.lit(seed + 4), "id", "h", "nth", "pass")
+    salt = F.pmod(F.xxhash64(F.lit(seed + 5), "id", "h", "nth", "pass"), F.lit(16))
     rows = rows.withColumn("order", local).repartition("mix_shard", salt).sortWithinPartitions("mix_shard", "order")
     new = {"text": F.coalesce("cut", "doc.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns), "mix_shard")

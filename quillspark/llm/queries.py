@@ -45,7 +45,7 @@ def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import mixing
 
-    return mixing.plan(documents(spark, sf_dir)).drop("source")
+    return mixing.plan(documents(spark, sf_dir)).drop("source", "text_hash")
 
 
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import struct
 
 import numpy as np
@@ -171,6 +172,31 @@ def test_langid_short_and_unknown():
     assert langs == ["en", "de", "und", "und", "und"] and list(score[2:]) == [0, 0, 0] and not ok[2:].any()
 
 
+def test_langid_letters():
+    assert [langid.has_letter(t) for t in ("½ ²", "Ⅷ 12", "_-", "", "٣", "é", "漢", "1a", "x" * 9)] == [False] * 5 + [True] * 4
+
+
+def test_langid_reads_whole_texts(monkeypatch):
+    """Scores are those of plain sums over each text's subwords, however texts are cut to be scored."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé 漢.") for _ in range(n)) + "z" for n in (0, 1, 3, 50, 64, 65, 700, 5000)]
+    m = langid.fit([t[:300] for t in texts] * 5, ["a", "b"] * 20, bits=10)
+    want = []
+    for t in texts:
+        (b, share), = langid.bags([t], 10)
+        want.append(langid._softmax(((m.weight[b] * share[:, None]).sum(0) + m.bias)[None] / m.temperature).max())
+    for span in (langid.SPAN, 64, 7, 1):
+        monkeypatch.setattr(langid, "SPAN", span)
+        assert np.allclose(langid.predict(m, pa.array(texts))[1], want, atol=1e-5)
+
+
+def test_langid_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "a" if i % 3 else "b") for i in range(900)] + [(None, "x", "a"), (5000, "y", None)], "doc_id long, text string, lang string")
+    texts, langs = langid.sample(docs, 100)
+    assert langs.count("a") == langs.count("b") == 50 and (texts, langs) == langid.sample(docs.repartition(5), 100)
+    assert len(langid.sample(docs, 9000)[0]) == 900
+
+
 def test_ordinal_fit_separates():
     rng = np.random.default_rng(3)
     rows = []
@@ -226,8 +252,26 @@ def test_split_tree_exact(spark):
 def test_mixed_rows(spark, edge):
     rows = mixing.mixed(edge).collect()
     assert set(rows[0].asDict()) == {*edge.columns, "mix_shard"}
-    got = {}
+    got, want = {}, {}
     for r in rows:
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len((r["text"] or "").split())
-    plan = {r["doc_id"]: r["taken"] for r in mixing.plan(edge).collect() if r["doc_id"] is not None}
-    assert all(got.get(i, 0) == n for i, n in plan.items() if i not in (155, 159))
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    for r in mixing.plan(edge).collect():
+        want[r["doc_id"], r["source"]] = want.get((r["doc_id"], r["source"]), 0) + r["taken"]
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_mixed_rows_that_share_an_id(spark):
+    """One doc_id and one size in several sources, repeated rows, rows without an id: each gets what its own row's plan takes."""
+    rows = [(i % 7 if i % 5 else None, " ".join(["w"] * (3 + i % 2)) + f" {i % 4}", f"s{i % 3}") for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan(docs).collect()
+    got = mixing.mixed(docs).collect()
+    for key in ("source", "doc_id"):
+        want, have = {}, {}
+        for r in plan:
+            want[r[key]] = want.get(r[key], 0) + r["taken"]
+        for r in got:
+            have[r[key]] = have.get(r[key], 0) + len(r["text"].split())
+        assert have == {k: n for k, n in want.items() if n}
+    target = {r["source"]: r["target"] for r in plan}
+    assert all(abs(sum(r["taken"] for r in plan if r["source"] == s) - t) <= 0.5 for s, t in target.items())
