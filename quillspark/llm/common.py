@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.session import hold, materialize, ship, shared_dir
 
-__all__ = ["discard", "documents", "hold", "materialize", "ship", "shared_dir", "small", "squeezed", "table", "tidy", "two", "unsqueezed"]
+__all__ = ["discard", "documents", "hold", "materialize", "ship", "shared_dir", "small", "squeezed", "table", "tidy", "trim", "two", "unsqueezed"]
 
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's default of 10,000 makes each of many megabytes.
@@ -76,17 +76,22 @@ def unsqueezed(data: list[bytes]) -> list[bytes]:
     return [codec.decompress(x[8:], struct.unpack_from("<q", x)[0], asbytes=True) for x in data]
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which at a partition's end gives freed memory back to the system: idle workers otherwise keep what their largest task took."""
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        trim()
 
     return whole

@@ -8,9 +8,10 @@ place and two histograms (128 buckets; for long sets also one that grows with th
 set), all upper bounds of the overlap. The bounds of a group are the maxima of its
 members', so a pair of groups stays if any two members could be linked.
 
-Two passes keep that linear where many near copies share lists: the first tests two
+Two passes keep that linear where many near copies share lists: the first tests four
 neighbours of each group and joins what passes to clusters; the second takes every
-pair of groups that passes the bounds unless both lie in one cluster already. So every
+pair of groups that passes the bounds unless both lie in one cluster already, of long
+lists only as many as join the same clusters. So every
 link lies inside a cluster. There groups are expanded: whole texts meet block by block,
 a large cluster in many blocks, every two sets of a cluster are compared, and verified
 links give the components and the number of links of every document.
@@ -187,19 +188,23 @@ def _spread(lo: np.ndarray, hi: np.ndarray, of: np.ndarray, most: int = 1 << 20)
 
 #: Lists up to this long are searched for rows that no other row can be linked with.
 SEARCHED = 4096
+#: How far neighbours in a list are apart at most, and of how many a group is tested in the first pass.
+APART, PICKS = 3, 4
 
 
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """kind 1: pairs (g, h) of groups that follow each other in a list; kind 0: the rows of lists that may be linked with another."""
+    """kind 1: pairs (g, h) of groups that are near each other in a list; kind 0: the rows of lists that may be linked with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches):
             key, n, g, pos = c["key"], c["n"], c["g"], c["pos"]
-            same = key[1:] == key[:-1]
-            i = np.flatnonzero(same & (n[:-1] * 100 >= percent * n[1:]))
-            i = i[_room(n, pos, i, i + 1, percent)]
-            pair = np.unique(np.stack([np.minimum(g[i], g[i + 1]), np.maximum(g[i], g[i + 1])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
-            at = np.cumsum(np.concatenate([[True], ~same])) - 1
+            found = []
+            for k in range(1, min(APART, len(key) - 1) + 1):
+                i = np.flatnonzero((key[k:] == key[:-k]) & (n[:-k] * 100 >= percent * n[k:]))
+                i = i[_room(n, pos, i, i + k, percent)]
+                found.append(np.stack([np.minimum(g[i], g[i + k]), np.maximum(g[i], g[i + k])]))
+            pair = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+            at = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
             length = np.bincount(at)[at]
             live = length > SEARCHED
             few = np.flatnonzero((length > 1) & ~live)
@@ -228,42 +233,68 @@ def _enough(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
     return missing | (np.minimum(x, y).sum(1, dtype=np.int64) >= need)
 
 
+#: Of longer lists only pairs that join clusters are kept, not all.
+PAIRED = 16
+
+
+def forest(n: np.ndarray, pos: np.ndarray, g: np.ndarray, comp: np.ndarray, bound: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """(2, k) pairs of a list's groups, rows sorted by size, that pass the filters: all with a long set, and of the others, which
+    have no further test, as many as it takes to join what they join."""
+    label = np.unique(comp, return_inverse=True)[1]
+    order = np.argsort(label, kind="stable")
+    first = np.searchsorted(label[order], np.arange(label.max() + 2))
+    low, high = np.searchsorted(n, -(-percent * n // 100), "left"), np.searchsorted(n, n * 100 // percent, "right")
+    free, long = np.ones(len(n), bool), n > LONG
+    for begin in range(len(n)):
+        if not free[begin]:
+            continue
+        queue = order[first[label[begin]] : first[label[begin] + 1]].tolist()
+        free[queue] = False
+        while queue:
+            i = queue.pop()
+            j = np.flatnonzero(free[low[i] : high[i]]) + low[i]
+            j = j[_room(n, pos, i, j, percent)]
+            j = j[_enough(bound[i][None], bound[j], _need(n[i], n[j], percent))]
+            if not len(j):
+                continue
+            sure = j[~(long[j] | long[i])]
+            some, one = np.unique(label[sure], return_index=True)
+            pair = np.concatenate([sure[one], j[long[j] | long[i]]])
+            yield np.stack([np.minimum(g[i], g[pair]), np.maximum(g[i], g[pair])])
+            for k in some.tolist():
+                rows = order[first[k] : first[k + 1]]
+                free[rows] = False
+                queue += rows.tolist()
+
+
 def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (g, h) of groups in one list that pass the filters and don't lie in one cluster (comp)."""
+    """Pairs (g, h) of groups in one list that pass the filters and don't lie in one cluster (comp); those that join the rest of a long list to it are enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches):
             key, n, pos, g, comp = (c[x] for x in ("key", "n", "pos", "g", "comp"))
+            bound = _bounds(c["bound"])
             at = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-            # everything but a list's most frequent cluster meets all others of the list
-            order = np.lexsort((comp, at))
-            a, k = at[order], comp[order]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])]))
-            times = np.diff(np.append(new, len(a)))
-            best = np.lexsort((times, a[new]))
-            last = np.concatenate([a[new][best][1:] != a[new][best][:-1], [True]])
-            major = np.zeros(int(at[-1]) + 1, np.int64)
-            major[a[new][best][last]] = k[new][best][last]
-            minor = np.flatnonzero(comp != major[at])
-            if not len(minor):
-                continue
+            begin = np.searchsorted(at, np.arange(at[-1] + 2))
+            length = np.diff(begin)
+            found = [np.zeros((2, 0), np.int64)]
+            for k in np.flatnonzero(length > PAIRED).tolist():
+                s = slice(begin[k], begin[k + 1])
+                found += forest(n[s], pos[s], g[s], comp[s], bound[s], percent)
+            few = np.flatnonzero(length[at] <= PAIRED)
             big = np.int64(1) << 40
-            spot = at * big + n
-            lo = np.searchsorted(spot, at[minor] * big + -(-percent * n[minor] // 100), "left")
-            hi = np.searchsorted(spot, at[minor] * big + n[minor] * 100 // percent, "right")
-            bound = _bounds(c["bound"])
-            for i, j in _spread(lo, hi, minor):
+            hi = np.searchsorted(at * big + n, at[few] * big + n[few] * 100 // percent, "right")
+            for i, j in _spread(few + 1, hi, few, 1 << 16):
                 ok = comp[i] != comp[j]
                 i, j = i[ok], j[ok]
                 ok = _room(n, pos, i, j, percent)
                 i, j = i[ok], j[ok]
-                for s in range(0, len(i), 1 << 15):
-                    x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-                    ok = _enough(bound[x], bound[y], _need(n[x], n[y], percent))
-                    x, y = x[ok], y[ok]
-                    if len(x):
-                        pair = np.unique(np.stack([np.minimum(g[x], g[y]), np.maximum(g[x], g[y])]), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["g", "h"])
+                ok = _enough(bound[i], bound[j], _need(n[i], n[j], percent))
+                i, j = i[ok], j[ok]
+                found.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]))
+            pair = np.unique(np.concatenate(found, axis=1), axis=1)
+            if pair.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["g", "h"])
 
     return rows.mapInArrow(run, "g long, h long").distinct()
 
@@ -452,7 +483,7 @@ def clusters(every: DataFrame, member: DataFrame, percent: int, bands: bool) ->
     known = materialize(histograms(lists.select("g").distinct(), every, member), "histograms")
     beside = found.where("kind = 1").select("g", "h")
     beside = beside.union(beside.select(F.col("h").alias("g"), F.col("g").alias("h"))).groupBy("g")
-    beside = beside.agg(F.array(*(F.min_by("h", F.xxhash64(F.lit(s), "g", "h")) for s in (1, 2))).alias("h")).select("g", F.explode("h").alias("h"))
+    beside = beside.agg(F.array(*(F.min_by("h", F.xxhash64(F.lit(s), "g", "h")) for s in range(PICKS))).alias("h")).select("g", F.explode("h").alias("h"))
     beside = beside.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
     comp = components(possible(beside, known, percent).select(F.col("g").alias("a"), F.col("h").alias("b")))
     comp = materialize(known.select("g").join(comp.withColumnRenamed("id", "g"), "g", "left").select("g", F.coalesce("component", "g").alias("comp")), "clusters", narrow=True)

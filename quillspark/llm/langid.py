@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import tidy
+from quillspark.llm.common import tidy, trim
 from quillspark.llm.words import buffers, chunks
 
 BUCKET_BITS, DIM = 16, 16
@@ -224,7 +224,9 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of documents that are not held out; None if none of them has a language."""
     texts, langs = sample(docs.select("doc_id", "text", "lang").where(~held_out()), rows)
-    return fit(texts, langs) if any(has_letter(t) for t in texts) else None
+    model = fit(texts, langs) if any(has_letter(t) for t in texts) else None
+    trim()  # what the fit took is not kept by the driver
+    return model
 
 
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import fingerprint, gif, langid, lm, mixing, packing, phrases, pii, quality
+from quillspark.llm import fingerprint, gif, graph, langid, lm, mixing, packing, phrases, pii, quality
 from quillspark.llm.words import Words, buffers
 
 
@@ -172,6 +172,32 @@ def test_langid_short_and_unknown():
     assert langs == ["en", "de", "und", "und", "und"] and list(score[2:]) == [0, 0, 0] and not ok[2:].any()
 
 
+def test_components_contract(spark):
+    """Long chains, stars, repeated edges and loops, in one part or many."""
+    rng = random.Random(12)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1200)] + [(5000 - k, 5001 - k) for k in range(100)] + [(rng.randrange(6000, 7000), rng.randrange(6000, 7000)) for _ in range(600)] * 2 + [(9, 9)]
+    comp = {x: x for e in edges for x in e}
+
+    def top(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        comp[high] = low
+    want = {x: top(x) for e in edges if e[0] != e[1] for x in e}
+    u, v = graph.roots(*np.array([e for e in edges if e[0] != e[1]]).T)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: t for x, t in want.items() if x != t}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "96")
+    try:
+        got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(want) and {r["id"]: r["component"] for r in got} == want
+
+
 def test_langid_letters():
     assert [langid.has_letter(t) for t in ("½ ²", "Ⅷ 12", "_-", "", "٣", "é", "漢", "1a", "x" * 9)] == [False] * 5 + [True] * 4
 
