@@ -8,6 +8,7 @@ and local palettes, interlaced rasters, graphic control blocks (delay, disposal
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,14 @@ _SEGMENT = 3839
 WIDTH, HEIGHT = 64, 1024
 
 
+#: Pixels of a screen or a frame that a reader will hold, 4 bytes each.
+MOST_PIXELS = 1 << 27
+
+
+class Damaged(ValueError):
+    """The file breaks off, or holds what no GIF holds."""
+
+
 def _widths(size: int) -> np.ndarray:
     """Code width by the number of codes since the last clear code."""
     used = (1 << size) + 2 + np.maximum(np.arange(4200) - 1, 0)
@@ -71,7 +80,9 @@ def lzw_pack(codes: list[int]) -> bytes:
 
 
 def lzw_decode(data: bytes, size: int = 8, limit: int | None = None) -> bytes:
-    """Samples of a packed stream of minimum code size `size`; stops at the end code, at `limit` samples or where data ends."""
+    """Samples of a packed stream of minimum code size `size`; stops at the end code, at `limit` samples or where data ends. A code of no entry raises Damaged."""
+    if size not in _SCHEDULE:
+        raise Damaged(f"code size {size}")
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     bits, clear, end = len(data) * 8, 1 << size, (1 << size) + 1
     base = [bytes((i,)) for i in range(clear)] + [b"", b""]
@@ -94,6 +105,8 @@ def lzw_decode(data: bytes, size: int = 8, limit: int | None = None) -> bytes:
         stop = int(stops[0]) if len(stops) else n
         todo = codes[:stop].tolist()
         if todo and not prev:
+            if todo[0] >= clear:
+                raise Damaged(f"code {todo[0]} after a clear code")
             prev = base[todo[0]]
             out.append(prev)
             todo = todo[1:]
@@ -103,6 +116,8 @@ def lzw_decode(data: bytes, size: int = 8, limit: int | None = None) -> bytes:
             try:
                 e = table[c]
             except IndexError:
+                if c > len(table):
+                    raise Damaged(f"code {c} of {len(table)}") from None
                 e = prev + prev[:1]
             put(e)
             add(prev + e[:1])
@@ -168,18 +183,19 @@ def _colours(rgb: bytes) -> np.ndarray:
     return out
 
 
-def decode(data: bytes) -> list[Frame]:
-    """Every frame in order. A truncated file gives the frames that are whole; a bad signature raises ValueError."""
+def frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Every whole frame in order; its canvas holds only until the next one. A bad signature raises ValueError, a file that is damaged or breaks off Damaged after its whole frames."""
     if data[:3] != b"GIF" or len(data) < 13:
         raise ValueError("not a GIF")
     w, h, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if w * h > most_pixels:
+        raise Damaged(f"a screen of {w} x {h}")
     at, common = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         common, at = _colours(data[at : at + n]), at + n
     screen = np.zeros((h, w), np.uint32)
-    frames, clock = [], 0
-    delay = disposal = 0
+    clock = delay = disposal = 0
     transparent = -1
 
     def blocks(i: int) -> tuple[bytes, int]:
@@ -206,15 +222,15 @@ def decode(data: bytes) -> list[Frame]:
                 colours, at = _colours(data[at : at + n]), at + n
             if colours is None:
                 colours = _colours(bytes(np.repeat(np.arange(256, dtype=np.uint8), 3)))
+            if fw * fh > most_pixels:
+                raise Damaged(f"a frame of {fw} x {fh}")
             if at >= len(data):
                 break
             size = data[at]
             body, at = blocks(at + 1)
             samples = lzw_decode(body, size, fw * fh)
             if len(samples) < fw * fh:
-                if not samples and fw * fh:
-                    break
-                samples += bytes(fw * fh - len(samples))
+                raise Damaged(f"{len(samples)} of {fw * fh} samples")
             raster = np.frombuffer(samples, np.uint8).reshape(fh, fw)
             if f & 0x40:  # four passes of rows
                 order = np.concatenate([np.arange(0, fh, 8), np.arange(4, fh, 8), np.arange(2, fh, 4), np.arange(1, fh, 2)])
@@ -229,7 +245,7 @@ def decode(data: bytes) -> list[Frame]:
                 spot[solid] = colours[seen[solid]]
             else:
                 spot[...] = colours[seen]
-            frames.append(Frame(clock, delay, disposal, transparent, left, top, raster, screen.copy()))
+            yield Frame(clock, delay, disposal, transparent, left, top, raster, screen)
             clock += delay
             if disposal == 2:
                 spot[...] = 0
@@ -237,9 +253,23 @@ def decode(data: bytes) -> list[Frame]:
                 screen = before
             delay = disposal = 0
             transparent = -1
+        elif kind == 0x3B:
+            return
         else:
-            break  # the trailer, or no GIF block
-    return frames
+            raise Damaged(f"block {kind}")
+    raise Damaged("no trailer")
+
+
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> list[Frame]:
+    """The whole frames in order, also of a damaged file; a bad signature raises ValueError."""
+    out = []
+    try:
+        for f in frames(data, most_pixels):
+            f.canvas = f.canvas.copy()
+            out.append(f)
+    except Damaged:
+        pass
+    return out
 
 
 def histogram(frame: Frame, bins: int = 4) -> np.ndarray:
