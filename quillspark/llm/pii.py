@@ -19,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ TRIGGERS = frozenset("token key apikey secret password passwd pwd credential ssn
 REFUSALS = frozenset("version license licence lizenz licencia page chapter section figure table volume vol isbn by-nc by-sa cc".split())
 
 _WORD = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
-_NAME = re.compile(r"(?<!\w)(?:" + "|".join(ADDRESS) + r")\.? ([A-ZÀ-Þ][\w'-]{1,40}+)(?: ([A-ZÀ-Þ][\w'-]{1,40}+))?")
+_NAME = re.compile(r"(?<!\w)(?:" + "|".join(ADDRESS) + r")\.? ([A-ZÀ-Þ][\w'-]++)(?: ([A-ZÀ-Þ][\w'-]++))?")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _LOCAL_PHONE = re.compile(r"(?:\([0-9]{2,5}\))?[0-9]{2,5}[-./][0-9]{3,5}(?:[-./][0-9]{2,5}){0,2}")
@@ -158,15 +159,16 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
     if not found:
         return out
     taken = sorted((s, e) for s, _, e in base)
+    reach = list(accumulate((e for _, e in taken), max))  # the furthest end up to each base span
     for start, end, named in sorted(found):
         while start < end and text[start] in _STRIP:
             start += 1
         while end > start and text[end - 1] in _STRIP:
             end -= 1
         i = bisect_right(taken, (end, -1))
-        if start == end or any(e > start for _, e in taken[max(0, i - 8) : i]):
+        if start == end or i and reach[i - 1] > start:
             continue
-        core, before = text[start : min(end, start + 200)], text[max(0, start - 60) : start]
+        core, before = text[start:end], text[max(0, start - 60) : start]
         digits = _only_digits(core)
         kind = 6 if named else 4 if len(core) > len(digits) and _OPAQUE.fullmatch(core) else 5
         if out and out[-1].end > start:
