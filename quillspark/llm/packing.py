@@ -5,15 +5,24 @@ counts by length go to the driver (a table of fixed size), a branch-and-bound ov
 fillings runs there, and its plan (runs of equal bins) goes back to the pieces,
 which find their place from their rank among pieces of their length.
 
+The first incumbent is best-fit decreasing. The search completes the largest length
+left by its undominated fillings, least waste first, and cuts a branch whose waste
+allows no plan better than the incumbent. It has limits (`Limits`), as bin packing is
+NP-hard: `solve` says whether it met one, how many completions it looked at, and the
+lower bound, so `Packing.proven` is true only of plans that no other can beat.
+
 Null text counts as empty (one end token); repeated rows are packed as often as
 they occur; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -26,9 +35,8 @@ from quillspark.llm.common import materialize, tidy, two
 CAPACITY, END_ID, SALTS = 4096, 1, 16
 #: Words whose ids a worker remembers; those it meets later are encoded once a batch.
 CACHE_WORDS = 250_000
-#: Fillings that the search may look at, and kept at each largest document.
-NODES, WIDTH = 20_000, 3
 
+log = logging.getLogger(__name__)
 _CACHE: dict[str, tuple[Any, dict[str, bytes]]] = {}
 
 
@@ -106,10 +114,76 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
     return two(docs).mapInArrow(tidy(run), schema)
 
 
-def fillings(count: np.ndarray, room: int, width: int = WIDTH, nodes: int = 400) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Up to `width` undominated fillings (waste, ((length, times), ...)) of `room`, least waste first; larger items are tried first, so what they replace is dominated."""
-    found: dict[tuple, int] = {}
-    left = [nodes]
+Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
+
+
+@dataclass
+class Limits:
+    """What the search may do: completions in all, and at each largest length fillings kept, steps of their enumeration, and lengths tried a step."""
+
+    nodes: int = 20_000
+    width: int = 8
+    steps: int = 400
+    lengths: int = 24
+
+
+@dataclass
+class Packing:
+    """Fillings and how many bins have each; the lower bound, completions looked at, and whether a limit cut the search."""
+
+    plan: list[tuple[Filling, int]]
+    bound: int
+    nodes: int = 0
+    cut: bool = False
+
+    @property
+    def bins(self) -> int:
+        return sum(r for _, r in self.plan)
+
+    @property
+    def proven(self) -> bool:
+        return self.bins == self.bound or not self.cut
+
+
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's bound: for each k, pieces over capacity - k stand apart from those under k, and the rest is volume."""
+    size = np.arange(capacity + 1)
+    count = np.asarray(count[: capacity + 1], np.int64)
+    number, volume = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
+    k = np.arange(capacity // 2 + 1)
+    big = number[-1] - number[capacity - k + 1]
+    half = capacity // 2 + 1
+    mid, mid_volume = number[capacity - k + 1] - number[half], volume[capacity - k + 1] - volume[half]
+    low = volume[half] - volume[k]
+    more = np.maximum(0, -(-(low - (mid * capacity - mid_volume)) // capacity))
+    return int(max((big + mid + more).max(), -(-int(volume[-1]) // capacity)))
+
+
+def dominated(a: Filling, b: Filling) -> bool:
+    """Whether b's pieces fit into a's, several into one where they fit: then b never beats a."""
+    rooms = sorted((x for x, t in a for _ in range(t)), reverse=True)
+    parts = sorted((x for x, t in b for _ in range(t)), reverse=True)
+    if len(parts) > 12:  # too many ways; not testing keeps more fillings, never fewer
+        return False
+
+    def go(i: int, rooms: list[int]) -> bool:
+        if i == len(parts):
+            return True
+        tried = set()
+        for k, r in enumerate(rooms):
+            if r >= parts[i] and r not in tried:
+                tried.add(r)
+                if go(i + 1, [*rooms[:k], r - parts[i], *rooms[k + 1 :]]):
+                    return True
+        return False
+
+    return sum(parts) <= sum(rooms) and go(0, rooms)
+
+
+def fillings(count: np.ndarray, room: int, limits: Limits) -> tuple[list[tuple[int, Filling]], bool]:
+    """Undominated fillings (waste, filling) of `room`, least waste first, and whether a limit left some out."""
+    found: dict[Filling, int] = {}
+    state = {"steps": limits.steps, "cut": False}
 
     def add(items: list[int], waste: int) -> None:
         run: dict[int, int] = {}
@@ -117,53 +191,89 @@ def fillings(count: np.ndarray, room: int, width: int = WIDTH, nodes: int = 400)
             run[x] = run.get(x, 0) + 1
         found.setdefault(tuple(sorted(run.items(), reverse=True)), waste)
 
-    def exact(r: int, items: list[int]) -> bool:
-        """One or two more items that leave no waste."""
-        if count[r] - items.count(r) > 0:
-            add([*items, r], 0)
-            return True
-        a = np.flatnonzero((count[r // 2 : r] > 0) & (count[r - r // 2 : 0 : -1] > 0)) + r // 2 if r > 1 else []
-        for x in a[::-1][:2]:
-            x = int(x)
-            if count[x] - items.count(x) > (x == r - x) and count[r - x] - items.count(r - x) > 0:
-                add([*items, x, r - x], 0)
-                return True
-        return False
-
     def dive(r: int, top: int, items: list[int]) -> None:
-        if left[0] <= 0 or sum(w == 0 for w in found.values()) >= width:
+        if state["steps"] <= 0 or sum(w == 0 for w in found.values()) >= limits.width:
+            state["cut"] = True
             return
-        left[0] -= 1
-        if r and exact(r, items):
+        state["steps"] -= 1
+        if r and r <= top and count[r] > items.count(r):  # one piece fills what is left: it dominates all else here
+            add([*items, r], 0)
             return
+        if r > 1:  # two pieces that do
+            x = np.arange(max((r + 1) // 2, r - top), min(top, r - 1) + 1)
+            x = x[(count[x] > 0) & (count[r - x] > 0)]
+            for one in x[::-1][: limits.lengths].tolist():
+                if count[one] - items.count(one) > (one == r - one) and count[r - one] > items.count(r - one):
+                    add([*items, one, r - one], 0)
+                    if sum(w == 0 for w in found.values()) >= limits.width:
+                        state["cut"] = True
+                        return
         sizes = np.flatnonzero(count[: min(r, top) + 1])[::-1]
+        state["cut"] |= len(sizes) > limits.lengths
         fits = 0
-        for x in sizes[:12]:
-            x = int(x)
+        for x in sizes[: limits.lengths].tolist():
             free = int(count[x]) - items.count(x)
             if free <= 0:
                 continue
             fits += 1
             if x * 64 < r:  # small ones only: as many as fit, at once
                 times = min(free, r // x)
+                state["cut"] = True
                 dive(r - times * x, x - 1, items + [x] * times)
             else:
                 dive(r - x, x, [*items, x])
-            if left[0] <= 0:
+            if state["steps"] <= 0:
                 break
         if not fits:
             add(items, r)
 
     if room == 0:
-        return [(0, ())]
+        return [(0, ())], False
     dive(room, room, [])
     if not found:
         add([], room)
-    return sorted((w, k) for k, w in found.items())[:width]
-
-
-def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Best-fit decreasing, whole runs of equal bins at a time: the first incumbent."""
+    kept: list[tuple[int, Filling]] = []
+    for filling, waste in sorted(found.items(), key=lambda x: (x[1], [-v for p in x[0] for v in p])):
+        if not any(dominated(better, filling) for _, better in kept):
+            if len(kept) == limits.width:
+                return kept, True
+            kept.append((waste, filling))
+    return kept, state["cut"]
+
+
+def best_fit(count: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
+    """Best-fit decreasing over counts: pieces of a length go to the fullest bins that take them, equal bins together."""
+    room: dict[int, dict[Filling, int]] = {}
+    free: list[int] = []  # rooms of open bins, ascending
+
+    def put(filling: Filling, left: int, bins: int) -> None:
+        if left not in room:
+            room[left] = {}
+            insort(free, left)
+        room[left][filling] = room[left].get(filling, 0) + bins
+
+    for x in np.flatnonzero(count)[::-1].tolist():
+        todo = int(count[x])
+        while todo:
+            k = bisect_left(free, x)
+            if k < len(free):
+                left = free[k]
+                filling, bins = room[left].popitem()
+                if not room[left]:
+                    del room[left], free[k]
+            else:
+                left, filling, bins = capacity, (), todo
+            each = min(todo, left // x)  # the fullest bin stays the fullest
+            full = min(bins, todo // each)
+            put((*filling, (x, each)), left - each * x, full)
+            todo -= full * each
+            if bins > full and filling:
+                put(filling, left, bins - full)
+    return [(f, n) for fills in room.values() for f, n in fills.items()]
+
+
+def greedy(count: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
+    """Bins filled one after another, longest pieces first, whole runs of equal bins at a time: another first incumbent."""
     count, plan = count.copy(), []
     while count.any():
         room, items = capacity, []
@@ -179,27 +289,23 @@ def greedy(count: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int]
     return plan
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Bin completion over counts by length: ((length, times), ...) of a bin and how many such bins.
-
-    The largest length left is completed by its undominated fillings, least waste
-    first. A branch whose waste no longer allows fewer bins than the incumbent is
-    cut; the search ends at the volume bound or after `nodes` completions, with the
-    best plan so far.
-    """
+def solve(counts: np.ndarray, capacity: int = CAPACITY, limits: Limits | None = None) -> Packing:
+    """Bin completion over counts by length."""
+    limits = limits or Limits()
     total = int((np.arange(len(counts)) * counts).sum())
-    bound = -(-total // capacity)
-    best = greedy(counts, capacity)
-    bins = sum(r for _, r in best)
-    if bins <= bound:
+    best = Packing(min((best_fit(counts, capacity), greedy(counts, capacity)), key=lambda p: sum(r for _, r in p)), lower_bound(counts, capacity))
+    bins = best.bins
+    if bins <= best.bound:
         return best
     count, stack, plan, waste, used = counts.astype(np.int64).copy(), [], [], 0, 0
 
-    def options() -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    def options() -> list[tuple[int, Filling]]:
         top = int(np.flatnonzero(count)[-1])
         count[top] -= 1
         out = []
-        for w, items in fillings(count, capacity - top):
+        found, cut = fillings(count, capacity - top, limits)
+        best.cut |= cut
+        for w, items in found:
             run = dict(items)
             run[top] = run.get(top, 0) + 1
             out.append((w, tuple(sorted(run.items(), reverse=True))))
@@ -207,7 +313,10 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
         return out
 
     stack.append(iter(options()))
-    while stack and nodes > 0:
+    while stack:
+        if best.nodes >= limits.nodes:
+            best.cut = True
+            break
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
@@ -218,7 +327,7 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
                 waste -= w * runs
                 used -= runs
             continue
-        nodes -= 1
+        best.nodes += 1
         w, items = step
         runs = min(int(count[x]) // t for x, t in items)
         allowed = (bins - 1) * capacity - total
@@ -226,6 +335,7 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
             runs = max(1, min(runs, (allowed - waste) // w))
             if waste + w * runs > allowed and int(count.sum()) > sum(t for _, t in items):
                 continue
+        best.cut |= runs > 1  # other fillings of the same length are not tried in between
         for x, t in items:
             count[x] -= runs * t
         plan.append((items, runs, w))
@@ -233,8 +343,8 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
         used += runs
         if not count.any():
             if used < bins:
-                bins, best = used, [(i, r) for i, r, _ in plan]
-                if bins <= bound:
+                bins, best.plan = used, [(i, r) for i, r, _ in plan]
+                if bins <= best.bound:
                     break
             stack.append(iter(()))
         else:
@@ -242,7 +352,7 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
     return best
 
 
-def places(plan: list[tuple[tuple[tuple[int, int], ...], int]], capacity: int) -> dict[int, np.ndarray]:
+def places(plan: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
     """By length: rows (first rank, times a bin, first bin, offset), ascending by rank."""
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
     rank: dict[int, int] = {}
@@ -257,7 +367,7 @@ def places(plan: list[tuple[tuple[tuple[int, int], ...], int]], capacity: int) -
     return {x: np.array(r, np.int64) for x, r in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, nodes: int = NODES, salts: int = SALTS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, limits: Limits | None = None, salts: int = SALTS, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its offset there; full pieces stand alone."""
     cut = materialize(pieces(docs, capacity, end_id, tokenizer_path, with_ids), "pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
@@ -266,7 +376,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     for r in by:
         count[r["length"], r["salt"]] = r["count"]
     before = np.cumsum(count, axis=1) - count
-    where = places(solve(count.sum(axis=1), capacity, nodes), capacity)
+    found = solve(count.sum(axis=1), capacity, limits)
+    log.info("%d sequences, lower bound %d, %d completions, %s", found.bins, found.bound, found.nodes, "proven least" if found.proven else "search cut by its limits")
+    where = places(found.plan)
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("salt", salt).withColumn("rank", F.row_number().over(order).cast("long") - 1)
     names = cut.columns

@@ -67,9 +67,33 @@ def test_gif_disposal_transparency_palettes_interlace():
     assert g[0].raster.ravel().tolist() == rows
     with pytest.raises(ValueError):
         gif.decode(b"nope")
+    for cut in range(14, 60):  # only whole frames, whatever is left of the file
+        assert all(x.raster.size == 4 and x.raster.tolist() == [[0, 0], [0, 0]] for x in gif.decode(_gif([(0, -1, 0, 0, 2, 2, [0] * 4, 0, b"")] * 2)[:cut]))
     assert gif.decode(_gif([(0, -1, 0, 0, 2, 2, [0] * 4, 0, b"")])[:20]) == []
 
 
+def test_gif_damaged():
+    """Changed bytes and cut ends give whole frames or a ValueError, nothing else."""
+    rng = random.Random(9)
+    whole = gif.encode(bytes(rng.randrange(256) for _ in range(64 * 40)) * 2, 64, 10)
+    for _ in range(600):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        if rng.random() < 0.3:
+            del data[rng.randrange(len(data)) :]
+        try:
+            frames = gif.decode(bytes(data), 1 << 20)
+        except ValueError:
+            continue
+        assert len(frames) <= 8
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0)
+    with pytest.raises(gif.Damaged):
+        next(gif.frames(huge + b";"))
+    with pytest.raises(gif.Damaged):
+        gif.lzw_decode(b"\xff\xff\xff", 8)
+
+
 def test_media_frames(spark):
     from quillspark.llm import media
 
@@ -79,6 +103,10 @@ def test_media_frames(spark):
     assert all(sum(r["histogram"][:4]) + r["histogram"][-1] == 64 * 2 for r in rows[:2])
     bad = spark.createDataFrame([(1, bytearray(b"xx")), (2, None)], "id long, media binary")
     assert media.decode_gifs(bad).count() == 0
+    good = gif.encode(bytes(64))
+    files = [(1, bytearray(b"xx")), (2, None), (3, bytearray(good)), (4, bytearray(good[:-1])), (5, bytearray(good[:-9]))]
+    info = media.gif_info(spark.createDataFrame(files, "id long, media binary")).orderBy("id").collect()
+    assert [(r["n_frames"], r["error"]) for r in info] == [(0, "not a GIF"), (0, "no media"), (1, None), (1, "no trailer"), (0, info[4]["error"])] and info[4]["error"]
 
 
 def test_pii_em_prefers_agreement():
@@ -100,6 +128,17 @@ def test_pii_mask_keeps_clean_text():
     assert pii.mask("chapter 3.0 of 7 pages", model) == "chapter 3.0 of 7 pages"
 
 
+def test_pii_judges_whole_candidates():
+    """What is past a word's 200th character, and base spans that reach over many others, count."""
+    long = "ab12" * 60
+    (plain,), (other,) = (pii.candidates(t, []) for t in (long, long + "é!é"))
+    assert plain.kind == 4 and plain.end == 240 and other.kind == 5 and other.end == 243
+    (name,) = pii.candidates("Dr " + "B" + "r" * 70 + " x", [])
+    assert (name.start, name.end, name.kind) == (3, 74, 6)
+    base = [(0, 0, 100), *((k, 1, k + 1) for k in range(10, 30))]
+    assert pii.candidates(" " * 40 + "x1y2z3 " + " " * 60, base) == []
+
+
 def test_pii_patterns_are_linear():
     import time
 
@@ -134,13 +173,60 @@ def test_solve_is_optimal_on_small_cases():
         room = rng.choice([10, 24, 50])
         items = [rng.randint(1, room) for _ in range(rng.randint(1, 9))]
         count = np.bincount(items, minlength=room + 1)
-        plan = packing.solve(count, room)
-        used = np.zeros(room + 1, int)
-        for run, times in plan:
-            assert sum(x * t for x, t in run) <= room
-            for x, t in run:
-                used[x] += t * times
-        assert (used == count).all() and sum(r for _, r in plan) == best(items, room)
+        found = packing.solve(count, room)
+        whole_plan(found.plan, count, room)
+        least = best(items, room)
+        assert found.bins == least and packing.lower_bound(count, room) <= least
+        for plan in (packing.best_fit(count, room), packing.greedy(count, room)):
+            whole_plan(plan, count, room)
+        assert sum(r for _, r in packing.best_fit(count, room)) == one_by_one(items, room)
+
+
+def whole_plan(plan, count, room):
+    used = np.zeros(room + 1, int)
+    for run, times in plan:
+        assert sum(x * t for x, t in run) <= room
+        for x, t in run:
+            used[x] += t * times
+    assert (used == count).all()
+
+
+def one_by_one(items, room):
+    bins = []
+    for x in sorted(items, reverse=True):
+        k = min((k for k, r in enumerate(bins) if r >= x), key=lambda k: bins[k], default=None)
+        if k is None:
+            bins.append(room - x)
+        else:
+            bins[k] -= x
+    return len(bins)
+
+
+def test_dominance():
+    assert packing.dominated(((10, 1),), ((6, 1), (4, 1))) and packing.dominated(((5, 2),), ((5, 1), (3, 1), (2, 1)))
+    assert not packing.dominated(((6, 1), (4, 1)), ((10, 1),)) and not packing.dominated(((5, 2),), ((6, 1), (4, 1)))
+
+
+def test_solve_beats_best_fit_on_many_lengths():
+    """40 to 100 pieces cut from full bins: the least number is known, best-fit decreasing misses it, the search says when it has it."""
+    rng = random.Random(3)
+    better = reached = behind = 0
+    for _ in range(12):
+        room, items = 400, []
+        for _ in range(rng.randint(14, 30)):
+            a, b = sorted(rng.sample(range(60, 340), 2))
+            items += [x for x in (a, b - a, room - b) if x]
+        count = np.bincount(items, minlength=room + 1)
+        least = sum(items) // room
+        found = packing.solve(count, room, packing.Limits(nodes=3000))
+        whole_plan(found.plan, count, room)
+        fit = one_by_one(items, room)
+        assert least == found.bound <= found.bins <= fit
+        assert found.proven == (found.bins == least) or not found.cut
+        behind += fit > least
+        better += found.bins < fit
+        reached += found.bins == least
+    assert behind >= 4 and better >= behind // 2 and reached >= 6
 
 
 def test_trie_is_a_distribution():
