@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as lex
-from quillspark.operators import answers, draft, evaluation, records, retrieval, review, rules, tasks, thresholds
+from quillspark.operators import answers, draft, evaluation, records, replies, retrieval, review, rules, tasks, thresholds
 from quillspark.plans import fixtures as fx
 from quillspark.session import ship, spread
 from quillspark.sources import files, html, tree
@@ -348,6 +348,79 @@ def rule_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.summarize(r, "event_type")
 
 
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a model's reply, its content in one of the shapes that providers use."""
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    part = lambda c, key: F.struct(c.alias(key))
+    tail = F.concat(F.lit(',"reasoning_details":[{"type":"reasoning.summary","summary":'), F.to_json(F.struct(F.col("text").alias("x"))), F.lit('},{"type":"reasoning.encrypted"}]'))
+    content = F.when(F.col("turn") % 4 == 0, F.to_json(F.struct(F.col("text").alias("content"))))
+    content = content.when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.array(part(F.col("text"), "text"), part(F.lit("  end "), "text")).alias("content"))))
+    content = content.when(F.col("turn") % 4 == 2, F.to_json(F.struct(F.struct(F.lit(" ").alias("text"), F.array(part(F.col("text"), "summary")).alias("content")).alias("content")))).otherwise(F.lit('{"content":[]}'))
+    message = F.concat(F.expr("substring(c, 1, length(c) - 1)"), F.when(F.col("turn") % 3 == 0, F.lit(',"reasoning":" why "')).when(F.col("turn") % 3 == 1, F.replace(tail, F.lit('{"x":'), F.lit('{"text":'))).otherwise(F.lit("")), F.lit("}"))
+    usage = F.concat(F.lit('{"prompt_tokens":'), F.when(F.col("turn") % 2 == 0, (F.col("turn") + 0.5).cast("string")).otherwise(F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit('"'))), F.lit(',"completion_tokens":null}'))
+    return c.withColumn("c", content).select("conv_id", "turn", F.concat(F.lit('{"choices":[{"message":'), message, F.lit('}],"usage":'), usage, F.lit("}")).alias("reply"))
+
+
+_STRIP_SQL = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+@register(
+    "reply_columns",
+    f"""WITH s AS (SELECT conv_id, turn, {_STRIP_SQL.format("coalesce(text, '')")} AS t FROM conversations),
+    p AS (SELECT *, CASE turn % 4 WHEN 0 THEN t WHEN 1 THEN concat_ws(chr(10), t, 'end') WHEN 2 THEN t END AS output, CASE turn % 3 WHEN 0 THEN 'why' WHEN 1 THEN concat_ws(chr(10) || chr(10), 'Summary: ' || t, '[Encrypted reasoning block]') END AS thinking FROM s)
+    SELECT conv_id, turn, output, thinking, CASE WHEN output IS NULL AND thinking IS NULL THEN 'OpenAI client returned an empty completion payload' END AS error, CAST(CASE WHEN turn % 2 = 0 THEN round_even(turn + 0.5, 0) ELSE turn END AS BIGINT) AS input_tokens, CAST(NULL AS BIGINT) AS output_tokens FROM p""",
+)
+def reply_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, reply = _replies(spark, sf_dir), F.col("reply")
+    return r.withColumn("p", replies.parts(reply)).select("conv_id", "turn", "p.output", "p.thinking", "p.error", replies.token_count(reply, "prompt_tokens").alias("input_tokens"), replies.token_count(reply, "completion_tokens").alias("output_tokens"))
+
+
+@register(
+    "request_payloads",
+    """SELECT page_id, length(CASE WHEN page_id % 2 = 0 THEN '{"model":"m","max_tokens":4096,"system":"s","messages":[{"role":"user","content":' ELSE '{"model":"m","max_tokens":4096,"messages":[{"role":"system","content":"s"},{"role":"user","content":' END || to_json(url) || '}]}') AS n, replace(replace(url, '/', '_'), ':', '_') AS slug FROM pages WHERE url IS NOT NULL""",
+)
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    provider = F.when(F.col("page_id") % 2 == 0, "anthropic").otherwise("openrouter")
+    p = _table(spark, sf_dir, "pages").where("url is not null")
+    return p.select("page_id", F.length(replies.payload(provider, F.lit("m"), F.lit("s"), F.col("url"))).cast("long").alias("n"), replies.slug(F.col("url")).alias("slug"))
+
+
+@register(
+    "friendly_errors",
+    f"SELECT event_id, CASE WHEN contains(e, '503') OR contains(e, '502') THEN '{replies.UNAVAILABLE}' WHEN contains(e, '429') THEN '{replies.LIMITED}' ELSE nullif(e, '') END AS message FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'status ' || event_id END AS e FROM events)",
+)
+def friendly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("status "), F.col("event_id").cast("string")))
+    return _table(spark, sf_dir, "events").select("event_id", replies.friendly(error).alias("message"))
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as rule results: an order a document, a line status a model."""
+    line = _table(spark, sf_dir, "lineitem")
+    ok = F.col("l_returnflag") != "R"
+    return line.select(
+        F.col("l_orderkey").cast("string").alias("doc_id"), F.lit("p").alias("provider"), F.concat(F.lit("a/b:"), F.col("l_linestatus")).alias("model"), F.col("l_returnflag").alias("rule_name"), F.col("l_linenumber").cast("int").alias("task"),
+        F.when(ok, "success").otherwise("error").alias("status"), F.when(~ok, F.lit("x")).alias("error"), F.array_repeat(F.lit(1), (F.col("l_linenumber") % 3).cast("int")).alias("findings"),
+        F.col("l_linenumber").cast("long").alias("input_tokens"), F.lit(2).cast("long").alias("output_tokens"), F.lit("provider").alias("token_source"), F.lit(0.5).alias("duration_seconds"),
+    )
+
+
+_RUNS_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'a/b:' || l_linestatus AS model, count(*) AS rules_attempted, count(*) FILTER (l_returnflag = 'R') AS rules_failed, CAST(sum(l_linenumber) AS BIGINT) AS total_input_tokens, 2 * count(*) AS total_output_tokens, CAST(coalesce(sum(l_linenumber % 3) FILTER (l_returnflag <> 'R'), 0) AS BIGINT) AS total_findings FROM lineitem GROUP BY 1, 2"""
+
+
+@register("grid_runs", f"SELECT doc_id, model, rules_attempted, rules_failed, total_findings, CASE WHEN rules_failed = 0 THEN 'success' ELSE 'error' END AS status, rules_failed AS errors, doc_id || '/p__' || replace(replace(model, '/', '_'), ':', '_') || '_meta.json' AS meta_path FROM ({_RUNS_SQL})")
+def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.grid_runs(_graded(spark, sf_dir)).select("doc_id", "model", "rules_attempted", "rules_failed", "total_findings", "status", F.size("errors").cast("long").alias("errors"), "meta_path")
+
+
+@register(
+    "grid_summary",
+    f"SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT model) AS models, count(*) AS runs_attempted, count(*) FILTER (rules_failed = 0) AS runs_succeeded, count(*) FILTER (rules_failed > 0) AS runs_failed, CAST(sum(rules_attempted) AS BIGINT) AS rules_attempted, CAST(sum(rules_attempted - rules_failed) AS BIGINT) AS rules_succeeded, CAST(sum(rules_failed) AS BIGINT) AS rules_failed, CAST(sum(total_input_tokens) AS BIGINT) AS total_input_tokens, CAST(sum(total_output_tokens) AS BIGINT) AS total_output_tokens, CAST(sum(total_input_tokens + total_output_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_findings) AS BIGINT) AS total_findings, false AS token_estimation_used FROM ({_RUNS_SQL})",
+)
+def grid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.grid_summary(tasks.grid_runs(_graded(spark, sf_dir)))
+
+
 _BIGRAMS = "SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(list_zip(t[1:len(t) - 1], t[2:]), lambda x: x[1] || ' ' || x[2])) AS b FROM (SELECT doc_id, regexp_extract_all(lower({}), '[a-z0-9]+') AS t FROM documents) WHERE len(t) > 1) GROUP BY 1, 2"
 
 
