@@ -67,8 +67,12 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+#: Code points beside a span that are looked at first.
+WINDOW = 200
+
+
 def snippet(text: Column, start: Column, end: Column, around: int = 2) -> Column:
-    """The tokens that a span overlaps and `around` more on either side. Only what is near the span is looked at."""
+    """The tokens that a span overlaps and `around` more on either side. Only a window beside the span is looked at, unless these tokens are longer."""
     solid = f"[^{SPACE[1:-1]}]"
     inside = cut(text, start, end)
 
@@ -78,8 +82,14 @@ def snippet(text: Column, start: Column, end: Column, around: int = 2) -> Column
         apart = F.regexp_extract(side, rf"^(?:{SPACE}*{solid}+){{0,{around}}}", 0)
         return F.when(edge.rlike(SPACE), apart).otherwise(whole)
 
-    left = F.reverse(near(F.reverse(F.substring(text, F.lit(1), start)), F.substring(inside, 1, 1)))
-    right = near(F.substring(text, end + 1, F.length(text)), F.substring(inside, -1, 1))
+    def beside(some: Column, every: Column, edge: Column) -> Column:
+        """What is near, from the window if that ends within it."""
+        found = near(some, edge)
+        return F.when(F.length(found) < WINDOW, found).otherwise(near(every, edge))
+
+    ahead = F.reverse(F.substring(text, F.greatest(F.lit(1), start - WINDOW + 1), F.least(F.lit(WINDOW), start)))
+    left = F.reverse(beside(ahead, F.reverse(F.substring(text, F.lit(1), start)), F.substring(inside, 1, 1)))
+    right = beside(F.substring(text, end + 1, F.lit(WINDOW)), F.substring(text, end + 1, F.length(text)), F.substring(inside, -1, 1))
     core = F.when(left == "", F.regexp_replace(inside, f"^{SPACE}+", "")).otherwise(inside)
     core = F.when(right == "", F.regexp_replace(core, f"{SPACE}+$", "")).otherwise(core)
     return F.concat(left, core, right)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEPTH = 4
+DEPTH = 3
 #: Keys of a part that may hold its text, the first that does counts.
 PART_KEYS = ("text", "content", "summary")
 

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as lex
-from quillspark.functions.spans import NONE, SPACE, B, E, clean, cut, inside_italic, matches, original, plain, snippet
+from quillspark.functions.spans import NONE, SPACE, TAGS, B, E, clean, cut, inside_italic, matches, original, plain, snippet
 from quillspark.functions.phrases import any_of
-from quillspark.operators.rules import ROUTES, Rule, Text, needles
+from quillspark.operators.rules import ROUTES, SPANS, Rule, Text, needles
 
 STYLE = "(?i)</?(?:i|em|b|strong|sup|sub)>"
 FINDING = "struct<checker:int,method:int,pattern:int,start:int,end:int,mode:string,rule_class:string,rule_method:string,message:string,suggested_fix:string>"
@@ -111,11 +111,13 @@ def _state_findings(t: Column, higher: Column, genus: Column, species: Column) -
     return F.concat(first.cast(NOTHING), second.cast(NOTHING))
 
 
+def tags_of(text: Column, mode: str) -> Column:
+    """The tags that cleaning in a mode takes out."""
+    return F.when(text.contains("<"), matches(text, TAGS[mode])).otherwise(F.array().cast(NONE))
+
+
 def located(rows: DataFrame) -> DataFrame:
     """Findings with their offsets mapped back to the section's own text, with matched text and context."""
-    all_tags, scripts, italics = (matches(F.col("text"), p) for p in (STYLE, "(?i)</?(?:i|em|b|strong)>", "(?i)</?(?:b|strong|sup|sub)>"))
-    tags = F.when(~F.col("text").contains("<"), F.array().cast(NONE)).when(F.col("mode") == "all", all_tags).when(F.col("mode") == "scripts", scripts).otherwise(italics)
-    rows = rows.withColumn("tags", tags)
     rows = rows.withColumn("from", original(F.col("tags"), F.col("start"))).withColumn("to", original(F.col("tags"), F.col("end") - 1) + 1)
     return rows.select(
         "doc_id", "pos", section_name(F.col("section_key")).alias("section_name"), "checker", "method", "pattern", F.col("from").alias("start"), F.col("to").alias("end"),
@@ -124,20 +126,22 @@ def located(rows: DataFrame) -> DataFrame:
     )
 
 
-FOUND = ("doc_id", "pos", "section_key", "text", "checker", "method", "pattern", "start", "end", "mode", "rule_class", "rule_method", "message", "suggested_fix")
+FOUND = ("doc_id", "pos", "section_key", "text", "checker", "method", "pattern", "start", "end", "tags", "rule_class", "rule_method", "message", "suggested_fix")
 
 
 def findings(sections: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """A row for each match of these rules that passes its guard, in offsets of the cleaned text."""
     modes = sorted({r.mode for r in rules})
-    s = sections.withColumns({f"clean_{m}": clean(F.col("text"), m) for m in modes})
+    s = sections.withColumns({f"clean_{m}": clean(F.col("text"), m) for m in modes} | {f"tags_{m}": tags_of(F.col("text"), m) for m in modes})
+    # spans that guards ask for, once a section
+    s = s.withColumns({c: spans(F.col("clean_all")) if any(r.needs == c for r in rules) else F.array().cast(NONE) for c, spans in SPANS.items()})
     as_data = lambda x: F.lit(x if isinstance(x, str) else None).cast("string")
     catalogue = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(r.mode).alias("mode"), F.lit(r.regex).alias("regex"), as_data(r.message).alias("message"), as_data(r.fix).alias("fix")) for k, r in enumerate(rules)))
 
-    def of_mode(mode: Column) -> Column:
-        out = F.col(f"clean_{modes[0]}")
+    def of_mode(mode: Column, what: str = "clean") -> Column:
+        out = F.col(f"{what}_{modes[0]}")
         for m in modes[1:]:
-            out = F.when(mode == m, F.col(f"clean_{m}")).otherwise(out)
+            out = F.when(mode == m, F.col(f"{what}_{m}")).otherwise(out)
         return out
 
     def of_rule(r: Column) -> Column:
@@ -155,7 +159,7 @@ def findings(sections: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     occurs = F.array(*map(may_occur, rules))
     some = F.filter(F.zip_with(catalogue, occurs, lambda r, hit: F.struct(r.alias("r"), hit.alias("hit"))), lambda x: x["hit"])
     rows = s.select("*", F.explode(F.flatten(F.transform(some, lambda x: of_rule(x["r"])))).alias("f")).select(*s.columns, "f.*")
-    text, t = Text(F.col("section_key"), F.col("text")), of_mode(F.col("mode"))
+    text, t = Text(F.col("section_key"), F.col("text"), F.col("known_names"), F.col("link_spans")), of_mode(F.col("mode"))
     m = {"start": F.col("start"), "end": F.col("end"), "text": F.col("match"), "fix": F.col("fix")}
 
     def case(of: str, value: Callable, otherwise: Column) -> Column:
@@ -174,7 +178,7 @@ def findings(sections: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     by_rule = lambda field: F.element_at(F.array(*(F.lit(field(r)) for r in rules)), F.col("rule") + 1)
     return rows.select(
         "doc_id", "pos", "section_key", "text", by_rule(lambda r: r.checker).alias("checker"), by_rule(lambda r: r.method).alias("method"), by_rule(lambda r: r.pattern).alias("pattern"),
-        case("part", lambda f: f(m)[0], F.col("start")).alias("start"), case("part", lambda f: f(m)[1], F.col("end")).alias("end"), "mode",
+        case("part", lambda f: f(m)[0], F.col("start")).alias("start"), case("part", lambda f: f(m)[1], F.col("end")).alias("end"), of_mode(F.col("mode"), "tags").alias("tags"),
         by_rule(lambda r: r.cls).alias("rule_class"), by_rule(lambda r: f"{r.cls}.{r.name}").alias("rule_method"),
         case("message", lambda f: f(m), F.col("message")).alias("message"), case("fix", lambda f: f(m), F.col("fix")).alias("suggested_fix"),
     )
@@ -187,9 +191,9 @@ def check(sections: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def check_taxonomy(sections: DataFrame) -> DataFrame:
     """Violations of the rules that need the document's taxonomy; a ladder itself is not checked."""
-    s = taxonomy(routed(sections)).where("route = 'body' and ladder is null and genus is not null")
+    s = taxonomy(routed(sections)).where("route = 'body' and ladder is null and genus is not null").withColumn("tags", tags_of(F.col("text"), "italics"))
     found = _state_findings(clean(F.col("text"), "italics"), F.col("higher"), F.col("genus"), F.col("species"))
-    return located(s.select("doc_id", "pos", "section_key", "text", F.explode(found).alias("f")).select("doc_id", "pos", "section_key", "text", "f.*").select(*FOUND))
+    return located(s.select("doc_id", "pos", "section_key", "text", "tags", F.explode(found).alias("f")).select("doc_id", "pos", "section_key", "text", "tags", "f.*").select(*FOUND))
 
 
 def review(sections: DataFrame) -> DataFrame:

@@ -21,10 +21,12 @@ D = r"\p{Nd}"
 
 @dataclass(frozen=True)
 class Text:
-    """What guards see of a section: its name and its own text."""
+    """What guards see of a section: its name, its own text, and spans of its cleaned text: accepted names and links."""
 
     name: Column
     raw: Column
+    known: Column
+    links: Column
 
 
 #: A match: start, end and text, and its rule's term and fix.
@@ -47,6 +49,7 @@ class Rule:
     guard: Callable[[Text, Column, Match], Column] | None = None  # (section, its cleaned text, match)
     part: Callable[[Match], tuple[Column, Column]] | None = None  # start and end of what is reported
     term: str | None = None
+    needs: str | None = None  # which of SPANS the guard asks for
 
 
 def _group(m: Match, regex: str, k: int = 1) -> Column:
@@ -191,10 +194,14 @@ def _formatting() -> list[Rule]:
 # --- geography -------------------------------------------------------------------------------
 
 
-def within_known(t: Column, m: Match) -> Column:
+def known_names(t: Column) -> Column:
+    """Where accepted names are."""
+    return matches(t, rf"(?iu){B}(?:{_any(sorted(lex.KNOWN_NAMES, key=len, reverse=True))})(?![{WORD}])")
+
+
+def within_known(text: Text, m: Match) -> Column:
     """Strictly inside an accepted name."""
-    names = matches(t, rf"(?iu){B}(?:{_any(sorted(lex.KNOWN_NAMES, key=len, reverse=True))})(?![{WORD}])")
-    return F.exists(names, lambda k: (k["start"] <= m["start"]) & (m["end"] <= k["end"]) & ~((k["start"] == m["start"]) & (k["end"] == m["end"])))
+    return F.exists(text.known, lambda k: (k["start"] <= m["start"]) & (m["end"] <= k["end"]) & ~((k["start"] == m["start"]) & (k["end"] == m["end"])))
 
 
 def _geography() -> list[Rule]:
@@ -202,21 +209,21 @@ def _geography() -> list[Rule]:
     for k, (bad, good) in enumerate(lex.COUNTRY_CORRECTIONS.items()):
 
         def wrong(text: Text, t: Column, m: Column, good: str = good) -> Column:
-            return (F.lower(m["text"]) != good.lower()) & ~within_known(t, m)
+            return (F.lower(m["text"]) != good.lower()) & ~within_known(text, m)
 
         say = lambda m, good=good: _say(f"Use ISO 3166 country name: '{good}' instead of '", m["text"], "'")
-        out.append(Rule(3, 0, k, c, "check_country_names", rf"(?iu){B}{_any([bad])}{E}", say, good, guard=wrong))
+        out.append(Rule(3, 0, k, c, "check_country_names", rf"(?iu){B}{_any([bad])}{E}", say, good, guard=wrong, needs="known_names"))
     directions = "|".join(lex.DIRECTIONS)
 
     def proper(text: Text, t: Column, m: Match) -> Column:
         allowed = [n.lower() for n in lex.KNOWN_NAMES] + list(lex.COUNTRY_CORRECTIONS)
-        return ~((m["start"] == 0) | _before(t, m).endswith(". ") | F.lower(m["text"]).isin(*allowed) | within_known(t, m))
+        return ~((m["start"] == 0) | _before(t, m).endswith(". ") | F.lower(m["text"]).isin(*allowed) | within_known(text, m))
 
     split = rf"(?s)^({directions})(?![a-z])(.*)$"
     fix = lambda m: _say(F.lower(_group(m, split, 1)), _group(m, split, 2))
     regex = rf"{B}(?:{directions})(?:{S}*&{S}*[A-Z][A-Za-z-]+)?(?:{S}+[A-Z][A-Za-z-]+){{1,3}}(?:(?<=[{WORD}])(?![{WORD}])|(?<=-)(?=[{WORD}]))"
     say = lambda m: _say("'", m["text"], "' should be lower case (unless it is a proper region name)")
-    out.append(Rule(3, 1, 0, c, "check_directional_capitalization", regex, say, fix, guard=proper))
+    out.append(Rule(3, 1, 0, c, "check_directional_capitalization", regex, say, fix, guard=proper, needs="known_names"))
     return out
 
 
@@ -269,6 +276,14 @@ def _grouped(digits: Column) -> Column:
     return F.regexp_replace(short, r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
 
 
+def link_spans(t: Column) -> Column:
+    return matches(t, r"(?iu)(?:https?://\S+|doi:\s*10\.[0-9]{4,9}/\S+|10\.[0-9]{4,9}/\S+)")
+
+
+#: Spans of a section's cleaned text that guards ask for.
+SPANS = {"known_names": known_names, "link_spans": link_spans}
+
+
 def _numbers() -> list[Rule]:
     c = "NumberChecker"
     units = "|".join(u.replace(" ", r"\ ") for u in sorted(lex.UNITS, key=len, reverse=True))
@@ -298,10 +313,9 @@ def _numbers() -> list[Rule]:
         return F.when(point(m), _say(n, ".", _group(m, split, 3))).otherwise(n)
 
     def unlike(text: Text, t: Column, m: Match) -> Column:
-        links = matches(t, r"(?iu)(?:https?://\S+|doi:\s*10\.[0-9]{4,9}/\S+|10\.[0-9]{4,9}/\S+)")
         n, comma = whole(m).try_cast("decimal(38,0)"), _group(m, split, 1).contains(",")
         return ~(
-            F.exists(links, lambda k: (k["start"] <= m["start"]) & (m["end"] <= k["end"]))
+            F.exists(text.links, lambda k: (k["start"] <= m["start"]) & (m["end"] <= k["end"]))
             | (cut(t, F.greatest(F.lit(0), m["start"] - 1), m["start"]) == "#")
             | (~point(m) & F.coalesce(n.between(1800, 2100), F.lit(False)))
             | (~point(m) & ~comma & F.coalesce(rounded(n), F.lit(False)))
@@ -310,7 +324,7 @@ def _numbers() -> list[Rule]:
         )
 
     say = lambda m: _say("Use standard comma placement for numbers: '", m["text"], "' should be '", standard(m), "'")
-    out.append(Rule(5, 1, 0, c, "check_large_numbers", rf"{B}[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?{E}", say, standard, guard=unlike))
+    out.append(Rule(5, 1, 0, c, "check_large_numbers", rf"{B}[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?{E}", say, standard, guard=unlike, needs="link_spans"))
 
     digits = rf"{D}+$"
     number = lambda m: (m["end"] - F.length(F.regexp_extract(m["text"], digits, 0)), m["end"])

@@ -16,6 +16,9 @@ SECTIONS = (
     (-2, 0, "Bush > Notes [paragraph 1]", "Mr. Gray's neighbor organised 2000 s of it; the CE center recognises 12 sqkm, 3 m2, 7 cm2 & 9 mm2."),
     (-2, 1, "Bush > Notes [paragraph 2]", "KINGDOM - PHYLUM - CLASS - ORDER - FAMILY - Primus - secundus"),
     (-2, 2, "Bush > Notes [paragraph 3]", "PRIMUS Secundus <em>secundus</em> and ariruma in (Brown et al., 1999)."),
+    (-4, 0, "Fern > Range [paragraph 1]", "Kept in situ and <i>in situ</i> and ex. situ on 2nd of March 2001 and the 31st Feb, in the nineteenth century or twenty-first century."),
+    (-4, 1, "Fern > Range [paragraph 2]", "For example it has an Extent of Occurrence of 2500000 there, for example, in Vietnam and burma, and for example in South Asia. Extent of occurrence rose to 1234567."),
+    (-4, 2, "Fern > Range [paragraph 3]", "It grows from North Ridge to Upper Valley at 5 degrees N, 12 ° S, 7°n and 20 degrees Celsius. 12 plants etc remain; Prof Li (pers comm) and in litt said so, i.e. etc. of them."),
     (-3, 0, "Assessment information [paragraph 1]", "Rock & stone, the  iucn and spp in Ms. Lee's theater."),
 )
 #: (query_id, text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +45,31 @@ PLAIN = "t"
 BODY_SQL = f"SELECT doc_id, regexp_replace(text, '</?(i|em|b|strong|sup|sub)>', '', 'gi') AS t FROM {fx.SECTIONS_SQL} WHERE NOT regexp_matches(section_key, '(?i)\\[table\\s+\\d+\\]') AND NOT contains(lower(section_key), 'bibliography') AND trim(text) <> ''"
 
 
-def _rule_sql(*counts: tuple[str, str], body: str = BODY_SQL) -> str:
-    n = " + ".join(f"len(regexp_extract_all({text}, '{pattern.replace(chr(39), chr(39) * 2)}'))" for text, pattern in counts)
+#: Italic tags and what they enclose taken out as well.
+UPRIGHT = f"' ' || regexp_replace(regexp_replace(t, '<(i|em)>[^<]*</(i|em)>', ' ', 'gi'), '({X})', '\\1\\1', 'g') || ' '"
+ITALICS_SQL = BODY_SQL.replace("</?(i|em|b|strong|sup|sub)>", "</?(b|strong|sup|sub)>")
+
+
+def _rule_sql(*counts: tuple[str, str], body: str = BODY_SQL, less: tuple[tuple[str, str], ...] = ()) -> str:
+    """Findings per document: matches of `counts` without those of `less`."""
+    found = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
+    n = " - ".join([" + ".join(found(*c) for c in counts), *(found(*c) for c in less)])
     return f"SELECT doc_id, CAST(sum({n}) AS BIGINT) AS n FROM ({body}) GROUP BY doc_id HAVING sum({n}) > 0"
 
 
+def _values_sql(pattern: str, test: str) -> str:
+    """Matches' first group under a test of its value x."""
+    n = f"sum(len(list_filter(regexp_extract_all({DOUBLED}, '{pattern}', 1), lambda x: {test})))"
+    return f"SELECT doc_id, CAST({n} AS BIGINT) AS n FROM ({BODY_SQL}) GROUP BY doc_id HAVING {n} > 0"
+
+
+_months = "|".join([*lex.MONTHS, *(m if m == "May" else rf"{m}\.*" for m in lex.MONTH_SHORT)])
+_latin = "|".join(w.replace(" ", r"(?:\.\.\s*|\s+)") for w in lex.LATIN_TERMS)
+_ordinals = "|".join(w.replace("-", r"(?:--|\s+)") for w in sorted(lex.ORDINALS, key=len, reverse=True))
+_names = tuple((DOUBLED, f"(?i){X}" + "".join(f"({X}){{2}}" if not re.match(r"\w", c) else c for c in bad) + X) for bad in lex.COUNTRY_CORRECTIONS)
+_range = "(extent of occurrence|area of occupancy)".replace(" ", r"\s+")
+_upper = "(Extent of occurrence|Area of occupancy)".replace(" ", r"\s+")
+
 _words = "|".join(lex.UK_SPELLING) + "|" + "|".join(lex.IZE_SPELLING)
 RULES: dict[str, tuple[tuple[str, ...], str | None]] = {
     "rule_ampersand": (("SymbolChecker.check_ampersand_usage",), _rule_sql((PLAIN, "&"), body=BODY_SQL + " AND NOT contains(lower(section_key), 'assessment information')")),
@@ -62,23 +83,23 @@ RULES: dict[str, tuple[tuple[str, ...], str | None]] = {
     "rule_decade": (("DateChecker.check_decade_format",), _rule_sql((DOUBLED, rf"\d{{4}}['\s]+s{X}"))),
     "rule_species_abbreviation": (("ScientificNameChecker.check_species_abbreviations",), _rule_sql((DOUBLED, rf"{X}spp[^{W}.]"), (DOUBLED, rf"{X}sp[^{W}.]"))),
     "rule_titles": (("AbbreviationChecker.check_title_abbreviations",), _rule_sql((DOUBLED, rf"(?i){X}(Dr|Mr|Mrs|Ms)\.\.{X}"))),
-    "rule_abbreviations": (("AbbreviationChecker.check_eg_and_ie", "AbbreviationChecker.check_abbreviation_formats"), None),
-    "rule_latin_terms": (("AbbreviationChecker.check_latin_terms_without_period",), None),
-    "rule_et_al": (("AbbreviationChecker.check_et_al",), None),
-    "rule_ordinal_dates": (("DateChecker.check_ordinal_dates",), None),
-    "rule_century": (("DateChecker.check_century_format",), None),
-    "rule_range_terms": (("FormattingChecker.check_eoo_aoo_capitalization",), None),
-    "rule_country_names": (("GeographyChecker.check_country_names",), None),
+    "rule_abbreviations": (("AbbreviationChecker.check_eg_and_ie", "AbbreviationChecker.check_abbreviation_formats"), _rule_sql(*((DOUBLED, rf"(?i){X}{a}(?:\.\.)?\s*{b}{X}") for a, b in ("eg", "ie")), *((DOUBLED, f"(?i){X}{w}[^{W}.]") for w in ("etc", r"in\s+litt", "Prof")), *((DOUBLED, rf"(?i){X}pers(?:\.\.\s*{w}[^{W}.]|\s+{w}{X})") for w in ("comm", "obs")))),
+    "rule_latin_terms": (("AbbreviationChecker.check_latin_terms_without_period",), _rule_sql((UPRIGHT, f"(?i){X}(?:{_latin}){X}"), body=ITALICS_SQL)),
+    "rule_et_al": (("AbbreviationChecker.check_et_al",), _rule_sql((DOUBLED, rf"(?i){X}et(?:\.\.\s*|\s+)al{X}"))),
+    "rule_ordinal_dates": (("DateChecker.check_ordinal_dates",), _rule_sql((DOUBLED, rf"(?i){X}\d{{1,2}}(?:st|nd|rd|th)\s+(?:of\s+)?(?:{_months}){X}"))),
+    "rule_century": (("DateChecker.check_century_format",), _rule_sql((DOUBLED, rf"(?i)[^{W}-](?:{_ordinals})\s+century{X}"))),
+    "rule_range_terms": (("FormattingChecker.check_eoo_aoo_capitalization",), _rule_sql((DOUBLED, f"(?i){X}{_range}{X}"), less=((DOUBLED, f"{X}{_range}{X}"), (DOUBLED, rf"(?:^|[.?:][.?:]\s)\s{_upper}{X}")))),
+    "rule_country_names": (("GeographyChecker.check_country_names",), _rule_sql(*_names)),
     "rule_direction_caps": (("GeographyChecker.check_directional_capitalization",), None),
     "rule_category_caps": (("IUCNTermsChecker.check_category_full_name_capitalization", "IUCNTermsChecker.check_category_abbreviation_capitalization", "IUCNTermsChecker.check_threatened_case"), None),
     "rule_small_numbers": (("NumberChecker.check_small_numbers",), None),
     "rule_large_numbers": (("NumberChecker.check_large_numbers",), None),
-    "rule_sentence_start": (("NumberChecker.check_sentence_start",), None),
-    "rule_very_large_numbers": (("NumberChecker.check_very_large_numbers",), None),
+    "rule_sentence_start": (("NumberChecker.check_sentence_start",), _rule_sql((DOUBLED, rf"(?:^ |[.!?]\s+)\d+{X}"), less=((DOUBLED, rf"(?i)(?:et\s+al|c|comm)\.\.\s+\d+{X}"),))),
+    "rule_very_large_numbers": (("NumberChecker.check_very_large_numbers",), _values_sql(f"{X}([0-9]{{7,}}){X}", "coalesce((try_cast(x AS HUGEINT) >= 1000000000 AND try_cast(x AS HUGEINT) % 10000000 = 0) OR (try_cast(x AS HUGEINT) >= 1000000 AND try_cast(x AS HUGEINT) % 10000 = 0), false)")),
     "rule_range_dash": (("PunctuationChecker.check_range_dashes",), None),
-    "rule_for_example": (("PunctuationChecker.check_for_example_commas",), None),
-    "rule_degree": (("SymbolChecker.check_degree_text", "SymbolChecker.check_degree_symbol_spacing"), None),
-    "rule_percent_spacing": (("SymbolChecker.check_percentage_symbol_spacing",), None),
+    "rule_for_example": (("PunctuationChecker.check_for_example_commas",), _rule_sql((DOUBLED, rf"(?i){X}for\s\sexample{X}"), less=((DOUBLED, r"(?i)(?:^ |[.!?]\s+|,,(?:\s\s)?)for\s\sexample,"),))),
+    "rule_degree": (("SymbolChecker.check_degree_text", "SymbolChecker.check_degree_symbol_spacing"), _rule_sql((DOUBLED, rf"(?i)\d\s*degrees?\s+(?:N|S|E|W|Celsius|C){X}"), (DOUBLED, rf"(?i)\d\s*°°\s*[NSEWC]{X}"), less=((DOUBLED, rf"\d°°[NSEWC]{X}"),))),
+    "rule_percent_spacing": (("SymbolChecker.check_percentage_symbol_spacing",), _rule_sql((DOUBLED, r"\d\s+%"), (DOUBLED, rf"\d(?:km|ha|kg|m|cm|mm|ml|l){X}"))),
 }
 
 
@@ -125,12 +146,12 @@ _LADDER = "list_filter(list_transform(string_split(text, ' - '), lambda x: trim(
 
 @register(
     "taxonomy_carry_forward",
-    f"""WITH s AS (SELECT doc_id, pos, {_LADDER} AS p FROM {fx.values(fx.SECTIONS, "doc_id, pos, section_key, text")} WHERE NOT contains(section_key, '[table') AND NOT contains(lower(section_key), 'bibliography')),
+    f"""WITH s AS (SELECT doc_id, pos, {_LADDER} AS p FROM {fx.SECTIONS_SQL} WHERE trim(text) <> '' AND NOT contains(section_key, '[table') AND NOT contains(lower(section_key), 'bibliography')),
     l AS (SELECT doc_id, pos, CASE WHEN len(p) >= 6 AND len(list_filter(p, lambda x: regexp_full_match(x, '[A-Z][A-Z]+'))) >= 4 THEN p[len(p) - 1] END AS g, CASE WHEN len(p) >= 6 AND len(list_filter(p, lambda x: regexp_full_match(x, '[A-Z][A-Z]+'))) >= 4 THEN lower(p[len(p)]) END AS sp FROM s)
     SELECT doc_id, pos, last_value(upper(g[1]) || lower(g[2:]) IGNORE NULLS) OVER w AS genus, last_value(sp IGNORE NULLS) OVER w AS species FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def taxonomy_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = review.taxonomy(review.routed(fx.frame(spark, fx.SECTIONS, "doc_id long, pos int, section_key string, text string")))
+    s = review.taxonomy(review.routed(fx.sections(spark, sf_dir)))
     return s.where("route = 'body'").select("doc_id", "pos", "genus", "species")
 
 
@@ -279,9 +300,17 @@ def retrieval_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("query_expansion")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.subqueries(fx.frame(spark, fx.QUESTIONS, "query_id int, text string"))
+    return retrieval.subqueries(_asked(spark, sf_dir))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's questions, and every document and benchmark item as one."""
+    d = spread(_table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("query_id"), "text"))
+    b = _table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).cast("long").alias("query_id"), "text")
+    return d.union(b).union(fx.frame(spark, fx.QUESTIONS, "query_id long, text string")).where("text is not null")
 
 
+_ASKED_SQL = f"(SELECT * FROM (SELECT doc_id + 1000 AS query_id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark UNION ALL SELECT * FROM {fx.values(fx.QUESTIONS, 'query_id, text')}) WHERE text IS NOT NULL)"
 _THRESHOLD = (
     "regexp_matches(q, 'threshold|cutoff|cut-off|criterion [a-e]|b1|b2|d1|d2|extinction probability|qualif') "
     "OR (regexp_matches(q, 'aoo|eoo|locations|mature individuals') AND regexp_matches(q, 'threshold|cutoff|criterion|qualif'))"
@@ -291,16 +320,16 @@ _THRESHOLD = (
 @register(
     "threshold_criterion",
     f"""SELECT query_id, {_THRESHOLD} AS asks, CASE WHEN regexp_matches(q, '\\bcriterion\\s*[a-e]\\b') THEN upper(regexp_extract(q, '\\bcriterion\\s*([a-e])\\b', 1)) WHEN regexp_matches(q, '\\b[a-e][12]\\b') THEN upper(regexp_extract(q, '\\b([a-e])[12]\\b', 1))
-    WHEN regexp_matches(q, 'aoo|eoo|locations') THEN 'B' WHEN contains(q, 'mature individuals') THEN 'D' WHEN contains(q, 'extinction probability') THEN 'E' END AS criterion FROM (SELECT query_id, lower(text) AS q FROM {fx.values(fx.QUESTIONS, "query_id, text")})""",
+    WHEN regexp_matches(q, 'aoo|eoo|locations') THEN 'B' WHEN contains(q, 'mature individuals') THEN 'D' WHEN contains(q, 'extinction probability') THEN 'E' END AS criterion FROM (SELECT query_id, lower(text) AS q FROM {_ASKED_SQL})""",
 )
 def threshold_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = fx.frame(spark, fx.QUESTIONS, "query_id int, text string")
+    q = _asked(spark, sf_dir)
     return q.select("query_id", thresholds.is_threshold_query(F.col("text")).alias("asks"), thresholds.criterion(F.col("text")).alias("criterion"))
 
 
 @register("threshold_lookup")
 def threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.frame(spark, fx.QUESTIONS, "query_id int, text string").select("query_id", thresholds.answer(F.col("text")).alias("answer"))
+    return _asked(spark, sf_dir).select("query_id", thresholds.answer(F.col("text")).alias("answer"))
 
 
 @register("answer_prompts")
@@ -426,20 +455,20 @@ _BIGRAMS = "SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(list_tra
 
 @register(
     "eval_bigram_f1",
-    f"""WITH e AS ({_BIGRAMS.format("text")}), g AS ({_BIGRAMS.format("substr(text, 1, 500)")}), s AS (SELECT doc_id, sum(least(coalesce(e.n, 0), coalesce(g.n, 0))) AS same, coalesce(sum(e.n), 0) AS want, coalesce(sum(g.n), 0) AS have FROM e FULL JOIN g USING (doc_id, b) GROUP BY doc_id)
+    f"""WITH e AS ({_BIGRAMS.format("text")}), g AS ({_BIGRAMS.format("regexp_replace(text, '[0-9]+', '', 'g')")}), s AS (SELECT doc_id, sum(least(coalesce(e.n, 0), coalesce(g.n, 0))) AS same, coalesce(sum(e.n), 0) AS want, coalesce(sum(g.n), 0) AS have FROM e FULL JOIN g USING (doc_id, b) GROUP BY doc_id)
     SELECT doc_id, round(CASE WHEN have > 0 THEN same / have ELSE 0 END, 9) AS "precision", round(CASE WHEN want > 0 THEN same / want ELSE 0 END, 9) AS recall FROM s""",
 )
 def eval_bigram_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = evaluation.overlap(d.select("doc_id", "text"), d.select("doc_id", F.substring("text", 1, 500).alias("text")))
+    out = evaluation.overlap(d.select("doc_id", "text"), d.select("doc_id", F.regexp_replace("text", "[0-9]+", "").alias("text")))
     return out.select("doc_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@register("eval_distribution", "WITH e AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), g AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 3 > 0 GROUP BY 1) SELECT round(1 - sum(abs(coalesce(e.n, 0) - coalesce(g.n, 0))) / sum(e.n), 9) AS score FROM e FULL JOIN g USING (lang)")
+@register("eval_distribution", "WITH e AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), g AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) SELECT round(1 - sum(abs(coalesce(e.n, 0) - coalesce(g.n, 0))) / sum(e.n), 9) AS score FROM e FULL JOIN g USING (lang)")
 def eval_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     count = lambda x: x.groupBy("lang").agg(F.count("*").alias("n"))
-    return evaluation.distribution_score(count(d), count(d.where("doc_id % 3 > 0")), "lang").select(F.round("score", 9).alias("score"))
+    return evaluation.distribution_score(count(d), count(d.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")), "lang").select(F.round("score", 9).alias("score"))
 
 
 @register("events_tumbling", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
