@@ -272,6 +272,12 @@ def parents(records: DataFrame) -> DataFrame:
     return rows.withColumn("nth", first).where("nth = 1").select("source_file", "table_id", "table_title", "page", display_text(F.col("text")).alias("text"), "section_title")
 
 
-def build_summary(records: DataFrame, corpus: DataFrame) -> DataFrame:
-    r = records.agg(F.count("*").alias("raw_record_count"), F.count_if(F.col("block_type") == "table_row").alias("table_row_count"))
-    return r.crossJoin(corpus.agg(F.count("*").alias("chunk_count")))  # one row each
+def build_summary(records: DataFrame, corpus: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row: records, chunks, table rows, and those of tables that were put together from running text."""
+    row, made = F.col("block_type") == "table_row", F.coalesce(F.col("metadata.fallback"), F.lit(False)) if "metadata" in records.columns else F.lit(False)
+    r = records.agg(
+        F.count("*").alias("raw_record_count"), F.count_if(row).alias("table_row_count"), F.count_if(row & made).alias("fallback_table_row_count"),
+        F.count_if((F.col("block_type") == "table") & made).alias("synthetic_parent_count"),
+    )
+    figures = corpus.agg(F.count("*").alias("chunk_count"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"))
+    return r.crossJoin(F.broadcast(figures))  # one row each

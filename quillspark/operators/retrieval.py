@@ -7,9 +7,14 @@ equi-join on its terms, so work follows the postings that it touches.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.phrases import contains_any, has_any_phrase, tokens
@@ -73,6 +78,42 @@ def bm25(queries: DataFrame, idx: Index, k: int = 20) -> DataFrame:
     return scored.withColumn("sparse_rank", F.row_number().over(best)).where(F.col("sparse_rank") <= k)
 
 
+def embed(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], Any]], batch: int = 64) -> DataFrame:
+    """(key, embedding): unit vectors of texts. load gives the encoder, once a worker; it takes a list of texts and gives a row of numbers for each."""
+    made: list[Any] = []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not made:
+            made.append(load())
+        for b in batches:
+            for i in range(0, len(b), batch):
+                part = b.iloc[i : i + batch]
+                v = np.asarray(made[0](part[text].fillna("").tolist()), np.float32).reshape(len(part), -1)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(v)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+
+def write_index(path: str, corpus: DataFrame, parents: DataFrame, vectors: DataFrame | None = None) -> None:
+    """An index on disk: corpus, parents, postings by term, and vectors if there are any."""
+    idx = index(corpus)
+    tables = {"corpus": corpus, "parents": parents, "postings": idx.postings.repartitionByRange("term").sortWithinPartitions("term"), "terms": idx.terms, "figures": idx.figures}
+    for name, df in (tables | ({"vectors": vectors} if vectors is not None else {})).items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[Index, DataFrame, DataFrame, DataFrame | None]:
+    """(index, corpus, parents, vectors); vectors None if the index has none."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    try:
+        vectors = read("vectors").select("chunk_id", "embedding")
+    except AnalysisException:  # no such table, or not one of vectors
+        vectors = None
+    return Index(read("postings"), read("terms"), read("figures")), read("corpus"), read("parents"), vectors
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 24) -> DataFrame:
     """(query_id, chunk_id, dense_score, dense_rank): exact nearest unit vectors by 1 / (1 + squared distance). Ties by chunk_id."""
     # every stated query meets every vector; Spark picks the side to send by its size
@@ -220,11 +261,11 @@ def scaffold(results: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(F.concat(head, "lines"), "\n").alias("scaffold"))
 
 
-def answer(queries: DataFrame, corpus: DataFrame, parents: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, dense_k: int = 24, sparse_k: int = 24, k: int = 8) -> DataFrame:
-    """Both lanes for every subquery, then one ranked, deduplicated list of k results per query, parents attached."""
+def answer(queries: DataFrame, corpus: DataFrame, parents: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, dense_k: int = 24, sparse_k: int = 24, k: int = 8, idx: Index | None = None) -> DataFrame:
+    """Both lanes for every subquery, then one ranked, deduplicated list of k results per query, parents attached. idx: the corpus's index, if it was read."""
     subs = subqueries(queries)
     keyed = subs.select(F.struct("query_id", "sub").alias("query_id"), "text")
-    sparse = bm25(keyed, index(corpus), sparse_k)
+    sparse = bm25(keyed, idx or index(corpus), sparse_k)
     if vectors is not None and query_vectors is not None:
         vector = dense(query_vectors.select(F.struct("query_id", "sub").alias("query_id"), "embedding"), vectors, dense_k)
     else:

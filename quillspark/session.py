@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -48,9 +49,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = getattr(spark.sparkContext, "_quillspark_dir", None)
         if where is None:
             where = spark.sparkContext._quillspark_dir = "file://" + tempfile.mkdtemp(prefix="quillspark-shared-")

@@ -9,17 +9,29 @@ from quillspark.sources.schemas import RECORD
 
 
 def read_records(spark: SparkSession, pattern: str) -> DataFrame:
-    """Records of JSON-lines files; blank ones are left out, a missing doc_id names file and line."""
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    r = lines.select("file", "at", F.from_json("value", RECORD + ", pdf_stem string").alias("r"), F.get_json_object("value", "$.priority").isNull().alias("plain")).select("file", "at", "plain", "r.*")
+    """Records of JSON-lines files, a file a row first: blank ones are left out, a missing doc_id names file and line, a line that is no JSON object raises with both."""
+    texts = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    is_object = F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT")
+    wrong = F.raise_error(F.concat(F.lit("Malformed record: "), F.col("file"), F.lit(", line "), (F.col("at") + 1).cast("string")))
+    value = F.when(F.col("line").rlike(r"^\s*$"), None).when(F.coalesce(is_object, F.lit(False)), F.col("line")).otherwise(wrong)
+    r = lines.select("file", "at", value.alias("value")).select("file", "at", F.from_json("value", RECORD + ", pdf_stem string").alias("r"), F.get_json_object("value", "$.priority").isNull().alias("plain")).select("file", "at", "plain", "r.*")
     stem = F.element_at(F.split("file", "/"), -2)
     r = r.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     return r.select(
-        F.coalesce("doc_id", F.concat(stem, F.lit("::line::"), F.format_string("%05d", F.col("at") % (1 << 33) + 1))).alias("doc_id"), F.coalesce("pdf_stem", stem).alias("pdf_stem"),
+        F.coalesce("doc_id", F.concat(stem, F.lit("::line::"), F.format_string("%05d", F.col("at") + 1))).alias("doc_id"), F.coalesce("pdf_stem", stem).alias("pdf_stem"),
         F.when(F.col("plain"), F.lit(1.0)).otherwise(F.col("priority")).alias("priority"), *(c for c in r.columns if c not in ("file", "at", "plain", "doc_id", "pdf_stem", "priority")),
     )
 
 
+def load_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all documents' folders under a folder; raises where there are none."""
+    r = read_records(spark, f"{folder}/*/retrieval_blocks.jsonl")
+    if not r.limit(1).count():
+        raise ValueError(f"No retrieval records found: {folder}")
+    return r
+
+
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     """(name, scope, severity, category, body) of Markdown files that begin with a front matter; one that lacks a field raises."""
     files = spark.read.text(f"{folder}/*.md", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1).alias("name"), F.col("value"))
@@ -51,5 +63,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
+def write_batch(parsed: DataFrame, summary: DataFrame, path: str) -> None:
+    """A batch's blocks as JSON, a folder for each document that could be parsed, and its summary with the errors of the others."""
+    parsed.where("error is null").drop("error").write.mode("overwrite").partitionBy("doc_title").json(f"{path}/documents")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/_errors")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -193,7 +193,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "p1").mkdir()
     (tmp_path / "p1" / "r.jsonl").write_text('{"doc_id": "a", "text": "x", "section_path": ["A", "B"], "priority": null}\n\n{"text": "y"}\n{"text": " "}\n')
     rows = {r["text"]: r for r in files.read_records(spark, f"{tmp_path}/*/r.jsonl").collect()}
-    assert set(rows) == {"x", "y"} and rows["y"]["doc_id"].startswith("p1::line::") and rows["y"]["priority"] == 1.0 and rows["x"]["section_path"] == ["A", "B"]
+    assert set(rows) == {"x", "y"} and rows["y"]["doc_id"] == "p1::line::00003" and rows["y"]["priority"] == 1.0 and rows["x"]["section_path"] == ["A", "B"]
+    (tmp_path / "p2").mkdir()
+    (tmp_path / "p2" / "r.jsonl").write_text('{"text": "z"}\n\n{"text": \n')
+    with pytest.raises(Exception, match="Malformed record: .*p2/r.jsonl, line 3"):
+        files.read_records(spark, f"{tmp_path}/*/r.jsonl").collect()
+    with pytest.raises(Exception, match="No retrieval records|PATH_NOT_FOUND"):
+        files.load_records(spark, str(tmp_path))
     (tmp_path / "rules").mkdir()
     (tmp_path / "rules" / "r1.md").write_text("---\nscope: full_document\nseverity: 'high'\ncategory: c\n---\nBody here\n")
     assert tuple(files.read_rules(spark, f"{tmp_path}/rules").first()) == ("r1", "full_document", "high", "c", "Body here")
@@ -214,3 +220,37 @@ def test_supporting_rows_and_prompts(spark):
     p = {r["query_id"]: r["prompt"] for r in answers.prompts(asked, found).collect()}
     assert p[1].index(answers.FOR_SOME + "\n- row two") < p[1].index(answers.FOR_ALL + "\n- Page 1 a") and "  Parent context: Content:" in p[1]
     assert thresholds.EOO in p[2] and "| Evidence: plain" in p[2] and "No reference scaffold available." in p[3] and "No draft has been uploaded" in p[3]
+
+
+def test_command_line(spark, tmp_path):
+    """parse, index and ask, from files to files."""
+    import json
+
+    from quillspark import __main__ as cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text("<h1>A</h1><p>Some text.</p>")
+    (tmp_path / "in" / "b.docx").write_bytes(b"no zip")
+    told = cli.parse(spark, f"{tmp_path}/in", f"{tmp_path}/parsed")
+    assert (told["total"], told["parsed"], told["failed"]) == (2, 1, 1) and told["errors"][0]["file"].endswith("b.docx")
+    assert spark.read.json(f"{tmp_path}/parsed/documents").where("doc_title = 'a'").count() > 0
+    doc = tmp_path / "records" / "d1"
+    doc.mkdir(parents=True)
+    lines = [{"doc_id": f"r{k}", "source_file": "s.pdf", "page": k, "block_type": "text", "text": f"Source: s\nContent:\n{t}", "raw_text": t, "section_path": ["A"]} for k, t in enumerate(("locations of wolves", "the range of bears", "wolves and bears"))]
+    lines.append({"doc_id": "r9", "source_file": "s.pdf", "page": 1, "block_type": "table_row", "text": "Content:\nrow", "metadata": {"fallback": True}})
+    (doc / "retrieval_blocks.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    told = cli.build(spark, f"{tmp_path}/records", f"{tmp_path}/index", 800, 100)
+    assert (told["raw_record_count"], told["table_row_count"], told["fallback_table_row_count"], told["chunk_size"]) == (4, 1, 1, 800)
+    with pytest.raises(FileExistsError):
+        cli.build(spark, f"{tmp_path}/records", f"{tmp_path}/index", 800, 100)
+    found = cli.ask(spark, f"{tmp_path}/index", ["Where are bears?"], 2)
+    assert found and {r["chunk_id"].split("::")[0] for r in found} <= {"r1", "r2"}
+    assert cli.arguments(["index", "a", "b", "--chunk-size", "5"]).chunk_size == 5
+
+
+def test_embed(spark):
+    from quillspark.operators import retrieval
+
+    rows = spark.createDataFrame([(1, "aa"), (2, "b"), (3, None)], "id long, text string")
+    got = {r["id"]: list(r["embedding"]) for r in retrieval.embed(rows, "id", "text", lambda: lambda ts: [[t.count("a"), t.count("b")] for t in ts]).collect()}
+    assert got == {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.0, 0.0]}
