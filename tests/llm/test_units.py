@@ -202,6 +202,20 @@ def one_by_one(items, room):
     return len(bins)
 
 
+def test_ids_are_the_tokenizers():
+    """Cores, marks and plain words give what the tokenizer gives the whole text, for each code point beside others."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    pool = [chr(c) for c in [*range(1, 0x250), 0x301, 0x308, 0x1E9E, 0x3A3, 0x3C3, 0x2019, 0xFB01, 0x4E00, 0x1F600]]
+    texts = [" ".join(f"a{chr(c)}b {chr(c)} {chr(c)}. X{chr(c)}," for c in range(k, k + 64)) for k in range(0x21, 0x400, 64)]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(400)] + ["It's <|endoftext|>. 3.5, (a) x_. don't! É.", ""]
+    for text, got in zip(texts, packing.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_dominance():
     assert packing.dominated(((10, 1),), ((6, 1), (4, 1))) and packing.dominated(((5, 2),), ((5, 1), (3, 1), (2, 1)))
     assert not packing.dominated(((6, 1), (4, 1)), ((10, 1),)) and not packing.dominated(((5, 2),), ((6, 1), (4, 1)))
