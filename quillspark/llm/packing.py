@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize, tidy, two
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
-#: Words whose ids a worker remembers, and their cores; those it meets later are encoded once a batch.
-CACHE_WORDS = 250_000
 #: ASCII marks that never share a piece with a letter or digit before them.
 _MARKS = ".,;:!?)"
 
@@ -44,7 +42,7 @@ log = logging.getLogger(__name__)
 #: Words of Latin letters only. Each is one piece to the tokenizer, composed already, and lower-cased letter by letter.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
-_CACHE: dict[str, tuple[Any, Any, dict[str, bytes], dict[str, bytes]]] = {}
+_CACHE: dict[str, tuple[Any, Any]] = {}
 
 
 class Plain:
@@ -70,8 +68,8 @@ class Plain:
         return dict(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
 
 
-def _tokenizer(path: str | None) -> tuple[Any, Plain, dict[str, bytes], dict[str, bytes]]:
-    """The tokenizer, its merges, ids of words, and ids of their cores."""
+def _tokenizer(path: str | None) -> tuple[Any, Plain]:
+    """The tokenizer, and its merges alone."""
     if path is None:
         import public_tokenizers
 
@@ -80,7 +78,7 @@ def _tokenizer(path: str | None) -> tuple[Any, Plain, dict[str, bytes], dict[str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _CACHE[path] = Tokenizer.from_file(path), Plain(path), {}, {}
+        _CACHE[path] = Tokenizer.from_file(path), Plain(path)
     return _CACHE[path]
 
 
@@ -115,36 +113,27 @@ def _core(word: str) -> tuple[str, str]:
     return word, ""
 
 
-def _encoded(tok: Any, plain: Plain, words: list[str], known: dict[str, bytes]) -> dict[str, bytes]:
-    """Ids of words, by their cores; known remembers cores."""
+def _encoded(tok: Any, plain: Plain, words: list[str]) -> dict[str, bytes]:
+    """Ids of words, by their cores. Nothing is kept from batch to batch: most words that a batch has more than once are its own."""
     parts = [_core(w) for w in words]
-    need = list({p for core in parts for p in core if p} - known.keys())
-    found = {}
+    need = list({p for core in parts for p in core if p})
+    found = {"": b""}
     easy = [w for w in need if _PLAIN.fullmatch(w)]
     for i in range(0, len(easy), 4096):
         found.update(plain.encode(easy[i : i + 4096]))
     odd = [w for w in need if w not in found]
     for i in range(0, len(odd), 4096):
         found.update(_fresh(tok, odd[i : i + 4096]))
-    found[""] = b""
-    get = lambda p: known[p] if p in known else found[p]
-    out = {w: get(core) + get(marks) if marks else get(core) for w, (core, marks) in zip(words, parts, strict=True)}
-    for p in need[: max(0, CACHE_WORDS - len(known))]:
-        known[p] = found[p]
-    return out
+    return {w: found[core] + found[marks] if marks else found[core] for w, (core, marks) in zip(words, parts, strict=True)}
 
 
 def encode(texts: list[str], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
     """Each whole text's ids and the end id, as little-endian unsigned 32-bit integers."""
-    tok, plain, cache, cores = _tokenizer(path)
+    tok, plain = _tokenizer(path)
     split = [_words(t) for t in texts]
-    missing = list(set().union(*split) - cache.keys())
-    cache.update(_encoded(tok, plain, missing, cores))
+    ids = _encoded(tok, plain, list(set().union(*split)))
     last = np.array([end_id], "<u4").tobytes()
-    out = [b"".join([*map(cache.__getitem__, ws), last]) for ws in split]
-    for w in missing[max(0, CACHE_WORDS - len(cache) + len(missing)) :]:
-        del cache[w]
-    return out
+    return [b"".join([*map(ids.__getitem__, ws), last]) for ws in split]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
