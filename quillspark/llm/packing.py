@@ -41,6 +41,9 @@ _MARKS = ".,;:!?)"
 log = logging.getLogger(__name__)
 #: Words of Latin letters only. Each is one piece to the tokenizer, composed already, and lower-cased letter by letter.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Texts of printable ASCII without "<", Latin letters and white space can be lower-cased first; their words are letters and then marks, or anything else.
+_SIMPLE = re.compile("[\t-\r !-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*+")
+_CORES = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++(?=[.,;:!?)]*+(?!\\S))|\\S+")
 
 _CACHE: dict[str, tuple[Any, Any]] = {}
 
@@ -116,7 +119,12 @@ def _core(word: str) -> tuple[str, str]:
 def _encoded(tok: Any, plain: Plain, words: list[str]) -> dict[str, bytes]:
     """Ids of words, by their cores. Nothing is kept from batch to batch: most words that a batch has more than once are its own."""
     parts = [_core(w) for w in words]
-    need = list({p for core in parts for p in core if p})
+    found = _ids(tok, plain, {p for core in parts for p in core if p})
+    return {w: found[core] + found[marks] if marks else found[core] for w, (core, marks) in zip(words, parts, strict=True)}
+
+
+def _ids(tok: Any, plain: Plain, need: set[str]) -> dict[str, bytes]:
+    """Ids of cores, marks and other words."""
     found = {"": b""}
     easy = [w for w in need if _PLAIN.fullmatch(w)]
     for i in range(0, len(easy), 4096):
@@ -124,16 +132,17 @@ def _encoded(tok: Any, plain: Plain, words: list[str]) -> dict[str, bytes]:
     odd = [w for w in need if w not in found]
     for i in range(0, len(odd), 4096):
         found.update(_fresh(tok, odd[i : i + 4096]))
-    return {w: found[core] + found[marks] if marks else found[core] for w, (core, marks) in zip(words, parts, strict=True)}
+    return found
 
 
 def encode(texts: list[str], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
     """Each whole text's ids and the end id, as little-endian unsigned 32-bit integers."""
     tok, plain = _tokenizer(path)
-    split = [_words(t) for t in texts]
-    ids = _encoded(tok, plain, list(set().union(*split)))
+    split = [(True, _CORES.findall(t.lower())) if _SIMPLE.fullmatch(t) else (False, _words(t)) for t in texts]
+    cores = _ids(tok, plain, set().union(*(ws for simple, ws in split if simple)))
+    words = _encoded(tok, plain, list(set().union(*(ws for simple, ws in split if not simple))))
     last = np.array([end_id], "<u4").tobytes()
-    return [b"".join([*map(ids.__getitem__, ws), last]) for ws in split]
+    return [b"".join([*map((cores if simple else words).__getitem__, ws), last]) for simple, ws in split]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
