@@ -212,6 +212,8 @@ def test_ids_are_the_tokenizers():
     pool = [chr(c) for c in [*range(1, 0x250), 0x301, 0x308, 0x1E9E, 0x3A3, 0x3C3, 0x2019, 0xFB01, 0x4E00, 0x1F600]]
     texts = [" ".join(f"a{chr(c)}b {chr(c)} {chr(c)}. X{chr(c)}," for c in range(k, k + 64)) for k in range(0x21, 0x400, 64)]
     texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(400)] + ["It's <|endoftext|>. 3.5, (a) x_. don't! É.", ""]
+    simple = [c for c in pool if packing._SIMPLE.fullmatch(c)] + list(".,;:!?) \n") * 9 + list("aBÉǅȺȾŉſ") * 9
+    texts += ["".join(rng.choice(simple) for _ in range(rng.randint(0, 80))) for _ in range(2000)]
     for text, got in zip(texts, packing.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], text
 
