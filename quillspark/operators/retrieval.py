@@ -65,16 +65,23 @@ def index(corpus: DataFrame) -> Index:
     return Index(postings, terms, figures)
 
 
+def steady_sum(x: Column) -> Column:
+    """A sum of doubles that is the same in any order: multiples of 2^-20, and of 2^-60 for the rest, add up exactly (to 2^33, and over 2^14 rows)."""
+    high = F.rint(x * 2.0**20) / 2.0**20
+    return F.sum(high) + F.sum(F.rint((x - high) * 2.0**60) / 2.0**60)
+
+
 def bm25(queries: DataFrame, idx: Index, k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, bm25_score, sparse_rank) of the k best chunks; a token that a query repeats counts as often. Ties by chunk_id."""
+    """(query_id, chunk_id, bm25_score, sparse_rank) of the k best chunks; a token that a query repeats counts as often. Scores equal to 9 digits are ties, by chunk_id."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     # one row of figures: known to fit
     rows = asked.join(idx.terms, "term").join(idx.postings, "term").crossJoin(F.broadcast(idx.figures))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - BM25_B + BM25_B * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
-    score = F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / F.greatest(norm, F.lit(1e-9)))
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))
+    score = steady_sum(part)
     scored = rows.groupBy("query_id", "chunk_id").agg(score.alias("bm25_score")).where("bm25_score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), "chunk_id")
     return scored.withColumn("sparse_rank", F.row_number().over(best)).where(F.col("sparse_rank") <= k)
 
 

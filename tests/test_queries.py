@@ -33,6 +33,27 @@ def test_like_sql(spark, duck, name):
     assert shown(got.collect(), columns) == shown(want.fetchall(), [want.columns.index(c) for c in columns])
 
 
+@pytest.fixture(scope="module")
+def ties(spark, tmp_path_factory):
+    """A folder of 60 documents of six words each, other words in the same numbers of documents: to one question all score alike, summed in any order."""
+    d = tmp_path_factory.mktemp("ties")
+    text = lambda i: " ".join(f"{'abcdef'[n]}{(i * 7 + n) % 60 // (n + 1)}" for n in range(6))
+    docs = [(i, text(i), "en", f"s{i % 3}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(sorted({w for _, t, *_ in docs for w in t.split()})))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_ties_like_sql(spark, ties, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{ties}/{t}.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, ties), con.sql(queries.ORACLES[name])
+    columns = sorted(got.columns)
+    assert shown(got.collect(), columns) == shown(want.fetchall(), [want.columns.index(c) for c in columns])
+
+
 @pytest.mark.parametrize("name", ["html_blocks", "html_sections", "record_merge_blocks", "record_chunks", "retrieval_answer", "draft_topk", "review_grouped"])
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, str(SMALL)).count() > 0
