@@ -44,7 +44,7 @@ def ties(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "dedupe_per_source_cap"])
+@pytest.mark.parametrize("name", ["bm25_topk", "dedupe_per_source_cap", "token_coverage"])
 def test_ties_like_sql(spark, ties, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
