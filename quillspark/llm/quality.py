@@ -2,9 +2,12 @@
 
 Grades: 0 toxic, 1 neither toxic nor good, 2 good. All thresholds share one weight
 vector over hashed text features (words, runs of symbols by their share, and a few
-shape figures by bucket): P(grade <= k) = sigmoid(t_k - w.x). Fitted on a bounded,
-hash-ordered sample of labelled rows; the selection threshold is set on a part of it
-kept apart, so that at most KEEP_LOSS of good documents go.
+shape figures by bucket): P(grade <= k) = sigmoid(t_k - w.x). Fitted on every labelled
+row: counts, gradients and tail probabilities are summed by the executors, and only
+sums (by feature, by bin) go to the driver, which takes L-BFGS steps. A quarter of the
+rows, by hash of doc_id, is kept apart; the selection threshold is set on all of these,
+so that at most KEEP_LOSS of their good documents go. What rows add to a sum is rounded
+to 2^-24, so sums are the same in any order and reruns agree.
 
 Null or empty text, or text without a word, is never selected. Labels without a
 document, or without a quality, teach nothing; a missing toxic counts as 0. Without
@@ -13,7 +16,7 @@ any labels nothing can be told apart and every document with a word is selected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import tidy, two
+from quillspark.llm.common import discard, materialize, small, tidy, two
 from quillspark.llm.words import Words, buffers, chunks, mix
 
 BITS, GRADES = 18, 3
-#: Labelled rows of each grade that the model may be fitted on.
-SAMPLE_PER_GRADE = 2500
+#: One labelled row in so many is kept apart for the threshold.
+APART = 4
 #: Share of good, kept-apart rows that selection may lose.
 KEEP_LOSS = 0.002
+#: Weight of the penalty, sums that descent may ask for, rows that a feature must be in.
+RIDGE, ROUNDS, LEAST = 5e-3, 60, 3
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 0x20
 _SYMBOLS = np.full(256, 0x20, np.uint8)
@@ -82,12 +87,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -40, 40)))
 
 
-def telling(rows: list[tuple[np.ndarray, int]], bits: int, grades: int, least: int, sigmas: float = 4.0) -> np.ndarray:
-    """Features whose share differs between one grade and the others by `sigmas` standard errors; the rest are noise that long texts would add up."""
-    n = np.bincount([g for _, g in rows], minlength=grades).astype(float)
-    count = np.array([np.bincount(np.concatenate([b for b, h in rows if h == g] or [np.zeros(0, np.int64)]), minlength=1 << bits) for g in range(grades)], float)
-    out = np.zeros(1 << bits, bool)
-    for g in range(grades):
+Sums = Callable[..., np.ndarray]
+
+
+def telling(count: np.ndarray, n: np.ndarray, least: int, sigmas: float = 4.0) -> np.ndarray:
+    """Features whose share differs between one grade and the others by `sigmas` standard errors; the rest are noise that long texts would add up. count: rows by grade and feature, n: rows by grade."""
+    out = np.zeros(count.shape[1], bool)
+    for g in range(len(n)):
         rest = n.sum() - n[g]
         if not n[g] or not rest:
             continue
@@ -97,91 +103,264 @@ def telling(rows: list[tuple[np.ndarray, int]], bits: int, grades: int, least: i
     return out & (count.sum(0) >= least)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, grades: int = GRADES, epochs: int = 12, rate: float = 0.3, ridge: float = 2e-4, least: int = 3, seed: int = 5) -> Model:
-    """rows: (buckets, grade). Adaptive-gradient descent on the cumulative-link likelihood, grades weighing alike."""
-    rng = np.random.default_rng(seed)
-    apart = rng.random(len(rows)) < 0.25
-    train = [r for r, a in zip(rows, apart, strict=True) if not a] or rows
-    tell = telling(train, bits, grades, least)
-    train = [(b[tell[b]], g) for b, g in train]
-    w, cuts = np.zeros(1 << bits), np.linspace(-1.0, 1.0, grades - 1)
-    sq, sq_cuts = np.full(1 << bits, 1e-3), np.full(grades - 1, 1e-2)
-    count = np.bincount([g for _, g in train], minlength=grades)
-    scale = len(train) / np.maximum(count, 1) / max(1, (count > 0).sum())
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for _ in range(epochs):
-        for k in rng.permutation(len(train)):
-            b, g = train[k]
-            z = w[b].sum()
-            hi = sig(cuts[g] - z) if g < grades - 1 else 1.0
-            lo = sig(cuts[g - 1] - z) if g else 0.0
-            p = max(hi - lo, 1e-9)
-            dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p  # of log p by the upper and lower cut
-            step = scale[g] * (dh - dl)  # d(-log p)/dz
-            grad = np.clip(step, -20, 20) + ridge * w[b]
-            sq[b] += grad * grad
-            w[b] -= rate * grad / np.sqrt(sq[b])
-            dc = np.zeros(grades - 1)
-            if g < grades - 1:
-                dc[g] -= scale[g] * dh
-            if g:
-                dc[g - 1] += scale[g] * dl
-            dc = np.clip(dc, -20, 20)
-            sq_cuts += dc * dc
-            cuts = np.sort(cuts - 0.1 * dc / np.sqrt(sq_cuts))
-            cuts[1:] = np.maximum(cuts[1:], cuts[:-1] + 1e-3)
-    model = Model(w.astype(np.float32), cuts, 0.5)
-    held = [r for r, a in zip(rows, apart, strict=True) if a and r[1] == grades - 1]
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def gradient(index: np.ndarray, length: np.ndarray, grade: np.ndarray, w: np.ndarray, cuts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Sums over rows, each with `length` features of `index`: of -log p by weight and by cut, and of -log p itself. Rows add multiples of 2^-24."""
+    top = len(cuts)
+    row = np.repeat(np.arange(len(length)), length)
+    z = np.bincount(row, w[index], len(length))
+    c = np.concatenate([[-np.inf], cuts, [np.inf]])
+    hi = np.where(grade < top, _sigmoid(c[grade + 1] - z), 1.0)
+    lo = np.where(grade > 0, _sigmoid(c[grade] - z), 0.0)
+    between = 1 - np.exp(c[grade] - c[grade + 1])  # p = hi * (1 - lo) * between
+    exact = lambda x: np.rint(scale[grade] * x * 2.0**24) / 2.0**24
+    step = exact(1 - hi - lo)
+    by_cut = np.zeros(top + 2)  # a grade's upper cut, and its lower one
+    np.add.at(by_cut, grade + 1, -exact((1 - hi) / np.maximum((1 - lo) * between, 1e-18)))
+    np.add.at(by_cut, grade, exact(lo / (hi * between)))
+    loss = exact(-np.log(hi) - np.log(np.maximum(1 - lo, 1e-18)) - np.log(between))
+    return np.concatenate([np.bincount(index, np.repeat(step, length), len(w)), by_cut[1:-1], [loss.sum()]])
+
+
+def descend(sums: Sums, share: np.ndarray, grades: int, ridge: float, rounds: int, memory: int = 8, enough: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, ascending cuts) of the least mean of -log p and ridge / 2 * share * weight^2, by L-BFGS. sums: gradient by weight and cut, and the mean; share: rows that have a feature."""
+    unit, k = np.sqrt(np.maximum(share, 1e-12)), len(share)
+
+    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[:k] / unit, x[k] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(x[k + 1 :], -9, 9)))])
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, cuts = parts(x)
+        s = sums(w, cuts)
+        by_cut = s[k:-1]
+        gaps = np.cumsum(by_cut[::-1])[::-1][1:] * np.diff(cuts)
+        return s[-1] + ridge / 2 * float(x[:k] @ x[:k]), np.concatenate([s[:k] / unit + ridge * x[:k], [by_cut.sum()], gaps])
+
+    x = np.concatenate([np.zeros(k), [-1.0], np.full(grades - 2, np.log(2.0 / max(1, grades - 2)))])
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    asked, size = 1, 1 / max(1.0, float(np.abs(g).sum()))
+    while asked < rounds and float(np.abs(g).max()) > enough:
+        d, back = -g, []
+        for s, y in reversed(past):
+            back.append(float(s @ d) / float(s @ y))
+            d = d - back[-1] * y
+        if past:
+            s, y = past[-1]
+            d = d * (float(s @ y) / float(y @ y))
+        for (s, y), a in zip(past, reversed(back), strict=True):
+            d = d + (a - float(y @ d) / float(s @ y)) * s
+        t, slope = size if not past else 1.0, float(g @ d)
+        while asked < rounds:
+            new, grad = value(x + t * d)
+            asked += 1
+            if new <= f + 1e-4 * t * slope:
+                break
+            t /= 4
+        else:
+            break
+        s, y = t * d, grad - g
+        if float(s @ y) > 1e-12 * float(y @ y):
+            past = [*past, (s, y)][-memory:]
+        done = f - new < 1e-7
+        x, f, g = x + s, new, grad
+        if done:
+            break
+    return parts(x)
+
+
+def model(sums: Sums, count: np.ndarray, n: np.ndarray, tell: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> Model:
+    """A model, its threshold not yet set, from the sums (of weights, cuts and the grades' weights) over rows of telling features."""
+    scale = n.sum() / np.maximum(n, 1) / max(1, int((n > 0).sum()))  # grades weigh alike
+    w, cuts = descend(lambda w, cuts: sums(w, cuts, scale) / n.sum(), count[:, tell].sum(0) / n.sum(), len(n), ridge, rounds)
+    weight = np.zeros(len(tell), np.float32)
+    weight[tell] = w
+    return Model(weight, cuts, 0.5)
+
+
+#: The bits of a probability above these name its bin: 2^12 bins to each power of two.
+_BIN = 40
+
+
+def bins(tail: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(tail, np.float64).view(np.int64) >> _BIN
+
+
+def threshold(at: np.ndarray, rows: np.ndarray) -> float:
+    """The greatest lower edge of a bin, 0.5 at most, under which KEEP_LOSS of all rows are. at: bins, rows: how many rows each has."""
+    if not rows.sum():
+        return 0.5
+    order = np.argsort(at)
+    k = int(np.searchsorted(np.cumsum(rows[order]), int(KEEP_LOSS * rows.sum()), "right"))
+    return min(0.5, float((at[order][k : k + 1].astype(np.int64) << _BIN).view(np.float64)[0]))
+
+
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, grades: int = GRADES, ridge: float = RIDGE, rounds: int = ROUNDS, least: int = LEAST, seed: int = 5) -> Model:
+    """Of (buckets, grade) in memory, as `train` does of a table."""
+    apart = np.random.default_rng(seed).random(len(rows)) < 1 / APART
+    use = [r for r, a in zip(rows, apart, strict=True) if not a] or rows
+    index, length, grade = np.concatenate([b for b, _ in use]), np.array([len(b) for b, _ in use]), np.array([g for _, g in use])
+    n = np.bincount(grade, minlength=grades)
+    count = np.bincount(np.repeat(grade, length) << bits | index, minlength=grades << bits).reshape(grades, -1)
+    tell = telling(count, n, least)
+    index, length = narrowed(index, length, tell)
+    out = model(lambda w, cuts, scale: gradient(index, length, grade, w, cuts, scale), count, n, tell, ridge, rounds)
+    held = [b for (b, g), a in zip(rows, apart, strict=True) if a and g == grades - 1]
     if held:
-        z = np.array([model.weight[b].sum() for b, _ in held], float)
-        model.threshold = float(min(0.5, np.quantile(model.tails(z)[:, -1], KEEP_LOSS)))
-    return model
+        tail = out.tails(np.array([out.weight[b].sum() for b in held], float))[:, -1]
+        out.threshold = threshold(*np.unique(bins(tail), return_counts=True))
+    return out
+
+
+def narrowed(index: np.ndarray, length: np.ndarray, tell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with their telling features only, numbered from 0."""
+    keep = tell[index]
+    row = np.repeat(np.arange(len(length)), length)
+    return (np.cumsum(tell) - 1)[index[keep]], np.bincount(row[keep], minlength=len(length))
 
 
-def graded(labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> DataFrame:
-    """(doc_id, grade): at most per_grade of each grade, by hash of doc_id."""
+_HEAD = 4 * 2  # 16-bit units: how many of a row's features have each value above 16 bits
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, features) of every document: its words' number and its features, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
+                for i, j, row, bucket, n in features(part.column(1)):
+                    heads = np.bincount(row * 4 + (bucket >> 16), minlength=4 * (j - i)).reshape(-1, 4)
+                    cut = np.concatenate([[0], np.cumsum(heads.sum(1) + _HEAD)])
+                    data, solid = np.empty(cut[-1], "<u2"), np.ones(cut[-1], bool)
+                    at = cut[:-1, None] + np.arange(_HEAD)
+                    data[at], solid[at] = heads.astype("<u4").view("<u2"), False
+                    data[solid] = bucket & 0xFFFF
+                    packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * cut).astype(np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), packed], ["doc_id", "n", "features"])
+
+    return two(docs).mapInArrow(tidy(run), "doc_id long, n long, features binary")
+
+
+def unstored(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features, how many each row has) of a column that `stored` made."""
+    _, off, data = column.cast(pa.large_binary()).buffers()
+    cut = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    u = np.frombuffer(data, np.uint8)[cut[0] : cut[-1]].view("<u2") if len(column) else np.zeros(0, "<u2")
+    solid = np.ones(len(u), bool)
+    at = ((cut[:-1] - cut[0]) // 2)[:, None] + np.arange(_HEAD)
+    solid[at] = False
+    heads = np.ascontiguousarray(u[at]).view("<u4").astype(np.int64)
+    high = np.repeat(np.tile(np.arange(4), len(column)), heads.ravel())
+    return high << 16 | u[solid].astype(np.int64), heads.sum(1)
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade, apart) of every labelled document."""
     grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     rows = labels.where("doc_id is not null and quality is not null").select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    first, *rest = (rows.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in range(GRADES))
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    return rows.withColumn("apart", F.pmod(F.xxhash64("doc_id"), F.lit(APART)) == 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> Model | None:
-    chosen = F.broadcast(graded(labels, per_grade))  # GRADES * per_grade rows at most
-    sample = two(docs).join(chosen, "doc_id").select("doc_id", "text", "grade")
+def added(rows: DataFrame, add: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sums): what `add` gives of a batch, summed by key over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            k, v = add(b)
+            keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            sums = np.bincount(inverse, np.concatenate([sums, v]), len(keys))
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(sums[i : i + (1 << 16)])], ["key", "value"])
+
+    got = rows.mapInArrow(tidy(run), "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+    return got.column("key").to_numpy(), got.column("value").to_numpy()
+
+
+def train(known: DataFrame, labels: DataFrame) -> Model | None:
+    """Of the stored features of documents and all labels."""
+    sc = known.sparkSession.sparkContext
+    rows = materialize(known.join(small(graded(labels)), "doc_id").select("features", "grade", "apart"), "graded")
+    size = (1 << BITS) + 1  # the last counts rows
+
+    def counts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        index, length = unstored(b.column(0))
+        g = b.column(1).to_numpy().astype(np.int64)
+        key, n = np.unique(np.concatenate([np.repeat(g, length) * size + index, g * size + size - 1]), return_counts=True)
+        return key, n.astype(float)
+
+    use = rows.where("not apart")
+    keys, sums = added(use, counts)
+    if not len(keys):  # none, or so few that all are kept apart
+        use = rows
+        keys, sums = added(use, counts)
+        if not len(keys):
+            return None
+    count = np.zeros(GRADES * size)
+    count[keys] = sums
+    count = count.reshape(GRADES, size)
+    count, n = count[:, :-1], count[:, -1]
+    tell = telling(count, n, LEAST)
+    sent = sc.broadcast(tell)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, row, bucket, _ in features(b.column(1)):
-                cut = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(cut, pa.array(bucket.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, b.column(2).slice(i, j - i)], ["doc_id", "bucket", "grade"])
+            index, length = narrowed(*unstored(b.column(0)), sent.value)
+            whole = [x.astype(t).tobytes() for x, t in ((index, "<i4"), (length, "<i4"), (b.column(1).to_numpy(), "<i4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in whole], ["index", "length", "grade"])
+
+    blocks = materialize(use.mapInArrow(tidy(narrow), "index binary, length binary, grade binary"), "graded-blocks")
+
+    def sums_of(w: np.ndarray, cuts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        at = sc.broadcast((w, cuts, scale))
+
+        def add(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            total = 0.0
+            for k in range(b.num_rows):
+                total = total + gradient(*(np.frombuffer(c[k].as_py(), "<i4").astype(np.int64) for c in b.columns), *at.value)
+            some = np.flatnonzero(total)
+            return some, total[some]
+
+        keys, sums = added(blocks, add)
+        at.destroy()
+        out = np.zeros(len(w) + len(cuts) + 1)
+        out[keys] = sums
+        return out
+
+    out = model(sums_of, count, n, tell)
+    ready = sc.broadcast(out)
+
+    def tails(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.unique(bins(ready.value.tails(scores(b.column(0), ready.value))[:, -1]), return_counts=True)
+        return key, n.astype(float)
 
-    got = sample.mapInArrow(tidy(run), "doc_id long, bucket array<int>, grade int").toArrow()
-    if not got.num_rows:
-        return None
-    rows = [(np.array(b, np.int64), g) for _, b, g in sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True), key=lambda r: (r[0], r[2], r[1]))]
-    return fit(rows)
+    out.threshold = threshold(*added(rows.where(f"apart and grade = {GRADES - 1}"), tails))
+    for x in (sent, ready):
+        x.destroy()
+    discard(rows, blocks)
+    return out
 
 
-def grade(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> DataFrame:
+def scores(column: pa.Array, m: Model) -> np.ndarray:
+    index, length = unstored(column)
+    return np.bincount(np.repeat(np.arange(len(length)), length), m.weight[index], len(length))
+
+
+def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, expected_grade, tail_1, tail_2, selected) of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_grade))
+    known = materialize(stored(docs), "quality-features")
+    model = docs.sparkSession.sparkContext.broadcast(train(known, labels))
     names = ["doc_id", "expected_grade", "tail_1", "tail_2", "selected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                for i, j, row, bucket, n in features(part.column(1)):
-                    m = model.value
-                    if m is None:
-                        tails = np.ones((j - i, GRADES - 1))
-                    else:
-                        tails = m.tails(np.bincount(row, m.weight[bucket], j - i))
-                    keep = (n > 0) & (tails[:, -1] >= (m.threshold if m else 0))
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), *map(pa.array, (tails.sum(1), tails[:, 0], tails[:, 1], keep))], names)
-
-    return two(docs).mapInArrow(tidy(run), "doc_id long, expected_grade double, tail_1 double, tail_2 double, selected boolean")
+            m, n = model.value, b.column(1).to_numpy()
+            tails = np.ones((len(n), GRADES - 1)) if m is None else m.tails(scores(b.column(2), m))
+            keep = (n > 0) & (tails[:, -1] >= (m.threshold if m else 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (tails.sum(1), tails[:, 0], tails[:, 1], keep))], names)
+
+    return known.mapInArrow(tidy(run), "doc_id long, expected_grade double, tail_1 double, tail_2 double, selected boolean")

@@ -403,3 +403,32 @@ def test_mixed_rows_that_share_an_id(spark):
         assert have == {k: n for k, n in want.items() if n}
     target = {r["source"]: r["target"] for r in plan}
     assert all(abs(sum(r["taken"] for r in plan if r["source"] == s) - t) <= 0.5 for s, t in target.items())
+
+
+def test_quality_learns_from_every_label(spark):
+    """A word that only good documents beyond the first 2,500 by hash have raises the grade of others that have it."""
+    ids = [r[0] for r in spark.range(3000).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").collect()]
+    text = lambda k: f"fine w{k % 50}" + " rare" * (k >= 2600)
+    docs = [(i, text(k)) for k, i in enumerate(ids)] + [(4000 + k, f"{'bad' if k % 2 else 'plain'} w{k % 50}") for k in range(600)]
+    labels = [(i, 1, 0) for i in ids] + [(4000 + k, 0, k % 2) for k in range(600)]
+    probes = [(9001, "w1 rare"), (9002, "w1 never")]
+    docs, labels = spark.createDataFrame(docs + probes, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.grade(docs, labels).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[9001]["expected_grade"] > by[9002]["expected_grade"] + 0.1
+    assert sorted(got) == sorted(quality.grade(docs.repartition(5), labels.repartition(3)).collect())
+    one = quality.grade(docs, labels.where("quality = 1")).collect()
+    assert len(one) == len(got) and all(r["selected"] for r in one)
+
+
+def test_quality_features_stored(spark):
+    texts = [None, "", "a b c", "!!! " * 40 + "xyz", " ".join(f"w{k}" for k in range(5000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: [] for i in range(len(texts))}
+    for i, _, row, bucket, _ in quality.features(pa.array(texts, pa.large_string())):
+        for r, b in zip(row, bucket, strict=True):
+            want[i + r].append(b)
+    got = quality.stored(rows).toArrow().combine_chunks()
+    index, length = quality.unstored(got.column("features").combine_chunks())
+    cut = np.cumsum(length) - length
+    assert {i: index[c : c + n].tolist() for i, c, n in zip(got.column("doc_id").to_pylist(), cut, length, strict=True)} == want
