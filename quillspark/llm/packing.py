@@ -35,15 +35,19 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialize, tidy, two
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
-#: ASCII marks that never share a piece with a letter or digit before them.
-_MARKS = ".,;:!?)"
+#: ASCII marks, without "<" of special tokens: at a word's end they never share a piece with a letter or digit before them.
+_MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 log = logging.getLogger(__name__)
 #: Words of Latin letters only. Each is one piece to the tokenizer, composed already, and lower-cased letter by letter.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 #: Texts of printable ASCII without "<", Latin letters and white space can be lower-cased first; their words are letters and then marks, or anything else.
 _SIMPLE = re.compile("[\t-\r !-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*+")
-_CORES = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++(?=[.,;:!?)]*+(?!\\S))|\\S+")
+_CORES = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++(?=[!-/:;=-@\\[-`{-~]*+(?!\\S))|\\S+")
+
+#: The characters by which byte-level models write bytes of Latin letters and space.
+_LEVEL = np.arange(256, dtype="<u2")
+_LEVEL[[*range(0x7F, 0xA1), 0xAD]] = np.arange(0x121, 0x144)
 
 _CACHE: dict[str, tuple[Any, Any]] = {}
 
@@ -58,17 +62,20 @@ class Plain:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model["end_of_word_suffix"]
-        self.tok = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
-        self.tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tok = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))  # words come once
+        self.tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # ids that end a word
         for token, k in model["vocab"].items():
             self.last[k] = token.endswith(suffix)
 
-    def encode(self, words: list[str]) -> dict[str, bytes]:
-        (e,) = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+    def encode(self, words: list[str]) -> list[bytes]:
+        text = " ".join(words)
+        if not text.isascii():  # a character for each byte, as the vocabulary is written
+            text = _LEVEL[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        (e,) = self.tok.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
         raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-        return dict(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _tokenizer(path: str | None) -> tuple[Any, Plain]:
@@ -126,9 +133,10 @@ def _encoded(tok: Any, plain: Plain, words: list[str]) -> dict[str, bytes]:
 def _ids(tok: Any, plain: Plain, need: set[str]) -> dict[str, bytes]:
     """Ids of cores, marks and other words."""
     found = {"": b""}
-    easy = [w for w in need if _PLAIN.fullmatch(w)]
-    for i in range(0, len(easy), 4096):
-        found.update(plain.encode(easy[i : i + 4096]))
+    for easy in ([w for w in need if w.isascii() and w.isalpha()], [w for w in need if not w.isascii() and _PLAIN.fullmatch(w)]):
+        for i in range(0, len(easy), 4096):
+            words = easy[i : i + 4096]
+            found.update(zip(words, plain.encode(words), strict=True))
     odd = [w for w in need if w not in found]
     for i in range(0, len(odd), 4096):
         found.update(_fresh(tok, odd[i : i + 4096]))

@@ -432,3 +432,17 @@ def test_quality_features_stored(spark):
     index, length = quality.unstored(got.column("features").combine_chunks())
     cut = np.cumsum(length) - length
     assert {i: index[c : c + n].tolist() for i, c, n in zip(got.column("doc_id").to_pylist(), cut, length, strict=True)} == want
+
+
+def test_marks_apart_from_words():
+    """Any ASCII marks at a word's end but "<" are cut off, and the ids stay the tokenizer's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert packing._core("Abc%$#") == ("abc", "%$#") and packing._core("a<|endoftext|>") == ("a<|endoftext|>", "")
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    for alphabet in ("ab'st_$%#&*-+/\\[]{}^`~|@\"=> \n9.", "aZ'éȺß­漢́<|$%'>  !9", "".join(map(chr, range(0xC0, 0x250))) + "  $'"):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(400)] + [alphabet]
+        want = [np.array([*tok.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes() for t in texts]
+        assert packing.encode(texts) == want
