@@ -22,6 +22,7 @@ import logging
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,11 +147,26 @@ def _ids(tok: Any, plain: Plain, need: set[str]) -> dict[str, bytes]:
 def encode(texts: list[str], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
     """Each whole text's ids and the end id, as little-endian unsigned 32-bit integers."""
     tok, plain = _tokenizer(path)
-    split = [(True, _CORES.findall(t.lower())) if _SIMPLE.fullmatch(t) else (False, _words(t)) for t in texts]
-    cores = _ids(tok, plain, set().union(*(ws for simple, ws in split if simple)))
-    words = _encoded(tok, plain, list(set().union(*(ws for simple, ws in split if not simple))))
+    cores, words = _Numbers(), _Numbers()
+    # words as numbers: a text's own strings go at once
+    split = [(True, cores.of(_CORES.findall(t.lower()))) if _SIMPLE.fullmatch(t) else (False, words.of(_words(t))) for t in texts]
+    found = _ids(tok, plain, set(cores))
+    core_ids = [found[w] for w in cores]
+    found = _encoded(tok, plain, list(words))
+    word_ids = [found[w] for w in words]
     last = np.array([end_id], "<u4").tobytes()
-    return [b"".join([*map((cores if simple else words).__getitem__, ws), last]) for simple, ws in split]
+    return [b"".join([*map((core_ids if simple else word_ids).__getitem__, ws), last]) for simple, ws in split]
+
+
+class _Numbers(dict):
+    """Words to numbers from 0, by first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+    def of(self, words: list[str]) -> array:
+        return array("i", map(self.__getitem__, words))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
