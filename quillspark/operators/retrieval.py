@@ -208,11 +208,11 @@ def merge_subqueries(candidates: DataFrame) -> DataFrame:
 
 
 def dedupe_and_cap(candidates: DataFrame, per_source: int = 8) -> DataFrame:
-    """Best first: one candidate per place (source, page, kind, table, row), then at most per_source of a source. `place` is the order that is left."""
+    """Best first: one candidate per place (source, page, kind, table, row), then at most per_source of a source; null is a source of its own. `place` is the order that is left."""
     best = (F.desc("rerank_score"), "chunk_id")
     place = Window.partitionBy("query_id", "source_file", "page", "block_type", "table_id", "row_id").orderBy(*best)
     rows = candidates.withColumn("nth", F.row_number().over(place)).where("nth = 1")
-    source = Window.partitionBy("query_id", F.coalesce("source_file", F.lit(""))).orderBy(*best)
+    source = Window.partitionBy("query_id", "source_file").orderBy(*best)
     rows = rows.withColumn("nth", F.row_number().over(source)).where(F.col("nth") <= per_source)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).drop("nth")
 

@@ -54,6 +54,22 @@ def test_ties_like_sql(spark, ties, name):
     assert shown(got.collect(), columns) == shown(want.fetchall(), [want.columns.index(c) for c in columns])
 
 
+def odd_like_sql(spark, d, name, docs):
+    """The query over these documents, asked for words that all have, equals its SQL."""
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "red fern hill")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(d)), con.sql(queries.ORACLES[name])
+    columns = sorted(got.columns)
+    assert shown(got.collect(), columns) == shown(want.fetchall(), [want.columns.index(c) for c in columns])
+
+
+def test_no_source_is_not_an_empty_source(spark, tmp_path):
+    odd_like_sql(spark, tmp_path, "dedupe_per_source_cap", [(i, "red fern " * (i + 1) + "hill", "en", (None, "", "s")[i % 3]) for i in range(12)])
+
+
 @pytest.mark.parametrize("name", ["html_blocks", "html_sections", "record_merge_blocks", "record_chunks", "retrieval_answer", "draft_topk", "review_grouped"])
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, str(SMALL)).count() > 0
