@@ -72,7 +72,7 @@ def steady_sum(x: Column) -> Column:
 
 
 def bm25(queries: DataFrame, idx: Index, k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, bm25_score, sparse_rank) of the k best chunks; a token that a query repeats counts as often. Scores equal to 9 digits are ties, by chunk_id."""
+    """(query_id, chunk_id, bm25_score, sparse_rank) of the k best chunks; a token that a query repeats counts as often. Scores equal to 9 digits are ties, by chunk_id, null last."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     # one row of figures: known to fit
     rows = asked.join(idx.terms, "term").join(idx.postings, "term").crossJoin(F.broadcast(idx.figures))
@@ -81,7 +81,7 @@ def bm25(queries: DataFrame, idx: Index, k: int = 20) -> DataFrame:
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / F.greatest(norm, F.lit(1e-9))
     score = steady_sum(part)
     scored = rows.groupBy("query_id", "chunk_id").agg(score.alias("bm25_score")).where("bm25_score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), "chunk_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), F.asc_nulls_last("chunk_id"))
     return scored.withColumn("sparse_rank", F.row_number().over(best)).where(F.col("sparse_rank") <= k)
 
 

@@ -242,7 +242,8 @@ def record_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir)
-    return r.select(F.substring("doc_id", 2, 20).cast("long").alias("chunk_id"), F.col("raw_text").alias("search_text"), *(c for c in r.columns if c != "doc_id"))
+    # of a null id the record's has "null" in place of digits
+    return r.select(F.substring("doc_id", 2, 20).try_cast("long").alias("chunk_id"), F.col("raw_text").alias("search_text"), *(c for c in r.columns if c != "doc_id"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,10 @@ def test_no_source_is_not_an_empty_source(spark, tmp_path):
     odd_like_sql(spark, tmp_path, "dedupe_per_source_cap", [(i, "red fern " * (i + 1) + "hill", "en", (None, "", "s")[i % 3]) for i in range(12)])
 
 
+def test_null_id_is_last_of_ties(spark, tmp_path):
+    odd_like_sql(spark, tmp_path, "token_coverage", [(i or None, "red fern hill" if i < 25 else "red oak", "en", "s") for i in range(30)])
+
+
 @pytest.mark.parametrize("name", ["html_blocks", "html_sections", "record_merge_blocks", "record_chunks", "retrieval_answer", "draft_topk", "review_grouped"])
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, str(SMALL)).count() > 0
