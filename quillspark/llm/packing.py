@@ -22,20 +22,23 @@ import logging
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, tidy, two
+from quillspark.llm.common import materialize, tidy, trim, two
+from quillspark.llm.words import buffers, chunks
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
+#: Bytes of texts encoded at once.
+CHUNK = 1 << 21
 #: ASCII marks, without "<" of special tokens: at a word's end they never share a piece with a letter or digit before them.
 _MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
@@ -44,13 +47,13 @@ log = logging.getLogger(__name__)
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 #: Texts of printable ASCII without "<", Latin letters and white space can be lower-cased first; their words are letters and then marks, or anything else.
 _SIMPLE = re.compile("[\t-\r !-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*+")
-_CORES = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++(?=[!-/:;=-@\\[-`{-~]*+(?!\\S))|\\S+")
+_LETTERS = "".join(sorted({c.lower() for c in map(chr, range(0x250)) if _PLAIN.fullmatch(c)}))
 
 #: The characters by which byte-level models write bytes of Latin letters and space.
 _LEVEL = np.arange(256, dtype="<u2")
 _LEVEL[[*range(0x7F, 0xA1), 0xAD]] = np.arange(0x121, 0x144)
 
-_CACHE: dict[str, tuple[Any, Any]] = {}
+_CACHE: dict[str, tuple[Any, Any, Any]] = {}
 
 
 class Plain:
@@ -69,18 +72,18 @@ class Plain:
         for token, k in model["vocab"].items():
             self.last[k] = token.endswith(suffix)
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
         text = " ".join(words)
         if not text.isascii():  # a character for each byte, as the vocabulary is written
             text = _LEVEL[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
         (e,) = self.tok.encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
-        raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return ids, np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
 
 
-def _tokenizer(path: str | None) -> tuple[Any, Plain]:
-    """The tokenizer, and its merges alone."""
+def _tokenizer(path: str | None) -> tuple[Any, Plain, Known]:
+    """The tokenizer, its merges alone, and the ids it gave."""
     if path is None:
         import public_tokenizers
 
@@ -89,7 +92,8 @@ def _tokenizer(path: str | None) -> tuple[Any, Plain]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _CACHE[path] = Tokenizer.from_file(path), Plain(path)
+        _CACHE[path] = Tokenizer.from_file(path), Plain(path), Known()
+        trim()
     return _CACHE[path]
 
 
@@ -124,49 +128,118 @@ def _core(word: str) -> tuple[str, str]:
     return word, ""
 
 
-def _encoded(tok: Any, plain: Plain, words: list[str]) -> dict[str, bytes]:
-    """Ids of words, by their cores. Nothing is kept from batch to batch: most words that a batch has more than once are its own."""
-    parts = [_core(w) for w in words]
-    found = _ids(tok, plain, {p for core in parts for p in core if p})
-    return {w: found[core] + found[marks] if marks else found[core] for w, (core, marks) in zip(words, parts, strict=True)}
-
+def _ids(tok: Any, plain: Plain, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of cores, marks and other words, one after another, and how many each has."""
+    kind = [0 if w.isascii() and w.isalpha() else 1 if not w.isascii() and _PLAIN.fullmatch(w) else 2 for w in words]
+    order = sorted(range(len(words)), key=kind.__getitem__)
+    found, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for k in range(3):
+        at = order[bisect_left(order, k, key=kind.__getitem__) : bisect_left(order, k + 1, key=kind.__getitem__)]
+        for i in range(0, len(at), 4096):
+            some = [words[j] for j in at[i : i + 4096]]
+            if k < 2:
+                ids, count = plain.encode(some)
+            else:
+                each = _fresh(tok, some)
+                ids, count = np.frombuffer(b"".join(each[w] for w in some), "<u4"), np.array([len(each[w]) // 4 for w in some], np.int64)
+            found.append(ids)
+            counts.append(count)
+    by, count = np.empty(len(words), np.int64), np.concatenate(counts)
+    by[order] = np.arange(len(words))
+    return _runs(np.concatenate(found), (np.cumsum(count) - count)[by], count[by]), count[by]
+
+
+def _runs(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """values[first : first + count] of each, one after another."""
+    total = int(count.sum())
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((first - (np.cumsum(count) - count)).astype(kind), count)
+    at += np.arange(total, dtype=kind)
+    return values[at]
+
+
+class Known:
+    """Ids of parts met before, in a worker, as Arrow strings and numbers: about 10 MB. When it is full, parts not met again since the last time go."""
+
+    LIMIT, BYTES = 1 << 18, 64  # parts, and a part's length
+
+    def __init__(self) -> None:
+        self.parts, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.first, self.count, self.again = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def of(self, tok: Any, plain: Plain, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count): each part's ids are ids[first : first + count]. Parts are distinct."""
+        at = pc.fill_null(pc.index_in(parts, value_set=self.parts), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        fresh = parts.take(pa.array(new))
+        ids, count = _ids(tok, plain, fresh.to_pylist())
+        first = np.cumsum(count) - count
+        out = np.concatenate([self.ids, ids]), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        old = np.flatnonzero(at >= 0)
+        out[1][old], out[2][old] = self.first[at[old]], self.count[at[old]]
+        out[1][new], out[2][new] = len(self.ids) + first, count
+        self.again[at[old]] = True
+        self._keep(fresh, ids, first, count)
+        return out
 
-def _ids(tok: Any, plain: Plain, need: set[str]) -> dict[str, bytes]:
-    """Ids of cores, marks and other words."""
-    found = {"": b""}
-    for easy in ([w for w in need if w.isascii() and w.isalpha()], [w for w in need if not w.isascii() and _PLAIN.fullmatch(w)]):
-        for i in range(0, len(easy), 4096):
-            words = easy[i : i + 4096]
-            found.update(zip(words, plain.encode(words), strict=True))
-    odd = [w for w in need if w not in found]
-    for i in range(0, len(odd), 4096):
-        found.update(_fresh(tok, odd[i : i + 4096]))
-    return found
+    def _keep(self, fresh: pa.Array, ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        take = np.flatnonzero(pc.binary_length(fresh).to_numpy() <= self.BYTES)[: self.LIMIT]
+        if len(self.parts) + len(take) > self.LIMIT:
+            held = np.flatnonzero(self.again)[: self.LIMIT - len(take)]
+            self.parts, self.ids, self.count = self.parts.take(pa.array(held)), _runs(self.ids, self.first[held], self.count[held]), self.count[held]
+            self.again = np.zeros(len(held), bool)
+        self.parts = pa.concat_arrays([self.parts, fresh.take(pa.array(take))])
+        self.ids = np.concatenate([self.ids, _runs(ids, first[take], count[take])])
+        self.count = np.concatenate([self.count, count[take]])
+        self.first = np.cumsum(self.count) - self.count
+        self.again = np.concatenate([self.again, np.zeros(len(take), bool)])
+
+
+def _simple_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Cores and marks of a simple text's lower-case words: marks are apart only from letters."""
+    core = pc.utf8_rtrim(words, characters=_MARKS)
+    apart = pc.utf8_is_alpha(core)
+    return pc.if_else(apart, core, words), pc.if_else(apart, pc.utf8_ltrim(words, characters=_LETTERS), "")
+
+
+def _other_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    parts = [_core(w) for w in words.to_pylist()]
+    return pa.array([c for c, _ in parts], pa.large_string()), pa.array([m for _, m in parts], pa.large_string())
+
+
+def _joined(found: tuple[Any, Plain, Known], words: pa.Array, counts: np.ndarray, parts: Callable[[pa.Array], tuple[pa.Array, pa.Array]], end_id: int) -> Iterator[bytes]:
+    """Ids of texts with so many words each, and the end id after each."""
+    tok, plain, known = found
+    words = pc.dictionary_encode(words)
+    n, words = len(words.dictionary), (words.indices.to_numpy(), words.dictionary)
+    number, both = words[0], pc.dictionary_encode(pa.concat_arrays(parts(words[1])))
+    del words
+    ids, first, count = known.of(tok, plain, both.dictionary)
+    part = both.indices.to_numpy().reshape(2, n).T.ravel()  # each word's core, then its marks
+    ids = np.append(_runs(ids, first[part], count[part]), np.array([end_id], "<u4"))
+    count = np.append(count[part].reshape(n, 2).sum(axis=1), 1)
+    first = np.cumsum(count) - count
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    for i, j in chunks(begin, 1 << 16):
+        some = np.insert(number[begin[i] : begin[j]], begin[i + 1 : j + 1] - begin[i], n)  # the end id is a word, too
+        length = count[some]
+        raw = _runs(ids, first[some], length).tobytes()
+        cuts = (4 * np.cumsum(length)[np.cumsum(counts[i:j] + 1) - 1]).tolist()
+        yield from (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
 
 
 def encode(texts: list[str], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
     """Each whole text's ids and the end id, as little-endian unsigned 32-bit integers."""
-    tok, plain = _tokenizer(path)
-    cores, words = _Numbers(), _Numbers()
-    # words as numbers: a text's own strings go at once
-    split = [(True, cores.of(_CORES.findall(t.lower()))) if _SIMPLE.fullmatch(t) else (False, words.of(_words(t))) for t in texts]
-    found = _ids(tok, plain, set(cores))
-    core_ids = [found[w] for w in cores]
-    found = _encoded(tok, plain, list(words))
-    word_ids = [found[w] for w in words]
-    last = np.array([end_id], "<u4").tobytes()
-    return [b"".join([*map((core_ids if simple else word_ids).__getitem__, ws), last]) for simple, ws in split]
-
-
-class _Numbers(dict):
-    """Words to numbers from 0, by first use."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        return k
-
-    def of(self, words: list[str]) -> array:
-        return array("i", map(self.__getitem__, words))
+    found = _tokenizer(path)
+    simple = [bool(_SIMPLE.fullmatch(t)) for t in texts]
+    easy = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t for t, s in zip(texts, simple, strict=True) if s], pa.large_string())))
+    easy = _joined(found, easy.flatten(), pc.list_value_length(easy).to_numpy(), _simple_parts, end_id)
+    rest = [_words(t) for t, s in zip(texts, simple, strict=True) if not s]
+    counts = np.array([len(ws) for ws in rest], np.int64)
+    rest = _joined(found, pa.array([w for ws in rest for w in ws], pa.large_string()), counts, _other_parts, end_id)
+    out = [next(easy if s else rest) for s in simple]
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -176,8 +249,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for i, j in chunks(buffers(b.column(1))[1], CHUNK):
+                part = b.slice(i, j - i)
                 cols: list[list] = [[] for _ in names]
                 for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), tokenizer_path, end_id), strict=True):
                     for k in range(0, len(ids), 4 * capacity):

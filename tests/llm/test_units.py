@@ -446,3 +446,28 @@ def test_marks_apart_from_words():
         texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(400)] + [alphabet]
         want = [np.array([*tok.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes() for t in texts]
         assert packing.encode(texts) == want
+
+
+def test_words_met_before_are_not_merged_again(monkeypatch):
+    """A worker sends a part to the tokenizer once while it is known; ids stay the tokenizer's own when few are kept."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sent = []
+    for owner, name in ((packing.Plain, "encode"), (packing, "_fresh")):
+        real = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda x, words, real=real: sent.extend(words) or real(x, words))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abÉß'9.,’<", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 50))) for _ in range(100)] + ["x" * 100, ""]
+    want = [np.array([*tok.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "_CACHE", {})
+    assert packing.encode(texts) == want and sent
+    assert len(sent) == len(set(sent))
+    sent.clear()
+    assert packing.encode(texts[::-1]) == want[::-1] and sent == ["x" * 100]  # too long to be kept
+    monkeypatch.setattr(packing, "_CACHE", {})
+    if hasattr(packing, "Known"):
+        monkeypatch.setattr(packing.Known, "LIMIT", 20)
+    for _ in range(3):
+        assert [packing.encode([t]) for t in texts] == [[w] for w in want]
