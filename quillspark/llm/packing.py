@@ -38,7 +38,7 @@ from quillspark.llm.words import buffers, chunks
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
 #: Bytes of texts encoded at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: ASCII marks, without "<" of special tokens: at a word's end they never share a piece with a letter or digit before them.
 _MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
@@ -159,9 +159,9 @@ def _runs(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 class Known:
-    """Ids of parts met before, in a worker, as Arrow strings and numbers: about 10 MB. When it is full, parts not met again since the last time go."""
+    """Ids of parts met before, in a worker, as Arrow strings and numbers: about 5 MB. When it is full, parts not met again since the last time go."""
 
-    LIMIT, BYTES = 1 << 18, 64  # parts, and a part's length
+    LIMIT, BYTES = 1 << 17, 64  # parts, and a part's length
 
     def __init__(self) -> None:
         self.parts, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
