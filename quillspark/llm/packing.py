@@ -97,13 +97,16 @@ def _tokenizer(path: str | None) -> tuple[Any, Plain, Known]:
     return _CACHE[path]
 
 
+def _bare(text: str) -> bool:
+    """Whether it holds 0x1C-0x1F, which are no white space to the tokenizer."""
+    return any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
 def _words(text: str) -> list[str]:
-    """White-space pieces. The tokenizer drops white space and never merges across it; 0x1C-0x1F are none to it."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        for c in "\t\n\r\x0b\x0c\x85\xa0  ":
-            text = text.replace(c, " ")
-        return text.split(" ")
-    return text.split()
+    """White-space pieces of a text with 0x1C-0x1F. The tokenizer drops white space and never merges across it."""
+    for c in "\t\n\r\x0b\x0c\x85\xa0  ":
+        text = text.replace(c, " ")
+    return text.split(" ")
 
 
 def _fresh(tok: Any, words: list[str]) -> dict[str, bytes]:
@@ -203,8 +206,12 @@ def _simple_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
 
 
 def _other_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
-    parts = [_core(w) for w in words.to_pylist()]
-    return pa.array([c for c, _ in parts], pa.large_string()), pa.array([m for _, m in parts], pa.large_string())
+    """Those of any words: the ones that a simple text may hold, then the rest."""
+    simple = pc.match_substring_regex(words, "\\A[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*\\z")
+    core, marks = _simple_parts(pc.if_else(simple, pc.utf8_lower(words), ""))
+    rest = pc.invert(simple)
+    parts = [_core(w) for w in words.filter(rest).to_pylist()]
+    return tuple(pc.replace_with_mask(x, rest, pa.array([p[k] for p in parts], pa.large_string())) for k, x in enumerate((core, marks)))
 
 
 def _joined(found: tuple[Any, Plain, Known], words: pa.Array, counts: np.ndarray, parts: Callable[[pa.Array], tuple[pa.Array, pa.Array]], end_id: int) -> Iterator[bytes]:
@@ -231,13 +238,13 @@ def _joined(found: tuple[Any, Plain, Known], words: pa.Array, counts: np.ndarray
 def encode(texts: list[str], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
     """Each whole text's ids and the end id, as little-endian unsigned 32-bit integers."""
     found = _tokenizer(path)
-    simple = [bool(_SIMPLE.fullmatch(t)) for t in texts]
-    easy = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t for t, s in zip(texts, simple, strict=True) if s], pa.large_string())))
-    easy = _joined(found, easy.flatten(), pc.list_value_length(easy).to_numpy(), _simple_parts, end_id)
-    rest = [_words(t) for t, s in zip(texts, simple, strict=True) if not s]
-    counts = np.array([len(ws) for ws in rest], np.int64)
-    rest = _joined(found, pa.array([w for ws in rest for w in ws], pa.large_string()), counts, _other_parts, end_id)
-    out = [next(easy if s else rest) for s in simple]
+    kind = [0 if _SIMPLE.fullmatch(t) else 2 if _bare(t) else 1 for t in texts]
+    of = [[t for t, k in zip(texts, kind, strict=True) if k == g] for g in range(3)]
+    simple = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(of[0], pa.large_string())))
+    other = pc.utf8_split_whitespace(pa.array(of[1], pa.large_string()))
+    bare = pa.array(map(_words, of[2]), pa.list_(pa.large_string()))
+    by = [_joined(found, ws.flatten(), pc.list_value_length(ws).to_numpy(), parts, end_id) for ws, parts in ((simple, _simple_parts), (other, _other_parts), (bare, _other_parts))]
+    out = [next(by[k]) for k in kind]
     pa.default_memory_pool().release_unused()
     return out
 
