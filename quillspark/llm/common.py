@@ -14,18 +14,32 @@ from pyspark.sql import functions as F
 
 from quillspark.session import hold, materialize, ship, shared_dir
 
-__all__ = ["discard", "documents", "hold", "materialize", "ship", "shared_dir", "small", "squeezed", "table", "tidy", "trim", "two", "unsqueezed"]
+__all__ = ["bound_batches", "discard", "documents", "hold", "materialize", "ship", "shared_dir", "small", "squeezed", "table", "tidy", "trim", "two", "unsqueezed"]
 
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's default of 10,000 makes each of many megabytes.
 BATCH_ROWS = 2048
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: And bytes of one in the pipeline, a little under the 1 MB that operators take at once: JVM and workers hold it several times.
+BATCH_BYTES = 15 << 16
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+def _bound_rows(spark: SparkSession) -> None:
     if spark.conf.get(_ROWS) == "10000":  # unless the session chose a size
         spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are small in rows and bytes, unless it chose sizes."""
+    _bound_rows(spark)
+    if spark.conf.get(_BYTES, "67108864b") == "67108864b":  # the default of 64 MB
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    _bound_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

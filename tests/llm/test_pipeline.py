@@ -1,5 +1,8 @@
 """The pipeline: columns between stages, and each stage's decisions."""
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline as cp
 from quillspark.llm import pii
 
@@ -44,6 +47,28 @@ def test_near_copies_like_brute_force(spark, edge, edge_rows):
     assert sorted(got) == sorted(set(comp.values()))
 
 
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_batches_are_small_however_documents_were_read(spark, empty, name):
+    """Stages called by themselves, with documents that spark.read gave, had batches of 10,000 whole texts."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    keys = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes")]
+    before = [spark.conf.get(k) for k in keys]
+    for k in keys:
+        spark.conf.unset(k)
+    try:
+        dict(cp.STAGES)[name](spark, empty, "")
+        short, long = (spark.range(0, n, 1, 1).selectExpr("id", f"repeat('x', {size}) text").mapInArrow(sizes, "n long, bytes long").collect() for n, size in ((6000, 10), (6000, 2000)))
+        assert max(r["n"] for r in short) <= 2048 and sum(r["n"] for r in short) == 6000
+        assert max(r["bytes"] for r in long) <= 1 << 20 and sum(r["n"] for r in long) == 6000
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_empty(spark, empty_tables):
     assert cp.run(spark, empty_tables).count() == 0
 
